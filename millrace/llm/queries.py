@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, packing, tokens, topk, toxicity, urls
+from . import chat, decontaminate, licenses, neardup, packing, tokens, topk, toxicity, urls
 from .jobs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).drop("words")
 
@@ -49,7 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_licenses, op4_packing, op6_url_filter, op7_exact_top_k, op8_toxicity, op9_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_licenses, op4_packing, op5_minhash_near_dedup, op6_url_filter, op7_exact_top_k, op8_toxicity, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": r"""
         WITH t AS (
@@ -57,8 +61,8 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
         ), s AS (
             SELECT *, role = 'assistant' AS reply,
-                length(regexp_replace(replace(role, '\', '\'), '[<\[](/?s>|/?INST\]|<SYS>>|</SYS>>|\|)', '\0+', 'g')) + 3 * (length(role) - length(replace(role, chr(10), '')))
-                + length(regexp_replace(replace(text, '\', '\'), '[<\[](/?s>|/?INST\]|<SYS>>|</SYS>>|\|)', '\0+', 'g')) + 17 AS chars,
+                length(regexp_replace(replace(role, '\', '\\'), '[<\[](/?s>|/?INST\]|<SYS>>|</SYS>>|\|)', '\0+', 'g')) + 3 * (length(role) - length(replace(role, chr(10), '')))
+                + length(regexp_replace(replace(text, '\', '\\'), '[<\[](/?s>|/?INST\]|<SYS>>|</SYS>>|\|)', '\0+', 'g')) + 17 AS chars,
                 row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
             FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
         ), e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM s)
@@ -68,7 +72,7 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (reply), '')) AS loss_sha256,
             CAST(sum(upto) FILTER (reply OR i = n) AS BIGINT) AS formatted_chars,
             CAST(count(*) FILTER (reply OR i = n) AS BIGINT) AS n_examples
-        FROM e GROUP BY conv_id""".replace("\\", "\"),
+        FROM e GROUP BY conv_id""",
     "op7_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
