@@ -1,5 +1,6 @@
 """Helpers for jobs of several steps: shared folders, cut lineage, batch sizes."""
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,11 +22,18 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder; its lineage ends there, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps, which it does once the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table made by written() that no later result reads."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, neardup, packing, tokens, topk, toxicity, urls
+from . import chat, decontaminate, licenses, neardup, packing, substring, tokens, topk, toxicity, urls
 from .jobs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_licenses, op4_packing, op5_minhash_near_dedup, op6_url_filter, op7_exact_top_k, op8_toxicity, op9_token_counts)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_licenses, op4_packing, op5_minhash_near_dedup, op6_url_filter, op7_exact_top_k, op8_toxicity, op9_token_counts, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": r"""
         WITH t AS (
