@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import map_batches
+from .jobs import keep_rows, map_batches
 from .text import ALNUM, chunks, grams, inside, one
 
 K = 5
@@ -72,6 +72,8 @@ class Items:
             self.groups[n] = own, prints, [_FLIPS[:, prints[:, b]] for b in range(BLOCKS)]
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(shingles))
         at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
         return np.where(self.keys[at] == shingles, 1.0 / (self.until - self.at)[at], 1.0)
 
@@ -122,44 +124,64 @@ class Items:
                 yield self.ids[item], a, min(n, words), x, d
 
 
-def _search(items: Items):
+def _found(items: Items, texts: pa.Array) -> Iterator[tuple]:
+    """(row, item_id, start_word, n_words, similarity, distance) of a batch's matches."""
     sizes = sorted({min(K, int(n)) for n in items.sizes})
+    for c in chunks(texts, ALNUM):
+        for k in sizes:
+            g, ok = grams(c.words, k), inside(c, k)
+            if not len(g):
+                continue
+            where, which = items.holds(g)
+            where, which = where[ok[where]], which[ok[where]]
+            docs = np.searchsorted(c.first, where, "right") - 1
+            for d in np.unique(docs).tolist():
+                own = docs == d
+                a, b = int(c.first[d]), int(c.first[d + 1])
+                for m in items.matches(g[a : b - k + 1], b - a, k, where[own] - a, which[own]):
+                    yield c.row + d, *m
 
+
+def _search(items: Items):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, out = batch.column(0), []
-        for c in chunks(batch.column(1), ALNUM):
-            for k in sizes:
-                g, ok = grams(c.words, k), inside(c, k)
-                where, which = items.holds(g) if len(g) else (g, g)
-                keep = ok[where] if len(g) else []
-                where, which = where[keep], which[keep]
-                docs = np.searchsorted(c.first, where, "right") - 1
-                for d in np.unique(docs).tolist():
-                    own = docs == d
-                    a, b = int(c.first[d]), int(c.first[d + 1])
-                    out += ((ids[c.row + d].as_py(), *m) for m in items.matches(g[a : b - k + 1], b - a, k, where[own] - a, which[own]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.float64(), pa.int32()), strict=True)], ["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"])
+        if out := list(_found(items, batch.column(1))):
+            row, *rest = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(),) * 3 + (pa.float64(), pa.int32()), strict=True))], ["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"])
 
     return run
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The benchmark, ITEMS items at a time."""
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    passes = max(1, -(-rows.count() // ITEMS))
+    for n in range(passes):
+        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).orderBy("item_id", "text").collect()])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item in it: doc_id, item_id, start_word, n_words, similarity, distance (bits).
 
     The benchmark is taken ITEMS items at a time, a bounded table in the tasks' memory; no document is shuffled.
     """
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    passes, out = max(1, -(-rows.count() // ITEMS)), None
-    for n in range(passes):
-        items = Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).orderBy("item_id").collect()])
+    out = None
+    for items in _blocks(benchmark):
         part = map_batches(docs, _search(items), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """The documents in which no benchmark item is found, with all their columns."""
+
+    def clean(items: Items):
+        def flags(texts: pa.Array) -> list[bool]:
+            bad = {m[0] for m in _found(items, texts)}
+            return [i not in bad for i in range(len(texts))]
+
+        return flags
+
+    for items in _blocks(benchmark):
+        docs = keep_rows(docs, "text", clean(items))
+    return docs

@@ -41,7 +41,7 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow in small batches, as texts may be long."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -53,5 +53,15 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text: str, flags: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows, whole, whose text is flagged; nothing is shuffled. flags: texts of a batch -> whether each stays."""
+    at = df.columns.index(text)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(flags(batch.column(at)), pa.bool_()))
+
+    return map_batches(df, run, df.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,17 +4,17 @@ Signature: shingles are permuted once over 2**32 places; coordinate k is the
 least value of a second permutation of the places shifted circularly by k. So
 two permutations make all BANDS * ROWS coordinates. Six equal coordinates in one
 of 32 bands make a candidate: a pair at similarity 0.85 is missed with
-probability (1 - 0.85**6)**32 < 3e-7.
+probability (1 - 0.85**6)**32 < 3e-7. Under 0.85, 38 bands of five: at 0.8 as much.
 
 Documents with equal shingle sets are one class, whose smallest doc_id goes on.
 Candidates are never all pairs of a bucket: first every document is compared
 with one document of its buckets (its star), and what is confirmed on the full
 sets is joined into components; then, within buckets that still hold several
 components, pairs across components. Pairs inside a component cannot change the
-result. Candidates whose one-bit sketches differ in more than SKETCH of 192
-places are dropped: at 0.85 the mean is 14.4 and that is 7 deviations away.
+result. Candidates whose one-bit sketches differ in more of 192 places than 7
+deviations above the mean of a pair at the threshold are dropped.
 
-Links: 100 * |intersection| >= 85 * |union| of the full 64-bit shingle sets.
+Links: 100 * |intersection| >= percent * |union| of the full 64-bit shingle sets.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a text of fewer than five words is one shingle; an empty table gives no
@@ -34,12 +34,21 @@ from .text import LOWER, chunks, mix, shingle_sets
 
 K = 5
 PERCENT = 85
-BANDS, ROWS = 32, 6
-SKETCH = 40
+COORDINATES = 192
 ROUNDS = 2
 SIGNATURE = "doc_id long, n long, a long, b long, s0 long, s1 long, s2 long, bands array<long>"
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows."""
+    return (32, 6) if percent >= 85 else (38, 5)
+
+
+def sketch_limit(percent: int) -> int:
+    p = (1 - percent / 100) / 2
+    return int(COORDINATES * p + 7 * (COORDINATES * p * (1 - p)) ** 0.5)
+
+
 def _permute(x: np.ndarray, m: int, n: int) -> np.ndarray:
     """A permutation of 32-bit places, in place."""
     x ^= x >> np.uint32(16)
@@ -53,33 +62,38 @@ def _permute(x: np.ndarray, m: int, n: int) -> np.ndarray:
 def signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Coordinates x documents; the shingles of document d stand from starts[d] on."""
     places = _permute((flat ^ (flat >> np.uint64(32))).astype(np.uint32), 0x85EBCA6B, 0xC2B2AE35)
-    out = np.empty((BANDS * ROWS, len(starts)), np.uint32)
-    for k in range(BANDS * ROWS):
+    out = np.empty((COORDINATES, len(starts)), np.uint32)
+    for k in range(COORDINATES):
         out[k] = np.minimum.reduceat(_permute(places + np.uint32(k), 0x7FEB352D, 0x846CA68B), starts)
     return out
 
 
-def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    odd = np.random.default_rng(5).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for c in chunks(batch.column(1), LOWER):
-        sets = list(shingle_sets(c, K))
-        n = np.array([len(s) for s in sets], np.int64)
-        full = n > 0
-        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        starts = (np.cumsum(n) - n)[full]
-        cols = np.zeros((5, len(n)), np.uint64)
-        bands = np.zeros((len(n), 0), np.int64)
-        if full.any():
-            cols[0, full] = np.add.reduceat(mix(flat ^ np.uint64(0x51ED270B)), starts)
-            cols[1, full] = np.add.reduceat(mix(flat ^ np.uint64(0xA24BAED4963EE407)), starts)
-            sig = signatures(flat, starts)
-            for i in range(3):
-                cols[2 + i, full] = np.packbits((sig[64 * i : 64 * (i + 1)] & 1).astype(np.uint8), axis=0).T.copy().view(np.uint64)[:, 0]
-            keys = [mix((sig[ROWS * b : ROWS * (b + 1)].astype(np.uint64) * odd[:, None]).sum(axis=0, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)]
-            bands = np.stack(keys, axis=1).view(np.int64)
-        offsets = np.concatenate(([0], np.cumsum(full * bands.shape[1]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.row, c.docs), pa.array(n), *(pa.array(x.view(np.int64)) for x in cols), lists], ["doc_id", "n", "a", "b", "s0", "s1", "s2", "bands"])
+def _sign(percent: int):
+    bands_, rows = banding(percent)
+    odd = np.random.default_rng(5).integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batch.column(1), LOWER):
+            sets = list(shingle_sets(c, K))
+            n = np.array([len(s) for s in sets], np.int64)
+            full = n > 0
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            starts = (np.cumsum(n) - n)[full]
+            cols = np.zeros((5, len(n)), np.uint64)
+            bands = np.zeros((len(n), 0), np.int64)
+            if full.any():
+                cols[0, full] = np.add.reduceat(mix(flat ^ np.uint64(0x51ED270B)), starts)
+                cols[1, full] = np.add.reduceat(mix(flat ^ np.uint64(0xA24BAED4963EE407)), starts)
+                sig = signatures(flat, starts)
+                for i in range(3):
+                    cols[2 + i, full] = np.packbits((sig[64 * i : 64 * (i + 1)] & 1).astype(np.uint8), axis=0).T.copy().view(np.uint64)[:, 0]
+                keys = [mix((sig[rows * b : rows * (b + 1)].astype(np.uint64) * odd[:, None]).sum(axis=0, dtype=np.uint64) + np.uint64(b)) for b in range(bands_)]
+                bands = np.stack(keys, axis=1).view(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(full * bands.shape[1]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.row, c.docs), pa.array(n), *(pa.array(x.view(np.int64)) for x in cols), lists], ["doc_id", "n", "a", "b", "s0", "s1", "s2", "bands"])
+
+    return run
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -131,13 +145,13 @@ def _near(x: str, y: str, percent: int) -> Column:
     """Whether two documents can be linked, by their sizes and sketches."""
     differ = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(3)), F.lit(0))
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= SKETCH)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= sketch_limit(percent))
 
 
 def link_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = written(map_batches(docs, _sign, SIGNATURE))
+    signed = written(map_batches(docs, _sign(percent), SIGNATURE))
     equal = written(signed.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
     members = written(signed.join(equal, ["a", "b", "n"]).select("doc_id", "rep", "n", "s0", "s1", "s2", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     alone = written(signed.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n")))

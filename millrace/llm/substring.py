@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,3 +132,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, kept (the words left, joined by one space), n_words, n_removed of every document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return map_batches(docs.join(repeated_starts(docs, window), "doc_id", "left").select("doc_id", "text", "starts"), _keep(window), "doc_id long, kept string, n_words long, n_removed long")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All rows and columns of docs; texts that lose words become the words left, joined by one space, and n_chars follows."""
+    at, names = docs.columns.index("text"), docs.columns
+    out = docs.join(repeated_starts(docs, window).withColumnRenamed("starts", "_starts"), "doc_id", "left").select(*names, "_starts")
+    keep = _keep(window)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        (cut,) = keep(pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at), batch.column(len(names))], ["doc_id", "text", "starts"]))
+        texts = pc.if_else(pc.greater(cut.column(3), 0), cut.column(1), batch.column(at))
+        columns = [batch.column(i) for i in range(len(names))]
+        columns[at] = texts
+        if "n_chars" in names:
+            i = names.index("n_chars")
+            columns[i] = pc.if_else(pc.greater(cut.column(3), 0), pc.utf8_length(texts).cast(columns[i].type), columns[i])
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return map_batches(out, run, docs.schema)

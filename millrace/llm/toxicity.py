@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import map_batches
+from .jobs import keep_rows, map_batches
 from .text import ALNUM, chunks, one
 
 SAMPLE = 6_000
@@ -262,6 +262,16 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose calibrated score is under 0.5; doc_id is their key."""
-    toxic = score_toxicity(docs, train(docs, labels)).where("score >= 0.5").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti")
+    """The documents whose calibrated score is under 0.5, with all their columns."""
+    model = train(docs, labels)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
+    kept: list = []
+
+    def calm(texts: pa.Array) -> list[bool]:
+        if not kept:
+            kept.extend((shared.value, shared.value.tables(), known_bins()))
+        return [s < 0.5 for c in chunks(texts, ALNUM) for s in scores(*kept, *pad(c.words, c.first))[0].tolist()]
+
+    return keep_rows(docs, "text", calm)
