@@ -26,8 +26,16 @@ POSITIVE = ("approved", "eligible", "offered", "promised", "received")
 NEGATIVE = ("denied", "declined", "not eligible", "no refund", "rejected")
 
 # Formats of credentials, and what marks an example.
-SECRETS = (r"AKIA[0-9A-Z]{16}", r"ghp_[A-Za-z0-9]{36}", r"xox[baprs]-[A-Za-z0-9-]{10,}", r"sk-[A-Za-z0-9]{20,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)\b(?:token|secret|password|api[_-]?key)\b\s*[:=]\s*\"?[A-Za-z0-9_\-]{16,}")
-PLACEHOLDERS = ("example", "placeholder", "changeme", "dummy", "redacted", "xxxx", "your-")
+SECRETS = (
+    r"-----BEGIN (?:RSA |EC |OPENSSH |PGP |DSA )?PRIVATE KEY-----",
+    r"\bAKIA[0-9A-Z]{16}\b",
+    r"\bsk-[A-Za-z0-9]{20,}\b",
+    r"\bAIza[0-9A-Za-z_\-]{35}\b",
+    r"\bghp_[A-Za-z0-9]{36}\b",
+    r"\bgithub_pat_[A-Za-z0-9_]{60,}\b",
+    r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+)
+PLACEHOLDERS = ("example", "xxxx", "your-", "your_", "changeme", "redacted", "placeholder", "sk-test", "<", "...")
 
 
 def any_of(conditions) -> Column:
@@ -150,21 +158,28 @@ def claim_label(claim: Column, support: Column, cited: Column, enough: float = 0
 
 
 def shows_secret(text: Column) -> Column:
-    """Whether a credential stands in the text without a placeholder within 24 characters around it."""
-    calm = "(?i)" + "|".join(PLACEHOLDERS)
-    around = [F.regexp_extract_all(text, F.lit(f"(?s).{{0,24}}(?:{p}).{{0,24}}"), 0) for p in SECRETS]
-    return any_of(F.exists(x, lambda m: ~m.rlike(calm)) for x in around)
+    """Whether a credential stands in the text without a mark of an example within 24 characters around it."""
+
+    def real(pattern: str) -> Column:
+        # what stands between the matches gives their surroundings, as matches have no offsets
+        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+        between = F.split(text, pattern)
+        around = F.zip_with(found, F.sequence(F.lit(0), F.size(found)), lambda m, i: F.concat(F.right(F.get(between, i), F.lit(24)), m, F.left(F.get(between, i + 1), F.lit(24))))
+        return F.exists(F.slice(around, F.lit(1), F.size(found)), lambda w: ~any_of(F.contains(F.lower(w), F.lit(h)) for h in PLACEHOLDERS))
+
+    return any_of(F.when(text.rlike(p), real(p)).otherwise(False) for p in SECRETS)
 
 
 def sanitise_recalled(text: Column) -> Column:
-    """Without blocks of recalled context, trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?is)<recalled[-_ ]?context>.*?</recalled[-_ ]?context>", ""))
+    """Without blocks and notes of recalled context, trimmed."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)<\s*memory-context\s*>[\s\S]*?</\s*memory-context\s*>", "")
+    return F.trim(F.regexp_replace(out, r"(?i)\[System note:\s*The following is recalled memory context[^\]]*\]\s*", ""))
 
 
 def slug(text: Column, limit: int = 36) -> Column:
-    """Lower-case runs of letters and digits joined by hyphens; 'memory' if there are none."""
-    short = F.left(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(limit))
-    return F.when(F.trim(short, F.lit("-")) == "", "memory").otherwise(F.trim(short, F.lit("-")))
+    """Lower-case runs of letters and digits joined by underscores, cut to the limit; "memory" if there are none."""
+    out = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.left(F.when(out == "", "memory").otherwise(out), F.lit(limit))
 
 
 def numbered_lines(text: Column) -> Column:

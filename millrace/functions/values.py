@@ -86,25 +86,34 @@ def typed_score(base: Column, *, intent: str, entities: list[str], at: Column |
     return score if at is None else score + 0.035 * recency(F.col("created_at"), at)
 
 
-def tenant_name(value: Column) -> Column:
-    """With the prefix tenant: in front, once; null where it is blank."""
-    value = F.trim(value)
-    return F.when(value == "", None).when(F.startswith(value, F.lit("tenant:")), value).otherwise(F.concat(F.lit("tenant:"), value))
+def tenant_name(value: Column, default: str = "tenant:default") -> Column:
+    """As it is with a colon, else behind the prefix tenant:; the default where it is blank."""
+    value = F.trim(F.coalesce(value, F.lit("")))
+    return F.when(value == "", default).when(F.contains(value, F.lit(":")), value).otherwise(F.concat(F.lit("tenant:"), value))
 
 
-def tenant_slug(value: Column) -> Column:
+def tenant_slug(value: Column, default: str = "tenant:default") -> Column:
     """What follows the first colon."""
-    return F.substring(value, F.locate(":", value) + 1, F.length(value))
+    name = tenant_name(value, default)
+    return F.substring(name, F.locate(":", name) + 1, F.length(name))
 
 
 def list_value(value: Column) -> Column:
     """Comma-separated items, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), F.trim), lambda x: x != "")
 
 
 def bool_value(value: Column, default: bool = False) -> Column:
-    v = F.lower(F.trim(value))
-    return F.when(v.isin("1", "true", "yes", "y", "on"), True).when(v.isin("0", "false", "no", "n", "off", ""), False).otherwise(F.lit(default))
+    v = F.coalesce(value, F.lit(""))
+    return F.when(v == "", default).otherwise(F.lower(F.trim(v)).isin("1", "true", "yes", "on"))
+
+
+def attr_pair(value: Column) -> Column:
+    """Struct (k, v) of key=value or key:value; null of anything else."""
+    mark = F.when(F.contains(value, F.lit("=")), "=").when(F.contains(value, F.lit(":")), ":")
+    at = F.locate("=", value)
+    at = F.when(mark == "=", at).otherwise(F.locate(":", value))
+    return F.when(mark.isNotNull(), F.struct(F.trim(F.substring(value, F.lit(1), at - 1)).alias("k"), F.trim(F.substring(value, at + 1, F.length(value))).alias("v")))
 
 
 def mirror_family(source_ids: Column) -> Column:
