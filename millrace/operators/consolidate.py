@@ -9,7 +9,7 @@ MIN_CLUSTER, STALE_DAYS = 3, 90.0
 # States that a merge must not touch.
 LOCKED_EPISTEMIC = ("approved-canonical",)
 LOCKED_TRUTH = ("human_approved",)
-LOCKED_REVIEW = ("proposed", "rejected", "disputed", "superseded")
+LOCKED_REVIEW = ("rejected", "disputed", "superseded")
 
 
 def exact_clusters(records: DataFrame, least: int = MIN_CLUSTER) -> DataFrame:
@@ -42,7 +42,7 @@ def may_merge(now: Column) -> Column:
     age = F.greatest((F.unix_micros(now) / 1e6 - F.coalesce("created_at", F.unix_micros(now) / 1e6)) / 86400.0, F.lit(0.0))
     return (
         no("retention", "pinned") & currently_valid(now) & no("epistemic", *LOCKED_EPISTEMIC) & no("truth_status", *LOCKED_TRUTH) & no("review_state", *LOCKED_REVIEW)
-        & (no("epistemic", "model-generated") | accepted) & ~F.coalesce("pii", F.lit(False)) & no("policy_scope", "contextual-aux") & (age >= STALE_DAYS)
+        & (no("epistemic", "model-generated") | accepted) & ~F.coalesce("pii", F.lit(False)) & (age >= STALE_DAYS)
     )
 
 
