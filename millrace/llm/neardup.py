@@ -11,7 +11,10 @@ Candidates are never all pairs of a bucket: first every document is compared
 with one document of its buckets (its star), and what is confirmed on the full
 sets is joined into components; then, within buckets that still hold several
 components, pairs across components. Pairs inside a component cannot change the
-result. Candidates whose one-bit sketches differ in more of 192 places than 7
+result. The star is the member with the fewest shingles that no other document
+has, as edits make such shingles: the original of a group of edited copies.
+Shingles of its own also bound what a document can share with any other, exactly;
+pairs under the bound are dropped. Candidates whose one-bit sketches differ in more of 192 places than 6
 deviations above the mean of a pair at the threshold are dropped.
 
 Links: 100 * |intersection| >= percent * |union| of the full 64-bit shingle sets.
@@ -46,7 +49,7 @@ def banding(percent: int) -> tuple[int, int]:
 
 def sketch_limit(percent: int) -> int:
     p = (1 - percent / 100) / 2
-    return int(COORDINATES * p + 7 * (COORDINATES * p * (1 - p)) ** 0.5)
+    return int(COORDINATES * p + 6 * (COORDINATES * p * (1 - p)) ** 0.5)
 
 
 def _permute(x: np.ndarray, m: int, n: int) -> np.ndarray:
@@ -142,10 +145,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _near(x: str, y: str, percent: int) -> Column:
-    """Whether two documents can be linked, by their sizes and sketches."""
+    """Whether two documents can be linked, by their sizes, shingles of their own and sketches."""
     differ = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(3)), F.lit(0))
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= sketch_limit(percent))
+    most = F.least(n - F.col(f"{x}.u"), m - F.col(f"{y}.u"))
+    return (100 * most >= percent * (n + m - most)) & (differ <= sketch_limit(percent))
+
+
+def _shingle_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = np.array([len(x.as_buffer()) // 8 for x in batch.column(1)], np.int64)
+    flat = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]) if len(sizes) else np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], ["h", "id"])
+
+
+def own_counts(sets: DataFrame) -> DataFrame:
+    """(id, u): how many shingles of a set stand in no other of the sets, where any do."""
+    alone = map_batches(sets, _shingle_rows, "h long, id long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return alone.groupBy("id").agg(F.count("*").alias("u"))
 
 
 def link_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -157,21 +173,27 @@ def link_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     alone = written(signed.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n")))
     discard(signed)
     discard(equal)
-    sketches = members.where("bands is not null").select(F.col("doc_id").alias("id"), "n", "s0", "s1", "s2")
     rows = members.where("bands is not null").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = written(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("head"), F.max("id").alias("foot")).where("c > 1 and head < foot").drop("c"))
-    # each bucket's members, with its two stars
-    buckets = written(rows.join(shared, "key"))
+    shared = written(rows.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("foot")).where("head < foot").select("key"))
+    members_of = written(rows.join(shared, "key"))
     discard(shared)
-    sets = written(map_batches(docs.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), _sets, "id long, shingles binary"))
+    sets = written(map_batches(docs.join(members_of.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), _sets, "id long, shingles binary").dropDuplicates(["id"]))
+    facts = members.where("bands is not null").select(F.col("doc_id").alias("id"), "n", "s0", "s1", "s2", "bands").join(sets.select("id"), "id").join(own_counts(sets), "id", "left")
+    facts = written(facts.withColumn("u", F.coalesce("u", F.lit(0))).distinct())
+    # a bucket's stars: the member with the fewest shingles of its own, and one by chance
+    told = members_of.join(facts.select("id", "u"), "id")
+    stars = written(told.groupBy("key").agg(F.min(F.struct("u", "id"))["id"].alias("star0"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("star1")))
+    buckets = written(members_of.join(stars, "key"))
+    discard(members_of)
+    discard(stars)
     labels = None
     edges: list[DataFrame] = []
     for n in range(ROUNDS):
-        stars = buckets.select("id", F.col(("head", "foot")[n % 2]).alias("star")).distinct().where("id <> star")
+        stars = buckets.select("id", F.col(f"star{n % 2}").alias("star")).distinct().where("id <> star")
         if labels is not None:
             stars = _labelled(_labelled(stars, labels, "id", "x"), labels, "star", "y").where("x <> y").drop("x", "y")
-        stars = stars.join(sketches.alias("p"), "id").join(sketches.withColumnRenamed("id", "star").alias("q"), "star").where(_near("p", "q", percent))
-        pairs = stars.groupBy("id").agg(F.min("star").alias("star")).select(F.col("star").alias("u"), F.col("id").alias("v"))
+        stars = stars.join(facts.drop("bands").alias("p"), "id").join(facts.drop("bands").withColumnRenamed("id", "star").alias("q"), "star").where(_near("p", "q", percent)).select("id", "star", F.col("q.u").alias("u"))
+        pairs = stars.groupBy("id").agg(F.min(F.struct("u", "star"))["star"].alias("star")).select(F.col("star").alias("u"), F.col("id").alias("v"))
         edges.append(written(confirmed(pairs, sets, percent)))
         if labels is not None:
             discard(labels)
@@ -179,10 +201,13 @@ def link_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = written(_labelled(buckets.select("key", "id"), labels, "id", "component"))
     discard(labels)
     mixed = written(own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
-    rest = written(own.join(mixed, "key").join(sketches, "id"))
-    across = rest.alias("p").join(rest.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & _near("p", "q", percent))
-    edges.append(written(confirmed(across.select(F.col("p.id").alias("u"), F.col("q.id").alias("v")).distinct(), sets, percent)))
-    for t in (buckets, own, mixed, rest, sets):
+    rest = written(own.join(mixed, "key").join(facts, "id"))
+    # a pair counts in the first bucket that it shares
+    first = F.get(F.filter(F.zip_with("p.bands", "q.bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()), F.lit(0))
+    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
+    across = rest.alias("p").join(rest.alias("q"), apart & _near("p", "q", percent) & (first == F.col("p.key")))
+    edges.append(written(confirmed(across.select(F.col("p.id").alias("u"), F.col("q.id").alias("v")), sets, percent)))
+    for t in (buckets, own, mixed, rest, sets, facts):
         discard(t)
     found = components(_union(edges)).withColumnRenamed("id", "rep")
     every = members.select("doc_id", "rep", "n").join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
