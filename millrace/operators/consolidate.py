@@ -48,7 +48,7 @@ def may_merge(now: Column) -> Column:
 
 def safe_clusters(members: DataFrame, now: Column, least: int = MIN_CLUSTER) -> DataFrame:
     """Whether each cluster (cluster_id and record columns) may be merged: one tenant, subject and policy, no locked member, all may merge."""
-    groups = F.to_json(F.struct("classification", F.array_sort("roles").alias("r"), F.array_sort(F.transform(F.coalesce("role_groups", F.array().cast("array<array<string>>")), F.array_sort)).alias("g")))
+    groups = F.to_json(F.struct("classification", F.array_sort("roles").alias("r"), F.array_sort(F.transform(F.coalesce("role_groups", F.array().cast("array<array<string>>")), lambda g: F.array_sort(g))).alias("g")))
     locked = F.coalesce(F.col("retention") == "pinned", F.lit(False)) | F.coalesce(F.col("epistemic").isin(*LOCKED_EPISTEMIC), F.lit(False)) | F.coalesce(F.col("truth_status").isin(*LOCKED_TRUTH), F.lit(False))
     by = members.groupBy("cluster_id").agg(
         F.count("*").alias("n"), F.count_distinct("tenant").alias("tenants"), F.count_distinct("subject").alias("subjects"), F.count_distinct(groups).alias("policies"),

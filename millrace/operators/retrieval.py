@@ -62,7 +62,7 @@ def term_counts(records: DataFrame, cue: str, text: str = "content") -> tuple[Da
     terms = query_tokens(cue)
     out = records.withColumn("_tokens", T.tokens(F.col(text))).withColumn("doclen", F.size("_tokens"))
     for i, t in enumerate(terms):
-        out = out.withColumn(f"tf_{i}", F.size(F.filter("_tokens", lambda x, t=t: x == t)))
+        out = out.withColumn(f"tf_{i}", F.size("_tokens") - F.size(F.array_remove("_tokens", t)))
     return out.drop("_tokens"), terms
 
 

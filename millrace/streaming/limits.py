@@ -32,7 +32,7 @@ def rate_limited(events: DataFrame, requests: int, window_s: float) -> DataFrame
                 remaining.append(requests - len(hits) if ok else 0)
             yield part.assign(allowed=allowed, remaining=remaining)
 
-    return own.mapInPandas(run, own.schema.add("allowed", "boolean").add("remaining", "int")).drop("us")
+    return own.mapInPandas(run, f"{own.schema.simpleString()[7:-1]}, allowed: boolean, remaining: int").drop("us")
 
 
 def nearest_rank(value: str, p: float, by: list[str], rows: DataFrame) -> DataFrame:
