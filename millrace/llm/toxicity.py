@@ -131,6 +131,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model | N
     train = order[len(texts) // 4 :]
     if not 0 < labels[train].sum() < len(train):
         train = order
+    held = held if len(held) else train
     hold = [np.zeros(PAD + 1), np.zeros(PAD + 1)]
     for i in train:
         hold[int(labels[i])][np.unique(texts[i])] += 1
@@ -209,7 +210,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model | N
 
 def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Bins as hashes again, for pad()."""
-    first = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    first = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64))).astype(np.int64)
     return np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.uint64) << np.uint64(64 - BITS), first
 
 
