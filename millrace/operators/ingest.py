@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 
-_TOKEN = re.compile(r"\S+")
+_TOKEN = re.compile("[A-Za-z0-9]+")
 
 
 def chunk_spans(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
@@ -39,6 +39,10 @@ def chunk_spans(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
         while i < len(tokens) and tokens[i][0] < end:
             own.append(tokens[i])
             i += 1
+        if len(own) <= target:  # a block that fits keeps what stands around its tokens
+            low, high = start + len(text[start:end]) - len(text[start:end].lstrip()), start + len(text[start:end].rstrip())
+            pieces.append((low, high, len(own)))
+            continue
         for a in range(0, len(own), target):
             part = own[a : a + target]
             pieces.append((part[0][0], part[-1][1], len(part)))
@@ -52,7 +56,7 @@ def chunk_spans(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
     for j, (start, end, _) in enumerate(spans):
         while k < len(tokens) and tokens[k][0] < start:
             k += 1
-        out.append((tokens[max(0, k - overlap)][0] if j and overlap else start, end))
+        out.append((tokens[max(0, k - overlap)][0] if j and overlap and k and tokens else start, end))
     return out
 
 
