@@ -78,6 +78,28 @@ ORACLE_SQL: dict[str, str] = {
             CAST(sum(upto) FILTER (reply OR i = n) AS BIGINT) AS formatted_chars,
             CAST(count(*) FILTER (reply OR i = n) AS BIGINT) AS n_examples
         FROM e GROUP BY conv_id""",
+    "op5_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS word FROM d
+        ), g AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM p
+        ), sh AS (SELECT DISTINCT doc_id, s FROM g WHERE i + 5 <= n OR (n < 5 AND i = 0)
+        ), c AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+        ), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS (SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * k >= 85 * (ca.n + cb.n - k)
+        ), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+        SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+        FROM d JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS word FROM d
+        ), g AS (SELECT *, CASE WHEN i + 50 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS s FROM p
+        ), f AS (SELECT s, min(doc_id) AS m FROM g WHERE s IS NOT NULL GROUP BY s
+        ), h AS (SELECT g.doc_id, i, word, coalesce(m < g.doc_id, false) AS hit FROM g LEFT JOIN f ON f.s = g.s
+        ), k AS (SELECT doc_id, i, word, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM h
+        ), t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS g, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS left_text FROM k GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(t.n, 0) AS n_words, coalesce(t.g, 0) AS n_removed, sha256(coalesce(left_text, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",
     "op7_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
