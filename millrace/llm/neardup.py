@@ -13,8 +13,10 @@ sets is joined into components; then, within buckets that still hold several
 components, pairs across components. Pairs inside a component cannot change the
 result. The star is the member with the fewest shingles that no other document
 has, as edits make such shingles: the original of a group of edited copies.
-Shingles of its own also bound what a document can share with any other, exactly;
-pairs under the bound are dropped. Candidates whose one-bit sketches differ in more of 192 places than 6
+Two exact bounds drop pairs before their sets are compared: shingles of its own
+bound what a document can share, and of 512 buckets of shingles each in which
+two documents' counts differ in parity holds a shingle of one of them alone.
+Candidates whose one-bit sketches differ in more of 192 places than 6
 deviations above the mean of a pair at the threshold are dropped.
 
 Links: 100 * |intersection| >= percent * |union| of the full 64-bit shingle sets.
@@ -39,7 +41,10 @@ K = 5
 PERCENT = 85
 COORDINATES = 192
 ROUNDS = 2
-SIGNATURE = "doc_id long, n long, a long, b long, s0 long, s1 long, s2 long, bands array<long>"
+#: Columns of a document's one-bit sketch and of the parities of its shingles in 512 buckets.
+BITS = ["s0", "s1", "s2"]
+ODD = [f"o{i}" for i in range(8)]
+SIGNATURE = f"doc_id long, n long, a long, b long, {', '.join(f'{c} long' for c in BITS + ODD)}, bands array<long>"
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -82,7 +87,7 @@ def _sign(percent: int):
             full = n > 0
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
             starts = (np.cumsum(n) - n)[full]
-            cols = np.zeros((5, len(n)), np.uint64)
+            cols = np.zeros((2 + len(BITS) + len(ODD), len(n)), np.uint64)
             bands = np.zeros((len(n), 0), np.int64)
             if full.any():
                 cols[0, full] = np.add.reduceat(mix(flat ^ np.uint64(0x51ED270B)), starts)
@@ -90,11 +95,14 @@ def _sign(percent: int):
                 sig = signatures(flat, starts)
                 for i in range(3):
                     cols[2 + i, full] = np.packbits((sig[64 * i : 64 * (i + 1)] & 1).astype(np.uint8), axis=0).T.copy().view(np.uint64)[:, 0]
+                places = np.repeat(np.arange(len(starts)) * 512, n[full]) + (flat >> np.uint64(55)).astype(np.int64)
+                odd_bits = (np.bincount(places, minlength=512 * len(starts)) & 1).astype(np.uint8).reshape(-1, 64)
+                cols[5:, full] = np.packbits(odd_bits, axis=1).view(np.uint64)[:, 0].reshape(-1, len(ODD)).T
                 keys = [mix((sig[rows * b : rows * (b + 1)].astype(np.uint64) * odd[:, None]).sum(axis=0, dtype=np.uint64) + np.uint64(b)) for b in range(bands_)]
                 bands = np.stack(keys, axis=1).view(np.int64)
             offsets = np.concatenate(([0], np.cumsum(full * bands.shape[1]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.row, c.docs), pa.array(n), *(pa.array(x.view(np.int64)) for x in cols), lists], ["doc_id", "n", "a", "b", "s0", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.row, c.docs), pa.array(n), *(pa.array(x.view(np.int64)) for x in cols), lists], ["doc_id", "n", "a", "b", *BITS, *ODD, "bands"])
 
     return run
 
@@ -146,10 +154,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _near(x: str, y: str, percent: int) -> Column:
     """Whether two documents can be linked, by their sizes, shingles of their own and sketches."""
-    differ = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(3)), F.lit(0))
+    differ, parity = (sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns), F.lit(0)) for columns in (BITS, ODD))
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     most = F.least(n - F.col(f"{x}.u"), m - F.col(f"{y}.u"))
-    return (100 * most >= percent * (n + m - most)) & (differ <= sketch_limit(percent))
+    return (100 * most >= percent * (n + m - most)) & ((100 + percent) * parity <= (100 - percent) * (n + m)) & (differ <= sketch_limit(percent))
 
 
 def _shingle_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -169,7 +177,7 @@ def link_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = written(map_batches(docs, _sign(percent), SIGNATURE))
     equal = written(signed.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
-    members = written(signed.join(equal, ["a", "b", "n"]).select("doc_id", "rep", "n", "s0", "s1", "s2", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+    members = written(signed.join(equal, ["a", "b", "n"]).select("doc_id", "rep", "n", *BITS, *ODD, F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     alone = written(signed.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n")))
     discard(signed)
     discard(equal)
@@ -178,7 +186,7 @@ def link_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members_of = written(rows.join(shared, "key"))
     discard(shared)
     sets = written(map_batches(docs.join(members_of.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), _sets, "id long, shingles binary").dropDuplicates(["id"]))
-    facts = members.where("bands is not null").select(F.col("doc_id").alias("id"), "n", "s0", "s1", "s2", "bands").join(sets.select("id"), "id").join(own_counts(sets), "id", "left")
+    facts = members.where("bands is not null").select(F.col("doc_id").alias("id"), "n", *BITS, *ODD, "bands").join(sets.select("id"), "id").join(own_counts(sets), "id", "left")
     facts = written(facts.withColumn("u", F.coalesce("u", F.lit(0))).distinct())
     # a bucket's stars: the member with the fewest shingles of its own, and one by chance
     told = members_of.join(facts.select("id", "u"), "id")
