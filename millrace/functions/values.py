@@ -100,7 +100,7 @@ def tenant_slug(value: Column, default: str = "tenant:default") -> Column:
 
 def list_value(value: Column) -> Column:
     """Comma-separated items, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def bool_value(value: Column, default: bool = False) -> Column:
@@ -146,3 +146,54 @@ def write_refusal() -> Column:
     contract = (F.col("kind") == "capability-contract") | (F.col("policy_scope") == "continuity-privileged")
     right = (F.col("kind") == "capability-contract") & (F.col("policy_scope") == "continuity-privileged") & ~F.col("indexed")
     return F.when(F.col("epistemic") == "approved-canonical", "approved-canonical requires approval").when(contract & ~right, "contracts must be privileged and unindexed")
+
+
+# Names of files that hint at secrets.
+SECRET_HINTS = ("password", "secret", "api_key", "apikey", "token", "credential", "private_key")
+
+
+def secret_hint(path: Column) -> Column:
+    return F.lower(path).rlike("|".join(SECRET_HINTS))
+
+
+def _stem(path: Column) -> Column:
+    return F.lower(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]+$", ""))
+
+
+def inferred_kind(path: Column) -> Column:
+    return F.when(_stem(path).startswith("reference_"), "source").otherwise("semantic")
+
+
+def inferred_epistemic(path: Column) -> Column:
+    """By the conventions of file names; the first that fits."""
+    s = _stem(path)
+    return (
+        F.when(s.startswith("feedback_"), "user-stated").when(s.startswith("reference_"), "imported-source").when(F.contains(s, F.lit("hypothesis")), "hypothesis")
+        .when(F.contains(s, F.lit("inferred")) | F.contains(s, F.lit("belief")), "inferred-belief").when(s.startswith("project_"), "observed-fact").otherwise("imported-source")
+    )
+
+
+def stable_id(tenant: Column, path: Column, content_hash: Column) -> Column:
+    """md_, a slug of the file name and a digest of tenant, path and content."""
+    from .text import slug
+
+    name = F.concat(tenant, F.lit("|"), path, F.lit("|"), content_hash)
+    return F.concat(F.lit("md_"), slug(_stem(path)), F.lit("_"), F.left(F.sha2(name, 256), F.lit(16)))
+
+
+def trimmed_distinct(items: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def metadata_error(valid_from: Column, valid_until: Column, now: Column) -> Column:
+    """Why a validity window may not be set: a bound that is no instant, a start in the future, an end before the start."""
+    no = lambda c: c.isNotNull() & instant(c).isNull()
+    return (
+        F.when(no(valid_from), "valid_from").when(no(valid_until), "valid_until").when(instant(valid_from) > now, "valid_from is in the future")
+        .when(instant(valid_until) < instant(valid_from), "valid_until is before valid_from")
+    )
+
+
+def utc_text(value: Column) -> Column:
+    """An instant as ISO-8601 text in UTC; null if it is none."""
+    return F.date_format(instant(value), "yyyy-MM-dd'T'HH:mm:ss'Z'")

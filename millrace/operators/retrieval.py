@@ -116,11 +116,12 @@ def collapsed(ranked: DataFrame, score: str, k: int) -> DataFrame:
     family = V.mirror_family(F.col("source_ids"))
     rows = ranked.withColumn("_key", F.coalesce(family["key"], F.concat(F.lit("id:"), F.col("id")))).withColumn("_prec", F.coalesce(family["rank"], F.lit(2)))
     order = [F.desc(score), F.col("_prec"), F.col("id")]
-    rows = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-    kept = rows.where("_nth = 1").withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_pos")) - 1).where(F.col("rank") < k)
-    last = kept.agg(F.max("_pos").alias("_last"))
-    lost = rows.where("_nth > 1").crossJoin(F.broadcast(last)).where("_pos < _last").groupBy("_key").agg(F.array_sort(F.collect_list("id")).alias("collapsed_ids"))
-    return kept.join(lost, "_key", "left").withColumn("collapsed_ids", F.coalesce("collapsed_ids", F.array().cast("array<string>"))).drop("_key", "_prec", "_pos", "_nth")
+    whole, family_of = Window.partitionBy(F.lit(0)), Window.partitionBy("_key")
+    rows = rows.withColumn("_pos", F.row_number().over(whole.orderBy(*order))).withColumn("_nth", F.row_number().over(family_of.orderBy(*order)))
+    rows = rows.withColumn("rank", F.sum(F.when(F.col("_nth") == 1, 1).otherwise(0)).over(whole.orderBy("_pos")) - 1)
+    rows = rows.withColumn("_last", F.max(F.when((F.col("_nth") == 1) & (F.col("rank") < k), F.col("_pos"))).over(whole))
+    lost = F.array_sort(F.collect_list(F.when((F.col("_nth") > 1) & (F.col("_pos") < F.col("_last")), F.col("id"))).over(family_of))
+    return rows.withColumn("collapsed_ids", lost).where((F.col("_nth") == 1) & (F.col("rank") < k)).drop("_key", "_prec", "_pos", "_nth", "_last")
 
 
 def recall(visible: DataFrame, cue: str, k: int = 8, topc: int = 50, method: str = "hybrid", intent: str = "default", entities: list[str] | None = None, at: Column | None = None) -> DataFrame:
