@@ -197,3 +197,10 @@ def metadata_error(valid_from: Column, valid_until: Column, now: Column) -> Colu
 def utc_text(value: Column) -> Column:
     """An instant as ISO-8601 text in UTC; null if it is none."""
     return F.date_format(instant(value), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def matches_marker(marker: str) -> Column:
+    """Whether a record is the one meant: equal to its id, subject, uri or path, or among its source or subject ids."""
+    return F.coalesce(
+        (F.col("id") == marker) | (F.col("subject") == marker) | (F.col("uri") == marker) | (F.col("path") == marker) | F.array_contains("source_ids", marker) | F.array_contains("subject_ids", marker), F.lit(False)
+    )

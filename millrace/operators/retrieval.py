@@ -137,3 +137,27 @@ def recall(visible: DataFrame, cue: str, k: int = 8, topc: int = 50, method: str
     ranked = collapsed(ranked, "rerank", topc).drop("rank")
     ranked = ranked.withColumn("score", F.round(V.typed_score(F.col("rerank"), intent=intent, entities=entities or [], at=at), 9))
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")) - 1).where(F.col("rank") < k)
+
+
+def scored_by(cands: DataFrame, cue: str, scorer, limit: int = 4000) -> DataFrame:
+    """Re-ranks by a model: scorer(cue, texts) -> scores, called on Arrow batches of clipped texts; `scorer` loads what it needs on the worker."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([float(x) for x in scorer(cue, texts.tolist())])
+
+    return cands.withColumn("rerank", score(T.clip(F.col("content"), limit)))
+
+
+def subject_first(visible: DataFrame, cue: str, subject: str, k: int = 8) -> DataFrame:
+    """Recall within a subject; over all visible records if the subject has none."""
+    own = visible.where(F.col("subject") == subject)
+    return recall(own if not own.isEmpty() else visible, cue, k)
+
+
+def keyword_fallback(records: DataFrame, cue: str, k: int = 8) -> DataFrame:
+    """Without any index: the k records that share most query tokens, as a share of them."""
+    terms = query_tokens(cue)
+    asked = F.array(*map(F.lit, terms)).cast("array<string>")
+    score = F.size(F.array_intersect(asked, T.tokens(F.col("content")))) / max(1, len(terms))
+    return records.withColumn("score", F.round(score, 9)).where("score > 0").orderBy(F.desc("score"), "id").limit(k)

@@ -1,13 +1,16 @@
 """Further queries: keys and signatures, strict reading, reports, names, metadata, links."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import crypto
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import audit, graph, ingest, policy, strict
-from .queries import _CHAIN, _chain, _requests, query, with_records
-from .records import EDGES_SQL, edges, records, table
+from ..operators import audit, consolidate, gates, graph, ingest, policy, retrieval, strict
+from ..sources import files
+from .queries import _CHAIN, _CLAIMS_SQL, _DECIDED, _STEPS, _chain, _claims, _requests, query, visible, with_records
+from .records import CUE, DENY_SQL, EDGES_SQL, SHOWN_SQL, SUPPORT, edges, records, table
 
 ROOT = b"root of the test tables"
 
@@ -153,3 +156,92 @@ query("g6_proposals", with_records("SELECT e.child, e.parent || CASE WHEN r.doc_
 query("w2_recent_window", "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS most FROM events")(lambda s, d: table(s, d, "events").selectExpr("event_id", "max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS most"))
 query("u7_dimension_guard", "SELECT count(*) FILTER (len(embedding) <> 64) AS off FROM embeddings")(lambda s, d: table(s, d, "embeddings").agg(F.count_if(F.size("embedding") != 64).alias("off")))
 query("c21_heads", f"WITH RECURSIVE {_CHAIN} SELECT chain_id, max(seq) AS head_seq, arg_max(row_hash, seq) AS head_hash FROM ch GROUP BY chain_id")(lambda s, d: audit.chain_status(_chain(s, d)).select("chain_id", "head_seq", "head_hash"))
+
+
+# Smaller operators, each by itself
+
+_CUE_TERMS = "[" + ", ".join(repr(t) for t in retrieval.query_tokens(CUE)) + "]"
+query("r32_keyword_fallback", with_records(f"SELECT id, round(CAST(len(list_intersect({_CUE_TERMS}, regexp_extract_all(lower(content), '[a-z0-9]+'))) AS DOUBLE) / {len(retrieval.query_tokens(CUE))}, 9) AS score FROM r ORDER BY score DESC, id LIMIT 8"))(
+    lambda s, d: retrieval.keyword_fallback(records(s, d), CUE).select("id", "score")
+)
+query("r31_subject_first")(lambda s, d: retrieval.subject_first(visible(s, d), CUE, "src:src1").select("rank", "id", "score"))
+query("r12_model_rerank", with_records("SELECT id, CAST(length(content) AS DOUBLE) AS rerank FROM r WHERE length(content) <= 4000"))(
+    lambda s, d: retrieval.scored_by(records(s, d).where("length(content) <= 4000"), CUE, lambda cue, texts: [len(t) for t in texts]).select("id", "rerank")
+)
+query("r28_recall_by_tenant", with_records("SELECT tenant, count(*) AS n FROM r WHERE class_rank <= 1 AND len(roles) = 0 AND len(role_groups) = 0 AND NOT needs_region AND visibility = 'tenant' GROUP BY tenant"))(
+    lambda s, d: reduce(
+        lambda a, b: a.unionByName(b), (policy.visible(records(s, d), policy.Principal("x", f"tenant:{t}")).groupBy("tenant").agg(F.count("*").alias("n")) for t in ("en", "fr", "de", "es"))
+    )
+)
+query(
+    "r26_explain_counts",
+    with_records(f"SELECT count(*) FILTER ({DENY_SQL} = 'ok') AS visible, count(*) FILTER ({DENY_SQL} <> 'ok') AS denied, count(*) FILTER (NOT ({SHOWN_SQL})) AS hidden FROM r WHERE tenant = 'tenant:en'"),
+)(lambda s, d: records(s, d).where("tenant = 'tenant:en'").agg(F.count_if(policy.deny_reason(SUPPORT) == "ok").alias("visible"), F.count_if(policy.deny_reason(SUPPORT) != "ok").alias("denied"), F.count_if(~policy.review_shown()).alias("hidden")))
+query("a9_claim_summary", with_records("SELECT " + ", ".join(f"count(*) FILTER (label = '{x}') AS claims_{x}" for x in gates.CLAIM_LABELS) + " FROM ev", _CLAIMS_SQL))(
+    lambda s, d: gates.check_claims(_claims(s, d)).agg(*(F.count_if(F.col("label") == x).alias(f"claims_{x}") for x in gates.CLAIM_LABELS))
+)
+query("x13_support_scores", with_records("SELECT id, round(score, 9) AS score, CAST(len(ct) AS INTEGER) AS n FROM lb", _CLAIMS_SQL.split(", ev AS")[0]))(
+    lambda s, d: _claims(s, d).select("id", F.round(T.support_score(F.col("claim"), F.coalesce("support", F.lit(""))), 9).alias("score"), F.size(T.claim_tokens(F.col("claim"))).alias("n"))
+)
+query("x15_contradictions", with_records("SELECT id, way = 0 AS contradicted FROM cm", _CLAIMS_SQL.split(", sc AS")[0]))(lambda s, d: _claims(s, d).select("id", T.contradicts(F.col("claim"), F.col("support")).alias("contradicted")))
+query("x19_provider_match", with_records("SELECT id, CASE WHEN doc_id % 20 = 2 THEN NULL ELSE 'p1' END AS provider FROM r"))(lambda s, d: _requests(s, d).select("id", gates.matched_provider(F.col("model"), F.col("providers"))["provider_policy_id"].alias("provider")))
+query("x21_generation_allowed", with_records("SELECT id, decision <> 'denied' AND decision <> 'human_approval_required' AS allowed FROM fin", _DECIDED, _STEPS))(lambda s, d: gates.egress(_requests(s, d)).select("id", gates.generation_allowed(F.col("decision")).alias("allowed")))
+query("x32_default_truth", with_records("SELECT id, CASE WHEN epistemic = 'model-generated' THEN 'generated_supported' WHEN epistemic IN ('inferred-belief', 'hypothesis', 'simulated') THEN 'inferred' ELSE 'source_observed' END AS truth, CASE epistemic WHEN 'observed-fact' THEN 3 WHEN 'user-stated' THEN 2 WHEN 'imported-source' THEN 2 WHEN 'inferred-belief' THEN 1 WHEN 'model-generated' THEN 1 ELSE 0 END AS trust FROM r"))(
+    lambda s, d: records(s, d).select("id", V.default_truth(F.col("epistemic")).alias("truth"), V.trust_rank(F.col("epistemic")).alias("trust"))
+)
+query("x34_cited_text", with_records("SELECT id, lang || ' ' || source AS text FROM r"))(
+    lambda s, d: records(s, d).select("id", gates.source_text(F.array(F.lit("b"), F.lit("z"), F.lit("a")), F.array(*(F.struct(F.lit(n).alias("span_id"), F.get("entities", F.lit(i)).alias("text")) for i, n in enumerate("ab")))).alias("text"))
+)
+query("x28_marker_match", with_records("SELECT id FROM r WHERE subject = 'src:src2' OR path = 'notes/src4/4.md' OR id = 'doc_00000009'"))(lambda s, d: records(s, d).where(V.matches_marker("src:src2") | V.matches_marker("notes/src4/4.md") | V.matches_marker("doc_00000009")).select("id"))
+query("x7_stable_ids", with_records("SELECT id, 'md_' || CAST(doc_id % 50 AS VARCHAR) || '_' || substr(sha256(tenant || '|' || path || '|' || content_hash), 1, 16) AS stable FROM r"))(lambda s, d: records(s, d).select("id", V.stable_id(F.col("tenant"), F.col("path"), F.col("content_hash")).alias("stable")))
+query("d10_set_typed_metadata", with_records("SELECT id, CASE WHEN kind = 'source' AND truth_status IS NULL THEN 'human_approved' ELSE truth_status END AS truth_status, kind = 'source' AND truth_status IS NULL AS changed FROM r"))(
+    lambda s, d: policy.set_where(records(s, d), "truth_status", F.lit(None).cast("string"), F.lit("human_approved"), F.col("kind") == "source").select("id", "truth_status", "changed")
+)
+query("d16_lineage", with_records("SELECT artifact_id, any_value(subject) AS subject FROM (SELECT id AS artifact_id, subject FROM r UNION ALL SELECT 'emb:' || id, subject FROM r) GROUP BY 1"))(
+    lambda s, d: records(s, d).select(F.explode(F.array("id", F.concat(F.lit("emb:"), "id"))).alias("artifact_id"), "subject").dropDuplicates(["artifact_id"])
+)
+query("n3_cluster_order", with_records("SELECT row_number() OVER (ORDER BY subject, ids) AS place, subject, ids FROM (SELECT subject, string_agg(id, ',' ORDER BY id) AS ids FROM r GROUP BY tenant, subject, content_hash HAVING count(*) >= 2)"))(
+    lambda s, d: consolidate.exact_clusters(records(s, d), 2).select("subject", F.array_join("ids", ",").alias("ids")).withColumn("place", F.expr("CAST(row_number() OVER (ORDER BY subject, ids) AS BIGINT)"))
+)
+query("k5_registry_lookup", with_records("SELECT id, subject IN ('src:src1', 'src:src2') AS registered FROM r"))(
+    lambda s, d: records(s, d).join(records(s, d).where("subject IN ('src:src1', 'src:src2')").select("created_by", F.lit(True).alias("_k")).distinct(), "created_by", "left").select("id", F.coalesce("_k", F.lit(False)).alias("registered"))
+)
+query("k6_verify_records", with_records("SELECT id, doc_id % 3 <> 0 AS ok FROM r"))(
+    lambda s, d: (
+        records(s, d)
+        .withColumn("sig", crypto.signature(ROOT, crypto.payload(F.col("id"), F.col("content_hash"), F.lit(""), F.col("created_by"), F.col("epistemic"))))
+        .withColumn("epistemic", F.when(F.col("doc_id") % 3 == 0, "hypothesis-x").otherwise(F.col("epistemic")))
+        .select("id", (F.col("sig") == crypto.signature(ROOT, crypto.payload(F.col("id"), T.content_hash(F.col("content")), F.lit(""), F.col("created_by"), F.col("epistemic")))).alias("ok"))
+    )
+)
+
+
+@query("i3_contextual_ingest", with_records("SELECT id, CASE WHEN doc_id % 3 = 0 AND length(content) > 0 THEN 'whole_file' ELSE 'contextual' END AS mode FROM r WHERE regexp_matches(content, '[A-Za-z0-9]')"))
+def contextual(spark, sf_dir):
+    """Chunks go in with context only if all of a document pass; every third document has a chunk that does not."""
+    parts = ingest.chunks(records(spark, sf_dir).select("id", F.col("content").alias("text")), 200, 20)
+    n = F.substring("id", 5, 8).cast("long")
+    gated = parts.withColumn("egress_ok", ~((n % 3 == 0) & (F.col("ordinal") == 0))).withColumn("decision", F.lit("accepted")).withColumn("context", F.lit("about"))
+    return ingest.contextual_outcome(gated).select("id", "mode")
+
+
+@query("i4_generated_gate", with_records("SELECT id, CASE WHEN decision IN ('denied', 'human_approval_required') THEN 'egress' WHEN label IN ('contradicted', 'unsupported') THEN 'rejected' ELSE 'proposed' END AS outcome FROM fin JOIN (SELECT id AS cid, label FROM ev) c ON cid = id", _DECIDED, _STEPS, _CLAIMS_SQL))
+def generated(spark, sf_dir):
+    """A generated record is written as proposed only if egress allows its making and its claims hold."""
+    allowed = gates.egress(_requests(spark, sf_dir)).select("id", gates.generation_allowed(F.col("decision")).alias("ok"))
+    checked = gates.check_claims(_claims(spark, sf_dir)).select("id", "label")
+    return allowed.join(checked, "id").select("id", F.when(~F.col("ok"), "egress").when(F.col("label").isin("contradicted", "unsupported"), "rejected").otherwise("proposed").alias("outcome"))
+
+
+query("s11_query_lines", "SELECT text AS cue FROM benchmark WHERE trim(text) <> ''")(lambda s, d: files.queries_of(table(s, d, "benchmark").select(F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.to_json(F.struct(F.col("text").alias("query")))).alias("value"))))
+query("s12_edge_rows", "SELECT event_id, 'u' || user_id AS child, event_type AS parent, CASE WHEN event_id % 2 = 0 THEN 'kind' ELSE 'related_to' END AS kind FROM events")(
+    lambda s, d: (
+        table(s, d, "events")
+        .select("event_id", F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("child"), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("parent"), F.col("event_type"), F.lit("kind"), F.lit("kind"))).otherwise(F.create_map(F.lit("src_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("dst_id"), F.col("event_type"))).alias("f"))
+        .select("event_id", files.edge_proposals(F.col("f")).alias("e"))
+        .select("event_id", "e.*")
+    )
+)
+query("s10_json_records", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, len(json_keys(props)) AS n FROM events")(
+    lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("n"))
+)
