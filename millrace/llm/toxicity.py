@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .jobs import keep_rows, map_batches
 from .text import ALNUM, chunks, one
 
-SAMPLE = 6_000
+SAMPLE = 9_000
 SAMPLE_BYTES = 200_000
 BITS = 15
 WIDTHS = (1, 2, 3)
@@ -40,7 +40,7 @@ WIDE_FILTERS = 4
 DIM = 8
 EPOCHS = 5
 #: Words in a smaller part of the sample's documents have no embedding of their own: what follows them is chance.
-LEAST = 0.004
+LEAST = 0.002
 PAD = 1 << BITS
 #: Function words by language; they choose a threshold only.
 LANGUAGES = {"en": "the of and to in is that for it was", "fr": "le la les des et du un une est que", "de": "der die das und den ein nicht mit ist zu", "es": "el los las una por con del se para y"}
