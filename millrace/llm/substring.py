@@ -7,8 +7,8 @@ First level, half the length: of the half windows in each full window the one
 with the least hash is its anchor, so equal windows have equal anchors, and one
 word in thirteen starts one. Anchors that stand in one document alone end there.
 Second level: only full windows around anchors that repeat are hashed and
-compared. No candidate is left after that: longer repeats are unions of these
-windows, and no level above can change what is removed.
+compared. What is removed ends here, as longer repeats are unions of these
+windows; longest_repeats() doubles on until no candidates survive.
 
 Words are [^\\x20\\x09-\\x0D]+ as they stand, windows are compared by 64-bit hashes.
 Counts are combined before they are shuffled, and the rows of a common window
@@ -111,8 +111,8 @@ def repeated(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, starts: places (in words, from 0) of the windows that go, for documents with any."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(h, doc_id, start) of the windows around repeated anchors, and repeated() of them; both are written tables."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     anchors = map_batches(docs, _anchors(window), "h long, doc_id long")
     shared = written(repeated(anchors).select("h"))
@@ -120,14 +120,44 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     discard(shared)
     windows = written(map_batches(docs.join(alive, "doc_id").select("doc_id", "text", "alive"), _windows(window), "h long, doc_id long, start int"))
     discard(alive)
-    first = written(repeated(windows))
-    starts = windows.join(first, "h").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    out = written(starts)
+    return windows, written(repeated(windows))
+
+
+def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, starts: places (in words, from 0) of the windows that go, for documents with any."""
+    windows, first = repeated_windows(docs, window)
+    out = written(windows.join(first, "h").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("start").alias("starts")))
     discard(windows)
     discard(first)
     return out
 
 
+def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, longest: the greatest length window * 2**k of which a document has a window that another has too.
+
+    The doubling goes on until no candidates survive: two repeated windows end to end make one of twice the
+    length, known by both hashes, so no text is read again.
+    """
+    windows, first = repeated_windows(docs, window)
+    rows = written(windows.join(first.select("h"), "h"))
+    discard(windows)
+    discard(first)
+    found, length = None, window
+    while not rows.isEmpty():
+        level = written(rows.select("doc_id", F.lit(length).alias("longest")).distinct())
+        found = level if found is None else found.unionByName(level)
+        ahead = rows.select(F.col("h").alias("h2"), "doc_id", (F.col("start") - length).alias("start"))
+        twice = written(rows.join(ahead, ["doc_id", "start"]).select(F.xxhash64("h", "h2").alias("h"), "doc_id", "start"))
+        again = written(repeated(twice).select("h"))
+        longer = written(twice.join(again, "h"))
+        for t in (rows, twice, again):
+            discard(t)
+        rows, length = longer, 2 * length
+    if found is None:
+        return rows.select("doc_id", F.lit(length).alias("longest"))
+    return found.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, kept (the words left, joined by one space), n_words, n_removed of every document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

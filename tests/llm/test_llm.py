@@ -412,3 +412,18 @@ def test_substring_dedup_of_shifted_and_nested_repeats(spark):
     df = table(spark, [(d, t, 1, "x", len(t)) for d, t in docs], "doc_id long, text string, starts int, h string, n_chars long")
     rows = {r["doc_id"]: r for r in substring.without_repeats(df).collect()}
     assert rows[1]["text"] == docs[0][1] and rows[6]["text"] == "" and rows[6]["n_chars"] == 0 and rows[2].asDict().keys() == {"doc_id", "text", "starts", "h", "n_chars"}
+
+
+def test_doubling_goes_on_until_no_candidates_survive(spark):
+    p = prose(450, 21)
+    docs = [(1, p), (2, [*prose(20, 22), *p[:210]]), (3, p[100:190]), (4, prose(300, 23)), (5, p[:400]), (6, ["x"] * 500)]
+    got = {r["doc_id"]: r["longest"] for r in substring.longest_repeats(table(spark, [(d, " ".join(w)) for d, w in docs])).collect()}
+    expected = {}
+    for n in (50, 100, 200, 400):
+        seen = collections.defaultdict(set)
+        for d, w in docs:
+            for i in range(len(w) - n + 1):
+                seen[tuple(w[i : i + n])].add(d)
+        expected |= {d: n for ds in seen.values() if len(ds) > 1 for d in ds}
+    assert got == expected == {1: 400, 2: 200, 3: 50, 5: 400}
+    assert substring.longest_repeats(table(spark, [(4, "a")])).count() == 0
