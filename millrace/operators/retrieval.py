@@ -83,6 +83,28 @@ def bm25(records: DataFrame, cue: str, text: str = "content", k1: float = 1.5, b
     return counted.crossJoin(F.broadcast(stats)).withColumn("bm25", score).select(*records.columns, "doclen", "bm25")
 
 
+def term_index(records: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Postings (token, id, tf) and lengths (id, doclen), to be written once and read by many queries.
+
+    Written sorted by token, a query reads only the row groups of its own tokens. No statistics of the corpus
+    are kept, as they depend on what a principal may see.
+    """
+    tokens = records.select("id", T.tokens(F.col(text)).alias("t"))
+    return tokens.select("id", F.explode("t").alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf")), tokens.select("id", F.size("t").cast("long").alias("doclen"))
+
+
+def bm25_indexed(postings: DataFrame, lengths: DataFrame, visible: DataFrame, cue: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(id, bm25) of the visible records that hold a query token, from an index instead of texts."""
+    seen = lengths.join(visible.select("id"), "id", "left_semi")
+    stats = seen.agg(F.count("*").alias("n_docs"), F.avg("doclen").alias("avgdl"))
+    hits = postings.where(F.col("token").isin(*query_tokens(cue))).join(seen, "id")
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))  # a row for each query token
+    rows = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doclen") / F.col("avgdl")))
+    return rows.groupBy("id").agg(F.sum(part).alias("bm25"))
+
+
 def nearest(vectors: DataFrame, query: list[float], n: int, metric: str = "dot") -> DataFrame:
     """The n rows with the highest dot product, or least distance (score: its negative), with the query."""
     q = F.array(*(F.lit(float(x)) for x in query))

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import audit, consolidate, gates, graph, ingest, policy, retrieval, strict
 from ..sources import files
-from .queries import _CHAIN, _CLAIMS_SQL, _DECIDED, _STEPS, _chain, _claims, _requests, query, visible, with_records
+from .queries import _BM25, _CHAIN, _CLAIMS_SQL, _DECIDED, _STEPS, _TOKENS, _VISIBLE, _chain, _claims, _requests, query, visible, with_records
 from .records import CUE, DENY_SQL, EDGES_SQL, SHOWN_SQL, SUPPORT, edges, records, table
 
 ROOT = b"root of the test tables"
@@ -245,3 +245,7 @@ query("s12_edge_rows", "SELECT event_id, 'u' || user_id AS child, event_type AS
 query("s10_json_records", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, len(json_keys(props)) AS n FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("n"))
 )
+query("r6_term_index", with_records("SELECT t AS token, count(DISTINCT id) AS docs, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM r) GROUP BY t HAVING count(*) > 20"))(
+    lambda s, d: retrieval.term_index(records(s, d))[0].groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("n")).where("n > 20")
+)
+query("r7_bm25_indexed", with_records("SELECT id, round(bm25, 6) AS bm25 FROM b WHERE bm25 > 0", _VISIBLE, _TOKENS, _BM25))(lambda s, d: retrieval.bm25_indexed(*retrieval.term_index(records(s, d)), visible(s, d), CUE).select("id", F.round("bm25", 6).alias("bm25")))
