@@ -1,11 +1,17 @@
 """Clusters of equal and near records, and which of them may be merged."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 
 MIN_CLUSTER, STALE_DAYS = 3, 90.0
+#: Vectors in the memory of a task at once.
+BLOCK = 8_192
 # States that a merge must not touch.
 LOCKED_EPISTEMIC = ("approved-canonical",)
 LOCKED_TRUTH = ("human_approved",)
@@ -18,14 +24,44 @@ def exact_clusters(records: DataFrame, least: int = MIN_CLUSTER) -> DataFrame:
     return by.where(F.col("n") >= least).select("tenant", "subject", F.lit("content_hash").alias("reason"), F.col("content_hash").alias("key"), "ids", F.lit(1.0).alias("score"))
 
 
-def near_neighbourhoods(vectors: DataFrame, threshold: float, least: int = MIN_CLUSTER, block: str = "label") -> DataFrame:
-    """Star-shaped sets: a vector and all of its block with dot product >= threshold; equal sets once, under their smallest id.
+def near_pairs(vectors: DataFrame, threshold: float, block: str = "label") -> DataFrame:
+    """(id, other, sim) of all pairs in a block with dot product >= threshold, and each row with itself.
 
-    Pairs are made within a block only; sets of ids are bounded by what is near, not by the block.
+    All rows are held against BLOCK rows at a time, a bounded matrix in the tasks' memory: only near pairs
+    are ever made, and no vector is shuffled.
     """
-    rows = vectors.select(F.col("vec_id").alias("id"), F.col(block).alias("block"), "embedding")
-    dot = F.aggregate(F.zip_with("p.embedding", "q.embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = rows.alias("p").join(rows.alias("q"), F.col("p.block") == F.col("q.block")).select(F.col("p.id").alias("id"), F.col("q.id").alias("other"), F.round(dot, 9).alias("sim")).where((F.col("sim") >= threshold) | (F.col("id") == F.col("other")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col(block).cast("string").alias("block"), F.col("embedding").cast("array<double>").alias("v")).where("id IS NOT NULL AND block IS NOT NULL AND size(v) > 0")
+    passes, out = max(1, -(-rows.count() // BLOCK)), None
+    for n in range(passes):
+        own = rows.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == n).collect()
+        part = rows.mapInPandas(_near([(r["id"], r["block"], r["v"]) for r in own], threshold), "id long, other long, sim double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _near(own: list[tuple[int, str, list[float]]], threshold: float):
+    by: dict[tuple[str, int], list] = {}
+    for i, b, v in own:
+        by.setdefault((b, len(v)), []).append((i, v))
+    kept = {k: (np.array([i for i, _ in x]), np.array([v for _, v in x])) for k, x in by.items()}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for key, rows in part.groupby([part["block"], part["v"].map(len)]):
+                if key not in kept:
+                    continue
+                ids, matrix = kept[key]
+                others = rows["id"].to_numpy()
+                sims = np.round(matrix @ np.stack(rows["v"].to_numpy()).T, 9)
+                p, q = np.nonzero((sims >= threshold) | (ids[:, None] == others[None, :]))
+                yield pd.DataFrame({"id": ids[p], "other": others[q], "sim": sims[p, q]})
+
+    return run
+
+
+def near_neighbourhoods(vectors: DataFrame, threshold: float, least: int = MIN_CLUSTER, block: str = "label") -> DataFrame:
+    """Star-shaped sets: a vector and all of its block with dot product >= threshold; equal sets once, under their smallest id."""
+    pairs = near_pairs(vectors, threshold, block)
     stars = pairs.groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("ids"), F.min("sim").alias("score")).where(F.size("ids") >= least)
     return stars.groupBy("ids").agg(F.min("id").alias("key"), F.min_by("score", "id").alias("score"))
 
