@@ -427,3 +427,19 @@ def test_doubling_goes_on_until_no_candidates_survive(spark):
         expected |= {d: n for ds in seen.values() if len(ds) > 1 for d in ds}
     assert got == expected == {1: 400, 2: 200, 3: 50, 5: 400}
     assert substring.longest_repeats(table(spark, [(4, "a")])).count() == 0
+
+
+def test_odd_pages_and_turns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "http://a.com/", "x"), (2, "", None), (3, "http://x.net/es/" + "a" * 100_000, "x")], "page_id long, url string, html string").withColumns({"host": F.lit("h"), "rule": F.lit(1)})
+    turns = spark.createDataFrame([(1, 0, None, None, 1), (1, 0, None, None, 1), (None, None, "user", "x" * 50_000, 2), (2, 5, "assistant", "", 3)], "conv_id long, turn long, role string, text string, t int").withColumn("example", F.lit(1))
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    for sub, limit in (("full", 9), ("none", 0)):
+        folder = str(tmp_path / sub)
+        pages.limit(limit).write.parquet(f"{folder}/pages.parquet")
+        turns.limit(limit).write.parquet(f"{folder}/conversations.parquet")
+        vectors.write.parquet(f"{folder}/embeddings.parquet")
+        assert QUERIES["op6_url_filter"](spark, folder).count() == (5 if limit else 0)
+        got = {r["conv_id"]: r for r in QUERIES["op2_chat_formatting"](spark, folder).collect()}
+        assert set(got) == ({-1, 1, 2, None} if limit else {-1})
+        assert not limit or (got[1]["n_turns"], got[None]["n_turns"], got[2]["loss_chars"]) == (2, 1, 0)
+        assert QUERIES["op7_exact_top_k"](spark, folder).count() == 0
