@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import audit, consolidate, gates, graph, ingest, policy, retrieval, strict
+from ..operators import audit, consolidate, documents, gates, graph, ingest, policy, retrieval, strict
 from ..sources import files
 from .queries import _BM25, _CHAIN, _CLAIMS_SQL, _DECIDED, _STEPS, _TOKENS, _VISIBLE, _chain, _claims, _requests, query, visible, with_records
 from .records import CUE, DENY_SQL, EDGES_SQL, SHOWN_SQL, SUPPORT, edges, records, table
@@ -249,3 +249,50 @@ query("r6_term_index", with_records("SELECT t AS token, count(DISTINCT id) AS do
     lambda s, d: retrieval.term_index(records(s, d))[0].groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("n")).where("n > 20")
 )
 query("r7_bm25_indexed", with_records("SELECT id, round(bm25, 6) AS bm25 FROM b WHERE bm25 > 0", _VISIBLE, _TOKENS, _BM25))(lambda s, d: retrieval.bm25_indexed(*retrieval.term_index(records(s, d)), visible(s, d), CUE).select("id", F.round("bm25", 6).alias("bm25")))
+
+
+# Files as records, closed documents, cutovers
+
+_LINES = "string_split(content, chr(10))"
+query("s17_str_replace", with_records("SELECT id, CASE WHEN n = 1 THEN replace(content, ' the ', ' a ') ELSE content END AS text, CASE WHEN n = 0 THEN 'not found' WHEN n > 1 THEN 'found more than once' END AS error FROM (SELECT *, (length(content) - length(replace(content, ' the ', ''))) // 5 AS n FROM r)"))(
+    lambda s, d: records(s, d).withColumn("x", documents.replaced_once(F.col("content"), " the ", " a ")).select("id", "x.text", "x.error")
+)
+query("s17_insert_line", with_records(f"SELECT id, CASE WHEN len({_LINES}) >= 2 THEN array_to_string(list_concat({_LINES}[1:2], ['new'], {_LINES}[3:]), chr(10)) ELSE content END AS text, CASE WHEN len({_LINES}) < 2 THEN 'no such line' END AS error FROM r"))(
+    lambda s, d: records(s, d).withColumn("x", documents.inserted(F.col("content"), 2, "new")).select("id", "x.text", "x.error")
+)
+query("s17_rename", with_records("SELECT id, CASE WHEN starts_with(path, 'notes/src1/') THEN 'old/src1' || substr(path, 11) ELSE path END AS path FROM r"))(lambda s, d: documents.renamed(records(s, d).select("id", "path"), "notes/src1", "old/src1"))
+query("x25_path_check", "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'path required' WHEN 2 THEN 'illegal path' WHEN 3 THEN 'outside the root' WHEN 4 THEN 'illegal path' END AS error FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", documents.path_error(F.get(F.array(*map(F.lit, ("/memories/./a//b", "", "/memories/../etc", "/memory/x", "/memories/%2E%2e/x"))), F.col("doc_id") % 5)).alias("error"))
+)
+query("c20_closed_schema", "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'unknown:z' WHEN 2 THEN 'missing:b' WHEN 3 THEN 'invalid:a' END AS error FROM events")(
+    lambda s, d: table(s, d, "events").select("event_id", documents.closed_error(F.get(F.array(*map(F.lit, ('{"a":"1","b":"x"}', '{"a":"1","b":"x","z":1}', '{"a":"1"}', '{"a":"q","b":"x"}'))), F.col("event_id") % 4), {"a": "[0-9]+", "b": "[a-z]+"}).alias("error"))
+)
+
+
+@query("c15_cutover", "SELECT user_id AS chain_id, CASE user_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'sealed' WHEN 2 THEN 'stale_approval' ELSE 'not_consecutive' END AS state FROM events GROUP BY user_id")
+def cutover(spark, sf_dir):
+    """Each user's log ends in a seal: activated, open, approved on another head, or followed by something else."""
+    heads = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("chain_id")).agg(F.count("*").alias("n"))
+    u = F.col("chain_id") % 4
+    rows = F.array(
+        F.struct(F.col("n").alias("seq"), F.lit("remember").alias("action"), F.lit(None).cast("long").alias("approved_seq")), F.struct((F.col("n") + 1).alias("seq"), F.lit("strict_seal").alias("action"), F.when(u == 2, F.col("n") - 1).otherwise(F.col("n")).alias("approved_seq")),
+        F.struct((F.col("n") + 2).alias("seq"), F.when(u == 3, "remember").otherwise("strict_activate").alias("action"), F.lit(None).cast("long").alias("approved_seq")),
+    )
+    log = heads.select("chain_id", F.explode(F.when(u == 1, F.slice(rows, 1, 2)).otherwise(rows)).alias("x")).select("chain_id", "x.*")
+    return documents.cutovers(log).select("chain_id", "state")
+
+
+query("c9_anchor_records", "SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'anchor_id' WHEN 2 THEN 'chain_id' WHEN 3 THEN 'seq' WHEN 4 THEN 'row_hash' WHEN 5 THEN 'created_at' END AS error FROM events")(
+    lambda s, d: (
+        table(s, d, "events")
+        .withColumn("k", F.col("event_id") % 6)
+        .select("event_id", F.when(F.col("k") == 1, "x y").otherwise("anchor:1").alias("anchor_id"), F.when(F.col("k") == 2, "other").otherwise("main").alias("chain_id"), F.when(F.col("k") == 3, 0).otherwise(5).alias("seq"), F.when(F.col("k") == 4, "zz").otherwise(F.sha2("event_type", 256)).alias("row_hash"), F.when(F.col("k") == 5, "soon").otherwise("2024-01-01T00:00:00Z").alias("created_at"))
+        .select("event_id", documents.anchor_error("main").alias("error"))
+    )
+)
+query("k7_rewrap", with_records("SELECT subject, CASE WHEN subject = 'src:src3' THEN 'shredded' WHEN row_number() OVER (PARTITION BY subject = 'src:src3' ORDER BY subject) <= 5 THEN 'rewrapped' ELSE 'left' END AS outcome, subject <> 'src:src3' AND row_number() OVER (PARTITION BY subject = 'src:src3' ORDER BY subject) <= 5 AS under_new FROM (SELECT DISTINCT subject FROM r WHERE tenant = 'tenant:en')"))(
+    lambda s, d: (
+        documents.rewrapped(_keys(s, d).withColumn("dek", crypto.wrapped(F.col("dek"), ROOT, "tenant:en")), ROOT, b"new root", "tenant:en", 5)
+        .select("subject", "outcome", crypto.unwrapped(F.col("dek"), b"new root", "tenant:en").isNotNull().alias("under_new"))
+    )
+)
