@@ -121,10 +121,8 @@ query("x8_inferred_kinds", with_records("SELECT id, CASE doc_id % 5 WHEN 0 THEN
 )
 query("x10_secret_names", with_records("SELECT id, doc_id % 2 = 0 AS hint FROM r"))(lambda s, d: records(s, d).select("id", V.secret_hint(F.when(F.col("doc_id") % 2 == 0, "ops/API_KEYS.md").otherwise("ops/notes.md")).alias("hint")))
 query("x14_claim_anchors", "SELECT doc_id, 'case 7,eligible,not eligible' AS anchors FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(T.anchors(F.lit("Case 7 is Not_eligible")), ",").alias("anchors")))
-query("x22_request_labels", with_records("SELECT id, CASE doc_id % 20 WHEN 11 THEN 'ssn' WHEN 9 THEN 'email' ELSE '' END AS labels, classification AS classes FROM r WHERE doc_id % 20 < 12"))(
-    lambda s, d: (
-        _requests(s, d).where("CAST(substring(id, 5) AS INT) % 20 < 12").select("id", F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: x["pii_labels"])))), ",").alias("labels"), F.array_join(F.array_distinct(F.transform("spans", lambda x: x["classification"])), ",").alias("classes"))
-    )
+query("x22_request_labels", with_records("SELECT id, rtrim(labels, ',') AS labels, classification AS classes FROM rq", _DECIDED))(
+    lambda s, d: _requests(s, d).select("id", F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: x["pii_labels"])))), ",").alias("labels"), F.array_join(F.array_distinct(F.transform("spans", lambda x: x["classification"])), ",").alias("classes"))
 )
 query("x27_canonical_json", "SELECT event_id, '{\"a\":\"' || event_type || '\",\"b\":\"' || user_id || '\",\"c\":null}' AS body FROM events")(lambda s, d: table(s, d, "events").select("event_id", audit.body(b=F.col("user_id"), c=F.lit(None), a=F.col("event_type")).alias("body")))
 query("x29_index_text", with_records("SELECT id, CASE WHEN doc_id % 2 = 0 THEN content ELSE source || chr(10) || chr(10) || content END AS t FROM r"))(lambda s, d: records(s, d).select("id", ingest.index_text(F.when(F.col("doc_id") % 2 == 1, F.get("entities", F.lit(0))).otherwise(""), F.col("content")).alias("t")))
@@ -165,8 +163,8 @@ query("r32_keyword_fallback", with_records(f"SELECT id, round(CAST(len(list_inte
     lambda s, d: retrieval.keyword_fallback(records(s, d), CUE).select("id", "score")
 )
 query("r31_subject_first")(lambda s, d: retrieval.subject_first(visible(s, d), CUE, "src:src1").select("rank", "id", "score"))
-query("r12_model_rerank", with_records("SELECT id, CAST(length(content) AS DOUBLE) AS rerank FROM r WHERE length(content) <= 4000"))(
-    lambda s, d: retrieval.scored_by(records(s, d).where("length(content) <= 4000"), CUE, lambda cue, texts: [len(t) for t in texts]).select("id", "rerank")
+query("r12_model_rerank", with_records("SELECT id, CAST(least(length(content), 4000) AS DOUBLE) AS rerank FROM r"))(
+    lambda s, d: retrieval.scored_by(records(s, d), CUE, lambda cue, texts: [len(t) for t in texts]).select("id", "rerank")
 )
 query("r28_recall_by_tenant", with_records("SELECT tenant, count(*) AS n FROM r WHERE class_rank <= 1 AND len(roles) = 0 AND len(role_groups) = 0 AND NOT needs_region AND visibility = 'tenant' GROUP BY tenant"))(
     lambda s, d: reduce(

@@ -45,7 +45,7 @@ query(
     with_records("SELECT id, CASE WHEN truth_status IS NOT NULL THEN truth_status WHEN epistemic = 'model-generated' THEN 'generated_supported' WHEN epistemic IN ('inferred-belief', 'hypothesis', 'simulated') THEN 'inferred' ELSE 'source_observed' END AS truth_status, coalesce(review_state, 'none') AS review_state, subject AS first_subject FROM r"),
 )(lambda s, d: records(s, d).select("id", V.truth_status(F.col("truth_status"), F.col("epistemic")).alias("truth_status"), F.coalesce("review_state", F.lit("none")).alias("review_state"), F.get("subject_ids", F.lit(0)).alias("first_subject")))
 query("s5_point_get", with_records("SELECT id, kind, content FROM r WHERE id = 'doc_00000042'"))(lambda s, d: records(s, d).where("id = 'doc_00000042'").select("id", "kind", "content"))
-query("s6_embeddings_scan", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings WHERE len(embedding) > 0 AND vec_id % 17 <> 0")(lambda s, d: table(s, d, "embeddings").where((F.size("embedding") > 0) & (F.col("vec_id") % 17 != 0)).select("vec_id", F.size("embedding").alias("dims")))
+query("s6_embeddings_scan", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings WHERE len(embedding) > 0")(lambda s, d: table(s, d, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.size("embedding").alias("dims")))
 query("s7_by_source_path", with_records("SELECT id, path FROM r WHERE path = 'notes/src3/3.md' OR 'markdown://notes/src3/3' = replace('markdown://' || path, '.md', '')"))(lambda s, d: records(s, d).where((F.col("path") == "notes/src3/3.md") | (F.col("uri") == "markdown://notes/src3/3") | F.array_contains("source_ids", "markdown://notes/src3/3")).select("id", "path"))
 query("s17_latest_by_path", with_records("SELECT path, arg_max(id, created_at) AS id, count(*) AS versions FROM r GROUP BY path"))(lambda s, d: ingest.latest_by(records(s, d), "path").select("path", "id", "versions"))
 query("s18_line_ranges", with_records("SELECT id, array_to_string(string_split(content, chr(10))[2:3], chr(10)) AS lines, substr(content, 1, 700) AS head FROM r WHERE starts_with(path, 'notes/src1/')"))(
@@ -350,11 +350,11 @@ query("x2_tenant_names", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'tenant:d
         table(s, d, "documents").withColumn("raw", F.when(F.col("doc_id") % 3 == 0, " ").when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), "lang")).otherwise(F.concat(F.lit("org:"), "lang", F.lit(":x")))).select("doc_id", V.tenant_name(F.col("raw")).alias("name"), V.tenant_slug(F.col("raw")).alias("slug"))
     )
 )
-query("x7_slug", with_records("SELECT id, substr(CASE WHEN trim(regexp_replace(lower(substr(content, 1, 60)), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'memory' ELSE trim(regexp_replace(lower(substr(content, 1, 60)), '[^a-z0-9]+', '_', 'g'), '_') END, 1, 36) AS slug FROM r"))(
-    lambda s, d: records(s, d).select("id", T.slug(F.left("content", F.lit(60))).alias("slug"))
+query("x7_slug", with_records("SELECT id, substr(CASE WHEN trim(regexp_replace(lower(content), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'memory' ELSE trim(regexp_replace(lower(content), '[^a-z0-9]+', '_', 'g'), '_') END, 1, 36) AS slug FROM r"))(
+    lambda s, d: records(s, d).select("id", T.slug(F.col("content")).alias("slug"))
 )
-query("x9_secrets", with_records("SELECT id, doc_id % 2 = 0 AS secret FROM r WHERE length(content) > 100"))(
-    lambda s, d: records(s, d).where("length(content) > 100").select("id", T.shows_secret(F.concat("content", F.lit(" " * 30 + "key AK" + "IA" + "Q" * 16), F.when(F.col("doc_id") % 2 == 0, " ").otherwise(" placeholder"))).alias("secret"))
+query("x9_secrets", with_records("SELECT id, doc_id % 2 = 0 AS secret FROM r"))(
+    lambda s, d: records(s, d).select("id", T.shows_secret(F.concat("content", F.lit(" " * 30 + "key AK" + "IA" + "Q" * 16), F.when(F.col("doc_id") % 2 == 0, " ").otherwise(" placeholder"))).alias("secret"))
 )
 query("x18_redaction", with_records(f"SELECT id, {_REDACTED} AS redacted, rtrim({_LABELS.replace('{x}', 'content')}, ',') AS labels FROM r"))(lambda s, d: records(s, d).select("id", T.redact(F.col("content")).alias("redacted"), F.array_join(T.detected_pii(F.col("content")), ",").alias("labels")))
 query("x24_numbered_lines", with_records("SELECT id, array_to_string([lpad(CAST(i AS VARCHAR), 6, ' ') || chr(9) || string_split(content, chr(10))[i] FOR i IN range(1, len(string_split(content, chr(10))) + 1)], chr(10)) AS numbered FROM r"))(lambda s, d: records(s, d).select("id", T.numbered_lines(F.col("content")).alias("numbered")))
@@ -362,11 +362,12 @@ query("x24_numbered_lines", with_records("SELECT id, array_to_string([lpad(CAST(
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document answers for one of the benchmark passages, altered in one of four ways."""
-    claims = table(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", F.col("text").alias("passage"))
+    claims = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    n = claims.agg(F.count("*").alias("items"))  # one row
     d = F.col("doc_id")
-    rows = records(spark, sf_dir).select("id", d, F.col("content").alias("own"), (d % 40).alias("item_id")).join(claims, "item_id")
-    start = F.concat(F.left("passage", F.lit(80)), F.lit(" order 7"))
-    claim = F.when(d % 4 == 0, F.concat(start, F.lit(" approved"))).when(d % 4 == 1, F.left("passage", F.lit(80))).otherwise(start)
+    rows = records(spark, sf_dir).select("id", d, F.col("content").alias("own")).crossJoin(F.broadcast(n)).withColumn("item_id", d % F.col("items")).join(claims, "item_id")
+    start = F.concat("passage", F.lit(" order 7"))
+    claim = F.when(d % 4 == 0, F.concat(start, F.lit(" approved"))).when(d % 4 == 1, F.col("passage")).otherwise(start)
     support = F.when(d % 4 == 0, F.concat(start, F.lit(" denied"))).when(d % 4 == 1, F.concat("passage", F.when(d % 8 == 1, " may be").otherwise(""))).when(d % 4 == 2, F.col("passage")).otherwise(F.when(d % 8 == 3, "").otherwise(F.concat(F.col("own"), F.lit(" order 7"))))
     return rows.select("id", F.col("item_id").alias("candidate_id"), (d % 5 != 0).alias("material"), (d % 16 != 15).alias("cited"), claim.alias("claim"), support.alias("support"))
 
@@ -374,8 +375,8 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLAT = "replace(trim(regexp_replace(replace(lower({x}), '_', ' '), '\\s+', ' ', 'g')), '-', ' ')"
 _SETS = "[t FOR t IN list_distinct(regexp_extract_all(trim(regexp_replace(replace(lower({x}), '_', ' '), '\\s+', ' ', 'g')), '[a-z0-9]+')) IF length(t) > 2 AND t NOT IN ('a', 'an', 'and', 'are', 'because', 'by', 'for', 'has', 'is', 'of', 'on', 'the', 'to', 'was', 'with')]"
 _CLAIMS_SQL = (
-    "cm AS (SELECT r.id, r.doc_id % 40 AS candidate_id, r.doc_id % 5 <> 0 AS material, r.doc_id % 16 <> 15 AS cited, substr(b.text, 1, 80) || CASE r.doc_id % 4 WHEN 0 THEN ' order 7 approved' WHEN 1 THEN '' ELSE ' order 7' END AS claim, "
-    "CASE r.doc_id % 4 WHEN 0 THEN substr(b.text, 1, 80) || ' order 7 denied' WHEN 1 THEN b.text || CASE WHEN r.doc_id % 8 = 1 THEN ' may be' ELSE '' END WHEN 2 THEN b.text ELSE CASE WHEN r.doc_id % 8 = 3 THEN '' ELSE r.content || ' order 7' END END AS support, r.doc_id % 4 AS way FROM r JOIN benchmark b ON b.item_id = r.doc_id % 40), "
+    "cm AS (SELECT r.id, b.item_id AS candidate_id, r.doc_id % 5 <> 0 AS material, r.doc_id % 16 <> 15 AS cited, b.text || CASE r.doc_id % 4 WHEN 0 THEN ' order 7 approved' WHEN 1 THEN '' ELSE ' order 7' END AS claim, "
+    "CASE r.doc_id % 4 WHEN 0 THEN b.text || ' order 7 denied' WHEN 1 THEN b.text || CASE WHEN r.doc_id % 8 = 1 THEN ' may be' ELSE '' END WHEN 2 THEN b.text ELSE CASE WHEN r.doc_id % 8 = 3 THEN '' ELSE r.content || ' order 7' END END AS support, r.doc_id % 4 AS way FROM r JOIN benchmark b ON b.item_id = r.doc_id % (SELECT count(*) FROM benchmark)), "
     f"sc AS (SELECT *, {_SETS.replace('{x}', 'claim')} AS ct, {_SETS.replace('{x}', 'support')} AS stt, {_FLAT.replace('{x}', 'support')} AS sf FROM cm), "
     "lb AS (SELECT *, CASE WHEN len(ct) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect(ct, stt)) AS DOUBLE) / len(ct) END AS score FROM sc), "
     "ev AS (SELECT *, CASE WHEN NOT cited OR support = '' THEN 'not_checkable' WHEN way = 0 THEN 'contradicted' WHEN way = 2 AND NOT contains(sf, 'order 7') THEN 'unsupported' "
