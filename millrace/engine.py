@@ -18,6 +18,7 @@ from .functions import text as T
 from .functions import values as V
 from .operators import audit, graph, ingest, policy, retrieval
 from .operators.policy import Principal
+from .sources import files
 
 SCHEMAS = {
     "records": "id string, tenant string, subject string, created_by string, kind string, epistemic string, confidence double, salience double, classification string, pii boolean, roles array<string>, role_groups array<array<string>>, attrs array<struct<k:string,v:string>>, visibility string, review_state string, valid_from string, valid_until string, created_at double, content_hash string, indexed boolean, entities array<string>, subject_ids array<string>, source_ids array<string>, source_spans array<string>, policy_scope string, truth_status string, retention string, uri string, producer_sig string, content_enc binary",
@@ -127,6 +128,40 @@ class Engine:
         self._commit({"records": stored, "edges": edges, "lineage": lineage, "keys": keys, "audit": self._audit("remember", principal.id, "records", report, principal.tenant)}, {})
         return report
 
+    def import_markdown(self, root: str, who: Principal) -> dict:
+        """Records from *.md files under root: fields from frontmatter, else from file names; secrets make a record restricted.
+
+        Files that stand unchanged are skipped; of changed ones the old record is purged once the new one is written.
+        """
+        told = files.with_frontmatter(files.read_markdown(self.spark, root))
+        uri, f = F.concat(F.lit("markdown://"), "relative_path"), F.col("fields")
+        secret = T.shows_secret(F.col("body"))
+        given = F.create_map(
+            F.lit("content"), F.col("body"), F.lit("uri"), uri, F.lit("subject"), F.coalesce(f["subject"], F.concat(F.lit("file:"), "relative_path")), F.lit("kind"), F.coalesce(f["kind"], V.inferred_kind(F.col("relative_path"))),
+            F.lit("epistemic"), F.coalesce(f["epistemic"], V.inferred_epistemic(F.col("relative_path"))), F.lit("classification"), F.when(secret, "restricted").otherwise(F.coalesce(f["classification"], F.lit("internal"))),
+            F.lit("pii"), F.when(secret, "true").otherwise(F.coalesce(f["pii"], F.lit("false"))),
+        )
+        rest = F.map_filter(f, lambda k, v: ~k.isin("content", "text", "body", "uri", "source_uri", "source_id", "subject", "subject_id", "kind", "memory_type", "epistemic", "epistemic_class", "classification", "pii", "contains_pii"))
+        rows = graph.cut(told.select(F.map_concat(rest, given).alias("fields"), uri.alias("path"), F.lit(who.tenant).alias("tenant"), T.content_hash(F.col("body")).alias("content_hash")))
+        old = self.table("records").where((F.col("tenant") == who.tenant) & F.startswith("uri", F.lit("markdown://"))).select("tenant", F.col("uri").alias("path"), "content_hash", "id")
+        plan = graph.cut(ingest.import_plan(old, rows).where("new_hash IS NOT NULL"))
+        todo = plan.where("action IN ('insert', 'update')").select("path")
+        stale = [r["id"] for r in old.join(plan.where("action = 'update'").select("path"), "path").select("id").collect()]
+        report = self.remember_many(rows.join(todo, "path", "left_semi").select("fields"), who)
+        for record_id in stale:
+            self.purge(record_id, who)
+        return {**{r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}, "written": report["written"]}
+
+    def import_links(self, who: Principal) -> dict:
+        """Edges from [[links]] between the records that the principal may read; known edges stay as they are."""
+        rows = graph.cut(self.readable(who).select("id", "subject", "uri", F.regexp_replace("uri", "^markdown://", "").alias("path"), "content"))
+        links = graph.cut(graph.wikilinks(rows, graph.aliases(rows)))
+        new = links.where("outcome = 'edge'").select(F.col("id").alias("child"), "parent", F.lit("wikilink").alias("kind"), F.col("place").alias("ordinal"))
+        added = graph.cut(graph.add_edges(self.table("edges"), new).where("inserted"))
+        report = {r["outcome"]: r["count"] for r in links.groupBy("outcome").count().collect()} | {"inserted": added.count()}
+        self._commit({"edges": added, "audit": self._audit("import_links", who.id, "edges", report, who.tenant)}, {})
+        return report
+
     def _change(self, action: str, who: Principal, target: str, changed: DataFrame, detail: dict) -> int:
         changed = graph.cut(changed)
         n = changed.where("changed").count()

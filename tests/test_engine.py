@@ -69,3 +69,20 @@ def test_forgetting_cascades_and_is_audited(engine):
     from millrace.operators import audit
 
     assert audit.chain_status(log).first()["first_bad_seq"] == 3
+
+
+def test_markdown_import_updates_and_links(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), b"k" * 32)
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    (notes / "reference_one.md").write_text("---\nsubject: s:one\n---\nabout [[project two]] and [[nothing]]")
+    (notes / "project_two.md").write_text("key AK" + "IA" + "Q" * 16)
+    assert e.import_markdown(str(notes), CHIEF) == {"insert": 2, "written": 2}
+    got = {r["uri"]: r for r in e.table("records").collect()}
+    assert got["markdown://reference_one.md"]["kind"] == "source" and got["markdown://reference_one.md"]["subject"] == "s:one"
+    assert got["markdown://project_two.md"]["classification"] == "restricted" and got["markdown://project_two.md"]["pii"]
+    assert e.import_links(CHIEF) == {"edge": 1, "dangling": 1, "inserted": 1}
+    (notes / "project_two.md").write_text("no key")
+    assert e.import_markdown(str(notes), CHIEF) == {"skip": 1, "update": 1, "written": 1}
+    assert {r["uri"]: r["classification"] for r in e.table("records").collect()} == {"markdown://reference_one.md": "internal", "markdown://project_two.md": "internal"}
+    assert e.verify_audit()["ok"]
