@@ -294,6 +294,20 @@ def test_host_words_and_bayes():
     assert odds("cityhistorymuseum.org", "/en/article") < 0 and odds("thering.org") < 0
 
 
+@pytest.mark.parametrize("host", "porn.org casino.org viagra.org escort.org payday-loan.org onlinegambling.org casino-win.org free-bets.org ads-track.org adult-x.org spam-farm.org cheap-pills.org".split())
+def test_words_alone_block_unwanted_hosts(host):
+    labels = host.removesuffix(".org")
+    for name in (host, f"www.{labels}.example.org", f"m.{labels}.example.net"):
+        assert urls.block_odds(urls.url_words(name, "/en/81.html")) > 0
+
+
+def test_url_words_come_from_the_vocabulary_and_the_prior_from_the_labelled_hosts():
+    assert urls.segment("onlinegambling") == ["online", "gambling"] and urls.segment("mountainrailway") == ["mountain", "railway"]
+    assert len(urls.lexicon()[0]) > 20_000
+    assert urls.learn([["a1"], ["b1"], ["b1"]], [["c1"]])[1] == math.log(1 / 3)
+    assert all(urls.block_odds(urls.url_words(h, "/en/8")) < 0 for h in ("library.org", "blog.tionsh.example.net", "www.therin.example.org", "movie-reviews.org"))
+
+
 # 7
 
 
