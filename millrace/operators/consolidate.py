@@ -12,6 +12,8 @@ from ..functions import values as V
 MIN_CLUSTER, STALE_DAYS = 3, 90.0
 #: Vectors in the memory of a task at once.
 BLOCK = 8_192
+#: Rows held against them at once.
+ROWS = 256
 # States that a merge must not touch.
 LOCKED_EPISTEMIC = ("approved-canonical",)
 LOCKED_TRUTH = ("human_approved",)
@@ -24,13 +26,13 @@ def exact_clusters(records: DataFrame, least: int = MIN_CLUSTER) -> DataFrame:
     return by.where(F.col("n") >= least).select("tenant", "subject", F.lit("content_hash").alias("reason"), F.col("content_hash").alias("key"), "ids", F.lit(1.0).alias("score"))
 
 
-def near_pairs(vectors: DataFrame, threshold: float, block: str = "label") -> DataFrame:
-    """(id, other, sim) of all pairs in a block with dot product >= threshold, and each row with itself.
+def near_pairs(vectors: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
+    """(id, other, sim) of all pairs (with a block: of equal, non-null values of that column) with dot product >= threshold, and each row with itself.
 
     All rows are held against BLOCK rows at a time, a bounded matrix in the tasks' memory: only near pairs
     are ever made, and no vector is shuffled.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col(block).cast("string").alias("block"), F.col("embedding").cast("array<double>").alias("v")).where("id IS NOT NULL AND block IS NOT NULL AND size(v) > 0")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), (F.col(block).cast("string") if block else F.lit("")).alias("block"), F.col("embedding").cast("array<double>").alias("v")).where("id IS NOT NULL AND block IS NOT NULL AND size(v) > 0")
     passes, out = max(1, -(-rows.count() // BLOCK)), None
     for n in range(passes):
         own = rows.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == n).collect()
@@ -51,16 +53,17 @@ def _near(own: list[tuple[int, str, list[float]]], threshold: float):
                 if key not in kept:
                     continue
                 ids, matrix = kept[key]
-                others = rows["id"].to_numpy()
-                sims = np.round(matrix @ np.stack(rows["v"].to_numpy()).T, 9)
-                p, q = np.nonzero((sims >= threshold) | (ids[:, None] == others[None, :]))
-                yield pd.DataFrame({"id": ids[p], "other": others[q], "sim": sims[p, q]})
+                for a in range(0, len(rows), ROWS):
+                    others = rows["id"].to_numpy()[a : a + ROWS]
+                    sims = np.round(matrix @ np.stack(rows["v"].to_numpy()[a : a + ROWS]).T, 9)
+                    p, q = np.nonzero((sims >= threshold) | (ids[:, None] == others[None, :]))
+                    yield pd.DataFrame({"id": ids[p], "other": others[q], "sim": sims[p, q]})
 
     return run
 
 
-def near_neighbourhoods(vectors: DataFrame, threshold: float, least: int = MIN_CLUSTER, block: str = "label") -> DataFrame:
-    """Star-shaped sets: a vector and all of its block with dot product >= threshold; equal sets once, under their smallest id."""
+def near_neighbourhoods(vectors: DataFrame, threshold: float, least: int = MIN_CLUSTER, block: str | None = None) -> DataFrame:
+    """Star-shaped sets: a vector and all (with a block: all of its block) with dot product >= threshold; equal sets once, under their smallest id."""
     pairs = near_pairs(vectors, threshold, block)
     stars = pairs.groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("ids"), F.min("sim").alias("score")).where(F.size("ids") >= least)
     return stars.groupBy("ids").agg(F.min("id").alias("key"), F.min_by("score", "id").alias("score"))

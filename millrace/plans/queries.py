@@ -427,10 +427,21 @@ query("x11_chunks")(lambda s, d: ingest.chunks(records(s, d).select("id", F.col(
 # Clusters
 
 query("n1_exact_clusters", with_records("SELECT tenant, subject, content_hash AS key, string_agg(id, ',' ORDER BY id) AS ids FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2"))(lambda s, d: consolidate.exact_clusters(records(s, d), 2).select("tenant", "subject", "key", F.array_join("ids", ",").alias("ids")))
+
+def _near_clusters(spark, sf_dir, block=None):
+    """Of equal `label` alone in n2_near_clusters, as in its SQL; of all vectors, as in the reference, in n2_near_clusters_all."""
+    found = consolidate.near_neighbourhoods(table(spark, sf_dir, "embeddings"), 0.3, block=block)
+    return found.select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "key", F.round("score", 6).alias("score"))
+
+
 query(
     "n2_near_clusters",
     f"WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, round({_DOT}, 9) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label), s AS (SELECT id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS ids, round(min(sim), 6) AS score FROM p WHERE sim >= 0.3 OR id = other GROUP BY id HAVING count(*) >= 3) SELECT ids, min(id) AS key, arg_min(score, id) AS score FROM s GROUP BY ids",
-)(lambda s, d: consolidate.near_neighbourhoods(table(s, d, "embeddings"), 0.3).select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "key", F.round("score", 6).alias("score")))
+)(lambda s, d: _near_clusters(s, d, "label"))
+query(
+    "n2_near_clusters_all",
+    f"WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, round({_DOT}, 9) AS sim FROM embeddings a CROSS JOIN embeddings b), s AS (SELECT id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS ids, round(min(sim), 6) AS score FROM p WHERE sim >= 0.3 OR id = other GROUP BY id HAVING count(*) >= 3) SELECT ids, min(id) AS key, arg_min(score, id) AS score FROM s GROUP BY ids",
+)(lambda s, d: _near_clusters(s, d))
 _NOW = "TIMESTAMP '2024-04-01'"
 _MERGE = f"retention <> 'pinned' AND coalesce(valid_from, '') <> 'not-a-date' AND {VALID_SQL} AND {SHOWN_SQL} AND (epistemic <> 'model-generated' OR coalesce(review_state = 'accepted', false)) AND NOT pii AND greatest((epoch({_NOW}) - created_at) / 86400.0::DOUBLE, 0) >= 90"
 query("n4_may_merge", with_records(f"SELECT id, {_MERGE} AS mergeable FROM r"))(lambda s, d: records(s, d).select("id", consolidate.may_merge(at()).alias("mergeable")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import values as V
-from millrace.operators import audit, gates, graph, ingest, policy
+from millrace.operators import audit, consolidate, gates, graph, ingest, policy
 from millrace.sources import files
 from millrace.streaming import limits
 
@@ -168,3 +168,12 @@ def test_policy_on_private_attrs_and_groups(spark):
     cases = [({}, "ok"), ({"tenant": "u"}, "cross-tenant"), ({"classification": "restricted"}, "classification>clearance"), ({"role_groups": [["c"]]}, "role"), ({"attrs": [("region", "eu")]}, "attr:region"), ({"visibility": "private"}, "private"), ({"visibility": "private", "created_by": "me"}, "ok"), ({"roles": [], "role_groups": None, "attrs": None}, "ok")]
     df = spark.createDataFrame([{**row, **c} for c, _ in cases], schema)
     assert [r[0] for r in df.select(policy.deny_reason(who)).collect()] == [x for _, x in cases]
+
+
+def test_near_clusters_cross_labels_and_keep_rows_without_one(spark, monkeypatch):
+    rows = [(1, "a", [1.0, 0.0]), (2, "b", [0.9, 0.1]), (3, None, [0.8, 0.2]), (4, "a", [0.0, 1.0]), (5, "b", [0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    clusters = lambda **kw: [(r["ids"], r["key"]) for r in consolidate.near_neighbourhoods(df, 0.5, **kw).collect()]
+    assert clusters() == [([1, 2, 3], 1)] and clusters(block="label") == []
+    monkeypatch.setattr(consolidate, "BLOCK", 2)
+    assert clusters() == [([1, 2, 3], 1)]
