@@ -12,7 +12,7 @@ table look-up a word.
 
 Similarity: the weight of the shingles in common (multisets) over the larger of
 the two total weights. A shingle weighs 1 / (number of items that hold it), 1 if
-none does. Words are lower-cased runs of ASCII letters, digits and non-ASCII, so
+none does; items count over the whole benchmark, however many passes it takes. Words are lower-cased runs of ASCII letters, digits and non-ASCII, so
 case, punctuation and line breaks do not hide a leak.
 
 Defined results: null and empty texts and items match nothing; items of under
@@ -49,9 +49,13 @@ def fingerprints(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray,
 
 
 class Items:
-    """The benchmark's shingles, weights, fingerprints and multi-index, by number of words."""
+    """The shingles, weights, fingerprints and multi-index of a part of the benchmark, by number of words.
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    shared: the shingles that more than one item of the whole benchmark holds, in order, and how many do.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray]):
+        self.shared, self.held = shared
         texts = [(int(i), w) for i, t in rows if i is not None and len(w := one(t or "", ALNUM))]
         self.shingles = [grams(w, min(K, len(w))) for _, w in texts]
         self.ids = [i for i, _ in texts]
@@ -72,10 +76,10 @@ class Items:
             self.groups[n] = own, prints, [_FLIPS[:, prints[:, b]] for b in range(BLOCKS)]
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
+        if not len(self.shared):
             return np.ones(len(shingles))
-        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
-        return np.where(self.keys[at] == shingles, 1.0 / (self.until - self.at)[at], 1.0)
+        at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+        return np.where(self.shared[at] == shingles, 1.0 / self.held[at], 1.0)
 
     def holds(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the items' shingles, and which."""
@@ -151,18 +155,34 @@ def _search(items: Items):
     return run
 
 
+def shared_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that more than one item of the benchmark (item_id, text) holds, in order, and how many do."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = [one(t or "", ALNUM) for t in batch.column(1).to_pylist()]
+        own = np.concatenate([*(np.unique(grams(w, min(K, len(w)))) for w in words if len(w)), np.zeros(0, np.uint64)])
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["shingle"])
+
+    counts = map_batches(rows.where("item_id is not null"), run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    keys = counts["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], counts["n"].to_numpy()[order]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The benchmark, ITEMS items at a time."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     passes = max(1, -(-rows.count() // ITEMS))
+    shared = shared_shingles(rows)
     for n in range(passes):
-        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).orderBy("item_id", "text").collect()])
+        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).orderBy("item_id", "text").collect()], shared)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item in it: doc_id, item_id, start_word, n_words, similarity, distance (bits).
 
-    The benchmark is taken ITEMS items at a time, a bounded table in the tasks' memory; no document is shuffled.
+    The benchmark is taken ITEMS items at a time, a bounded table in the tasks' memory, beside the shared shingles
+    of the whole benchmark (16 bytes each), by which each pass weighs alike; no document is shuffled.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
