@@ -7,7 +7,8 @@ vector over their words. All of it is trained here, in numpy, with Adam.
 
 Thresholds are calibrated by language: the language is guessed from the text's
 function words alone, and its threshold, the one with fewest errors on labelled
-rows kept out of the descent, is taken from the logit. So score >= 0.5 is the
+rows kept out of the descent, or the general one if under 5 of those are toxic,
+is taken from the logit. So score >= 0.5 is the
 calibrated decision, and no column but the text enters a score.
 
 The fit sees at most SAMPLE labelled rows of at most SAMPLE_BYTES each, those
@@ -121,6 +122,12 @@ def threshold(logits: np.ndarray, labels: np.ndarray, fallback: float) -> float:
     return float(s[0] + 1 if k == 0 else (s[k - 1] + s[k]) / 2 if k < len(s) else s[-1] - 1)
 
 
+def cuts(logits: np.ndarray, lang: np.ndarray, labels: np.ndarray) -> list[float]:
+    """Each language's own threshold, below the general one or above it; last the general one, which languages of few toxic labels take too."""
+    general = threshold(logits, labels, 0.0)
+    return [*(threshold(logits[lang == i], labels[lang == i], general) for i in range(len(LANGUAGES))), general]
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model | None:
     """texts: word bins of each row."""
     if not 0 < labels.sum() < len(labels):
@@ -199,12 +206,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model | N
     model = Model(p["e"].astype(np.float32), {w: p[w].astype(np.float32) for w in filters}, p["b"].astype(np.float32), p["u"], float(p["c"]), np.zeros(len(LANGUAGES) + 1))
     x, at = pad(*_joined([texts[i] for i in held]))
     logits, lang, y = np.maximum(pooled(model, model.tables(), x, at), 0) @ model.out + model.base, languages(x, at, known_bins()), labels[held]
-    general = threshold(logits, y, 0.0)
-    calm = max(general, float(logits[y == 0].max(initial=general)))
-    for i in range(-1, len(LANGUAGES)):
-        of = lang == i
-        # where the language's labels follow no word, errors are fewest above all its scores
-        model.thresholds[i] = max(threshold(logits[of], y[of], general), general) if i >= 0 and y[of].sum() >= 5 else general if i < 0 else min(calm, general + 1)
+    model.thresholds[:] = cuts(logits, lang, y)
     return model
 
 

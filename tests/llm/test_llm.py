@@ -364,6 +364,27 @@ def test_toxicity_learns_words_and_density_on_held_out_rows():
     assert np.allclose(one_by_one, score[:10])
 
 
+def test_toxicity_cuts_by_language_go_both_ways_and_fall_back():
+    # logits (toxic, clean) by language: en cuts at 0, fr below it, de above it; es has four toxic rows only; -1 has no language
+    parts = {0: ([1] * 30, [-1] * 60), 1: ([-2] * 6, [-4] * 9), 2: ([3] * 6, [1.5] * 9), 3: ([-3] * 4, [0.5] * 3), -1: ([], [-1] * 5)}
+    rows = [(x, i, t) for i, sides in parts.items() for t, side in zip((1.0, 0.0), sides, strict=True) for x in side]
+    logits, lang, labels = (np.array(c) for c in zip(*rows, strict=True))
+    en, fr, de, es, none = toxicity.cuts(logits, lang, labels)
+    assert (en, fr, de) == (0, -3, 2.25) and es == none == toxicity.threshold(logits, labels, 0.0) and fr < none < de
+
+
+def test_toxicity_fit_uses_a_lower_cut_of_a_language(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "threshold", lambda logits, labels, fallback: seen.append(len(labels)) or (1.0 if len(seen) == 1 else -1.0))
+    rng = random.Random(4)
+    texts, labels = [], []
+    for i in range(400):
+        w = [*rng.choice(list(toxicity.LANGUAGES.values())).split(), *prose(20, i), *(["scum"] * 3 if i % 2 else [])]
+        texts.append(toxicity.bins(text.one(" ".join(w), text.ALNUM)))
+        labels.append(float(i % 2))
+    assert toxicity.fit(texts, np.array(labels)).thresholds.tolist() == [-1.0] * 4 + [1.0]
+
+
 def test_toxicity_rows_and_folds(spark, duck):
     rows = QUERIES["op8_toxicity"](spark, SF).collect()
     assert {r["doc_id"]: r["held_out"] for r in rows} == {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _ in documents(duck)}
