@@ -165,6 +165,13 @@ def test_license_base_against_brute_force(spark, duck):
         assert r["base_labels"] == ",".join(sorted(labels)) and labels <= set(r["labels"].split(",")) | set() and 0 <= r["score"] <= 1
 
 
+def test_misspelt_notices_are_found(spark):
+    rows = [(1, "licenced under the apache licence version 2 0"), (2, "so: this progam is fre software you can redistribut it and or modify"), (3, "licenced under the apachy licence version 2 0")]
+    got = {r["doc_id"]: (r["labels"], [x["edits"] for x in r["spans"]]) for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert got == {1: ("apache-notice", [2]), 2: ("gpl-notice", [3]), 3: ("", [])}
+    assert all(licenses.edits_allowed(len(n.split())) >= len(n) // 30 for n in licenses.NOTICES)
+
+
 def test_every_edit_within_bounds_is_found(spark):
     rng = random.Random(4)
     rows, expected = [], {}
