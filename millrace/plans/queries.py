@@ -48,9 +48,16 @@ query("s5_point_get", with_records("SELECT id, kind, content FROM r WHERE id = '
 query("s6_embeddings_scan", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings WHERE len(embedding) > 0")(lambda s, d: table(s, d, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.size("embedding").alias("dims")))
 query("s7_by_source_path", with_records("SELECT id, path FROM r WHERE path = 'notes/src3/3.md' OR 'markdown://notes/src3/3' = replace('markdown://' || path, '.md', '')"))(lambda s, d: records(s, d).where((F.col("path") == "notes/src3/3.md") | (F.col("uri") == "markdown://notes/src3/3") | F.array_contains("source_ids", "markdown://notes/src3/3")).select("id", "path"))
 query("s17_latest_by_path", with_records("SELECT path, arg_max(id, created_at) AS id, count(*) AS versions FROM r GROUP BY path"))(lambda s, d: ingest.latest_by(records(s, d), "path").select("path", "id", "versions"))
+
+
+def _line_ranges(df):
+    return df.select("id", T.line_range(F.col("content"), 2, 2).alias("lines"), F.left("content", F.lit(700)).alias("head"))
+
+
 query("s18_line_ranges", with_records("SELECT id, array_to_string(string_split(content, chr(10))[2:3], chr(10)) AS lines, substr(content, 1, 700) AS head FROM r WHERE starts_with(path, 'notes/src1/')"))(
-    lambda s, d: records(s, d).where(F.startswith("path", F.lit("notes/src1/"))).select("id", T.line_range(F.col("content"), 2, 2).alias("lines"), F.left("content", F.lit(700)).alias("head"))
+    lambda s, d: _line_ranges(records(s, d).where(F.startswith("path", F.lit("notes/src1/"))))
 )
+query("s18_line_ranges_all", with_records("SELECT id, array_to_string(string_split(content, chr(10))[2:3], chr(10)) AS lines, substr(content, 1, 700) AS head FROM r"))(lambda s, d: _line_ranges(records(s, d)))
 
 
 @query(

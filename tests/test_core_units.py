@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import values as V
 from millrace.operators import audit, consolidate, gates, graph, ingest, policy
+from millrace.plans import more  # noqa: F401  (adds its queries)
+from millrace.plans.queries import QUERIES
 from millrace.sources import files
 from millrace.streaming import limits
 
@@ -177,3 +179,11 @@ def test_near_clusters_cross_labels_and_keep_rows_without_one(spark, monkeypatch
     assert clusters() == [([1, 2, 3], 1)] and clusters(block="label") == []
     monkeypatch.setattr(consolidate, "BLOCK", 2)
     assert clusters() == [([1, 2, 3], 1)]
+
+
+def test_whole_table_queries_keep_other_tenants_and_sources(spark, tmp_path):
+    rows = [(12, "a\nb\nc\nd", "it", "src9", 7), (24, "a\nb", "en", "src1", 3), (36, "x", None, "src2", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {tuple(r) for r in QUERIES["r28_recall_by_tenant"](spark, str(tmp_path)).collect()} == {("tenant:it", 1), ("tenant:en", 1), (None, 1)}
+    assert {(r["id"][-2:], r["lines"]) for r in QUERIES["s18_line_ranges_all"](spark, str(tmp_path)).collect()} == {("12", "b\nc"), ("24", "b"), ("36", "")}
