@@ -1,16 +1,23 @@
 """The record store as an object over a Spark session: write, recall, explain, review, forget, verify.
 
-Tables are parquet under one folder of any file system that Spark reaches. A version is a manifest that lists
-each table's folders; a commit writes new folders first and then the manifest, and a reader takes the latest
-manifest, so it sees all of a commit or nothing. Appends add a folder, changes rewrite a table. One writer at a time.
+Tables are parquet under one folder. A version is a manifest that lists each table's folders and files; a commit
+writes new folders first and then the manifest, and a reader takes the latest manifest, so it sees all of a commit
+or nothing. Appends add a folder, changes rewrite the files that they touch. Of several writers that begin with one
+version the first to publish the next wins and the others get a Conflict; that needs a file system whose rename
+refuses a taken name, as HDFS and local ones do.
+
+Texts are encrypted under random keys, one for each subject, which are stored wrapped under a key derived from the
+engine's. Forgetting loses the key and removes all files of older versions.
 """
 
 import datetime as dt
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import crypto
@@ -29,56 +36,167 @@ SCHEMAS = {
 }
 
 
+class Conflict(RuntimeError):
+    """Another writer has made the version that this change would have made; nothing of it is stored. Begin it again."""
+
+
+class Change:
+    """One new version: everything is read from the version it began with, and written under a number fixed then.
+
+    Files that no longer serve are kept for readers of the version before, or removed at once where `erase` is set.
+    """
+
+    def __init__(self, engine: "Engine"):
+        self.engine = engine
+        self.base = engine.version()
+        self.entries = engine.manifest(self.base)
+        self._own: list[str] = []
+
+    def __enter__(self) -> "Change":
+        return self
+
+    def __exit__(self, *_) -> None:
+        """What was written and not committed goes."""
+        for folder in self._own:
+            self.engine.remove(folder)
+
+    def table(self, name: str) -> DataFrame:
+        return self.engine.read(name, self.entries[name])
+
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Adds the rows; returns them as they are stored."""
+        folder = f"{self.engine.root}/data/{name}-{uuid.uuid4().hex}"
+        self._own.append(folder)
+        df.select(*columns_of(name)).write.parquet(folder)
+        self.entries[name] = [*self.entries[name], folder]
+        return self.engine.read(name, [folder])
+
+    def rewrite(self, name: str, hit: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes anew, through `change`, the files that hold rows which `hit` returns; all others stay."""
+        file = F.col("_metadata.file_path")
+        files = sorted(r[0] for r in hit(self.table(name).select("*", file.alias("_file"))).select("_file").distinct().collect())
+        if not files:
+            return
+        doomed = {self.engine.short(f) for f in files}
+        rest = [f for e in self.entries[name] for f in self.engine.unless(e, doomed)]
+        rows = self.engine.read(name, files)
+        self.entries[name] = rest
+        self.append(name, change(rows))
+
+    def commit(self, action: str, who: Principal, target: str, detail: dict, erase: bool = False) -> int:
+        self.append("audit", self.engine.audit_row(self.table("audit"), action, who.id, target, detail, who.tenant))
+        n = self.base + 1
+        self.engine.publish(n, self.entries)
+        self._own = []
+        if erase:
+            self.engine.vacuum(n)
+        return n
+
+
+def columns_of(name: str) -> list[str]:
+    return [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, key: bytes, chain_id: str = "main"):
         self.spark, self.root, self.key, self.chain_id = spark, root.rstrip("/"), key, chain_id
-        self._path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
-        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path)
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._hadoop.Path(f"{self.root}/manifests"))
 
     # Versions
 
+    def _names(self, folder: str) -> list[str]:
+        path = self._hadoop.Path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def versions(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self._names(f"{self.root}/manifests") if n.endswith(".json") and not n.startswith(".")]
+
     def version(self) -> int:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path)]
-        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
+        return max(self.versions(), default=0)
 
-    def _manifest(self) -> dict[str, list[str]]:
-        n = self.version()
+    def _manifest_path(self, n: int) -> str:
+        return f"{self.root}/manifests/{n:08d}.json"
+
+    def manifest(self, n: int) -> dict[str, list[str]]:
+        """Folders and files of each table in a version."""
         if not n:
             return {t: [] for t in SCHEMAS}
-        return json.loads(self.spark.read.text(f"{self.root}/manifests/{n:08d}.json", wholetext=True).first()["value"])
-
-    def _commit(self, append: dict[str, DataFrame], replace: dict[str, DataFrame]) -> int:
-        tables = self._manifest()
-        for change, old in ((append, True), (replace, False)):
-            for name, df in change.items():
-                folder = f"{self.root}/data/{name}-{uuid.uuid4().hex}"
-                df.select(*self._columns(name)).write.parquet(folder)
-                tables[name] = [*(tables[name] if old else []), folder]
-        n = self.version() + 1
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        draft = jvm.Path(f"{self.root}/manifests/.{n:08d}.{uuid.uuid4().hex}")
+        return json.loads(self.spark.read.text(self._manifest_path(n), wholetext=True).first()["value"])
+
+    def publish(self, n: int, entries: dict[str, list[str]]) -> None:
+        """Makes version n if nobody else has: the manifest is written aside and renamed, which fails where the name is taken."""
+        jvm = self.spark._jvm
+        draft, final = (self._hadoop.Path(p) for p in (f"{self.root}/manifests/.{n:08d}.{uuid.uuid4().hex}", self._manifest_path(n)))
         out = self._fs.create(draft)
-        out.write(bytearray(json.dumps(tables, sort_keys=True).encode()))
+        out.write(bytearray(json.dumps(entries, sort_keys=True).encode()))
         out.close()
-        if not self._fs.rename(draft, jvm.Path(f"{self.root}/manifests/{n:08d}.json")):
-            raise RuntimeError("another writer has made this version")
-        return n
+        kinds = getattr(self._hadoop, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.NONE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(draft, final, how)
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if self._fs.exists(final):
+                raise Conflict(f"version {n} has been made by another writer") from e
+            raise
 
     @staticmethod
-    def _columns(name: str) -> list[str]:
-        return [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
+    def short(path: str) -> str:
+        """Folder and file name, however the path is written."""
+        return "/".join(path.rstrip("/").split("/")[-2:])
+
+    def unless(self, entry: str, doomed: set[str]) -> list[str]:
+        """The entry, or its other files where it holds a doomed one."""
+        if entry.endswith(".parquet"):
+            return [] if self.short(entry) in doomed else [entry]
+        files = [f"{entry}/{n}" for n in self._names(entry) if n.endswith(".parquet")]
+        kept = [f for f in files if self.short(f) not in doomed]
+        return [entry] if len(kept) == len(files) else kept
+
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._hadoop.Path(path), True)
+
+    def vacuum(self, n: int) -> None:
+        """Removes older manifests, and the files that they name and version n does not."""
+        old = [v for v in self.versions() if v < n]
+        current = [e for entries in self.manifest(n).values() for e in entries]
+        folders = {e.rsplit("/", 1)[0] if e.endswith(".parquet") else e for v in old for entries in self.manifest(v).values() for e in entries}
+        for v in old:
+            self.remove(self._manifest_path(v))
+        for folder in sorted(folders - {e for e in current if not e.endswith(".parquet")}):
+            kept = {self.short(e) for e in current if e.startswith(folder + "/")}
+            if not kept:
+                self.remove(folder)
+                continue
+            for name in self._names(folder):
+                if name.endswith(".parquet") and self.short(f"{folder}/{name}") not in kept:
+                    self.remove(f"{folder}/{name}")
+                    self.remove(f"{folder}/.{name}.crc")
+
+    def read(self, name: str, entries: list[str]) -> DataFrame:
+        if not entries:
+            # a scan of no files, so that its columns are those of any other
+            return self.spark.read.schema(SCHEMAS[name]).parquet(self._nothing())
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*entries)
+
+    def _nothing(self) -> str:
+        folder = f"{self.root}/data/nothing"
+        self._fs.mkdirs(self._hadoop.Path(folder))
+        return folder
 
     def table(self, name: str) -> DataFrame:
-        folders = self._manifest()[name]
-        if not folders:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*folders)
+        return self.read(name, self.manifest(self.version())[name])
+
+    def change(self) -> Change:
+        return Change(self)
 
     # Audit
 
-    def _audit(self, action: str, principal: str, target: str, detail: dict, tenant: str) -> DataFrame:
-        log = self.table("audit")
+    def audit_row(self, log: DataFrame, action: str, principal: str, target: str, detail: dict, tenant: str) -> DataFrame:
         head = log.where(F.col("chain_id") == self.chain_id).agg(F.max("seq").alias("seq"), F.max_by("row_hash", "seq").alias("hash")).first()
         seq, prev = (head["seq"] or 0) + 1, head["hash"] or audit.GENESIS
         body = json.dumps({"action": action, "detail": detail, "principal": principal, "target": target, "tenant": tenant}, sort_keys=True, separators=(",", ":"))
@@ -93,39 +211,79 @@ class Engine:
 
     # Writing
 
+    def _signature(self) -> Column:
+        return crypto.signature(self.key, crypto.payload(F.col("id"), F.col("content_hash"), F.col("uri"), F.col("created_by"), F.col("epistemic")))
+
+    def _plain_key(self, tenant: str) -> Callable[[Column], Column]:
+        return lambda dek: crypto.unwrapped(dek, self.key, tenant)
+
     def remember_many(self, rows: DataFrame, principal: Principal) -> dict:
-        """Writes records given as maps `fields` (with the usual aliases, and derived_from: ids by commas); returns counts and ids' digest.
+        """Writes records given as maps `fields` (with the usual aliases, and derived_from: ids by commas); returns counts by outcome.
 
-        Rows that are refused are counted by reason. Derived records take on the strictest policy of their parents.
+        Rows that are refused are counted by reason, among them those of an erased subject. Of rows with one id
+        the first by content hash is written and the others count as repeated; ids that are stored count as known.
+        Derived records take on the strictest policy of their parents.
         """
-        told = graph.cut(ingest.bulk_records(rows.select("fields"), principal.tenant))
-        good = told.where("error IS NULL AND tenant = " + repr(principal.tenant))
+        with self.change() as c:
+            report = self._remember(c, rows, principal)
+            c.commit("remember", principal, "records", report)
+        return report
+
+    def _remember(self, c: Change, rows: DataFrame, principal: Principal) -> dict:
         f = F.col("fields")
+        known, deks = c.table("records"), c.table("keys")
+        erased = deks.where("state = 'shredded'").select("tenant", "subject", F.lit(True).alias("_erased"))
+        told = ingest.bulk_records(rows.select("fields"), principal.tenant).join(erased, ["tenant", "subject"], "left")
+        attrs = F.transform(V.list_value(f["attrs"]), V.attr_pair)
+        visibility = F.coalesce(f["visibility"], F.lit("tenant"))
+        why = (
+            F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("tenant") != principal.tenant, "cross-tenant").when(F.col("_erased"), "erased subject")
+            .when(~visibility.isin("private", "tenant", "shared"), "visibility").when(F.exists(attrs, lambda a: a.isNull()), "attrs")
+            .when(f["valid_from"].isNotNull() & V.instant(f["valid_from"]).isNull(), "valid_from").when(f["valid_until"].isNotNull() & V.instant(f["valid_until"]).isNull(), "valid_until").otherwise("ok")
+        )
+        told = told.withColumn("why", why)
         now = dt.datetime.now(dt.timezone.utc).timestamp()
-        new = good.withColumn("content_hash", T.content_hash(F.col("content"))).withColumn("id", F.coalesce(f["memory_id"], f["id"], V.stable_id(F.col("tenant"), F.coalesce("uri", "subject"), F.col("content_hash")))).dropDuplicates(["id"])
+        new = told.where("why = 'ok'").withColumn("content_hash", T.content_hash(F.col("content"))).withColumn("id", F.coalesce(f["memory_id"], f["id"], V.stable_id(F.col("tenant"), F.coalesce("uri", "subject"), F.col("content_hash"))))
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("content_hash", "subject", F.to_json("fields")))
+        new = new.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "why", "_erased")
         new = new.withColumns(
             {
-                "created_by": F.lit(principal.id), "salience": F.coalesce(f["salience"].try_cast("double"), F.lit(0.5)), "role_groups": F.array().cast("array<array<string>>"), "attrs": F.array().cast("array<struct<k:string,v:string>>"),
-                "visibility": F.coalesce(f["visibility"], F.lit("tenant")), "review_state": F.when(F.col("epistemic") == "model-generated", "proposed").cast("string"), "valid_from": f["valid_from"], "valid_until": f["valid_until"],
+                "created_by": F.lit(principal.id), "salience": F.coalesce(f["salience"].try_cast("double"), F.lit(0.5)), "role_groups": F.array().cast("array<array<string>>"), "attrs": attrs,
+                "visibility": visibility, "review_state": F.when(F.col("epistemic") == "model-generated", "proposed").cast("string"), "valid_from": f["valid_from"], "valid_until": f["valid_until"],
                 "created_at": F.coalesce(f["created_at"].try_cast("double"), F.lit(now)), "indexed": F.lit(True), "entities": V.list_value(f["entities"]), "subject_ids": F.array("subject"),
-                "source_ids": F.when(F.col("uri").isNotNull(), F.array("uri")).otherwise(F.array().cast("array<string>")), "source_spans": F.array().cast("array<string>"), "policy_scope": F.lit("default"),
+                "source_ids": F.when(F.col("uri").isNotNull(), F.array("uri")).otherwise(F.array().cast("array<string>")), "source_spans": V.list_value(f["source_spans"]), "policy_scope": F.coalesce(f["policy_scope"], F.lit("default")),
                 "truth_status": V.default_truth(F.col("epistemic")), "retention": F.coalesce(f["retention"], F.lit("decayable")), "derived_from": V.list_value(f["derived_from"]),
             }
         )
-        new = new.join(self.table("records").select("id"), "id", "left_anti")
+        new = new.join(known.select("id"), "id", "left_anti")
         edges = new.select(F.col("id").alias("child"), F.explode("derived_from").alias("parent"), F.lit("derived_from").alias("kind")).distinct()
-        every = self.table("records").select("id", "classification", "pii", "roles", "role_groups").unionByName(new.select("id", "classification", "pii", "roles", "role_groups"))
+        every = known.select("id", "classification", "pii", "roles", "role_groups").unionByName(new.select("id", "classification", "pii", "roles", "role_groups"))
         strictest = policy.inherited(every, edges).withColumnsRenamed({"classification": "_c", "pii": "_p", "role_groups": "_g"})
-        new = new.join(strictest, "id", "left").withColumns({"classification": F.coalesce("_c", "classification"), "pii": F.coalesce("_p", "pii"), "role_groups": F.coalesce("_g", "role_groups"), "roles": F.when(F.col("_g").isNotNull(), F.array().cast("array<string>")).otherwise(F.col("roles"))})
-        new = new.withColumn("producer_sig", crypto.signature(self.key, crypto.payload(F.col("id"), F.col("content_hash"), F.col("uri"), F.col("created_by"), F.col("epistemic"))))
-        old = self.table("keys")
-        keys = crypto.subject_keys(new, self.key).join(old.select("tenant", "subject"), ["tenant", "subject"], "left_anti")
-        stored = graph.cut(crypto.encrypted(new.drop("fields", "_c", "_p", "_g"), old.unionByName(keys)))
-        counts = told.groupBy(F.coalesce("error", F.when(F.col("tenant") != principal.tenant, "cross-tenant").otherwise("ok")).alias("why")).count().collect()
-        report = {r["why"]: r["count"] for r in counts}
-        lineage = stored.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.lit("memory").alias("k")), F.struct(F.concat(F.lit("emb:"), "id").alias("a"), F.lit("embedding").alias("k")))).alias("x"), "subject", "tenant").select(F.col("x.a").alias("artifact_id"), F.col("x.k").alias("artifact_kind"), "subject", "tenant")
+        derived = F.col("_g").isNotNull()
+        new = new.join(strictest, "id", "left").withColumns(
+            {"classification": F.when(derived, F.col("_c")).otherwise(F.col("classification")), "pii": F.coalesce("_p", "pii"), "role_groups": F.coalesce("_g", "role_groups"), "roles": F.when(derived, F.array().cast("array<string>")).otherwise(F.col("roles"))}
+        )
+        # five tables are made of these rows; what is kept of them in the meantime goes with the call
+        new = new.withColumn("producer_sig", self._signature()).persist()
+        try:
+            return self._store(c, new, told, principal)
+        finally:
+            new.unpersist()
+
+    def _store(self, c: Change, new: DataFrame, told: DataFrame, principal: Principal) -> dict:
+        f, deks = F.col("fields"), c.table("keys")
+        keys = crypto.subject_keys(new.join(deks.select("tenant", "subject"), ["tenant", "subject"], "left_anti"))
+        made = c.append("keys", keys.withColumn("dek", crypto.wrapped(F.col("dek"), self.key, principal.tenant)))
+        stored = c.append("records", crypto.encrypted(new.drop("fields", "_c", "_p", "_g"), deks.unionByName(made), unwrap=self._plain_key(principal.tenant)))
+        c.append("edges", new.select(F.col("id").alias("child"), F.explode("derived_from").alias("parent"), F.lit("derived_from").alias("kind")).distinct())
+        c.append("lineage", stored.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.lit("memory").alias("k")), F.struct(F.concat(F.lit("emb:"), "id").alias("a"), F.lit("embedding").alias("k")))).alias("x"), "subject", "tenant").select(F.col("x.a").alias("artifact_id"), F.col("x.k").alias("artifact_kind"), "subject", "tenant"))
+        if stored.where("content_enc IS NULL").limit(1).count():
+            raise RuntimeError("a record would have been stored without its text")
+        report = {r["why"]: r["count"] for r in told.groupBy("why").count().collect()}
         report["written"] = stored.count()
-        self._commit({"records": stored, "edges": edges, "lineage": lineage, "keys": keys, "audit": self._audit("remember", principal.id, "records", report, principal.tenant)}, {})
+        if lost := report.get("ok", 0) - report["written"]:
+            ids = told.where("why = 'ok'").select(F.coalesce(f["memory_id"], f["id"], V.stable_id(F.col("tenant"), F.coalesce("uri", "subject"), T.content_hash(F.col("content")))).alias("id")).distinct().count()
+            report |= {k: v for k, v in (("repeated", report["ok"] - ids), ("known", lost - (report["ok"] - ids))) if v}
         return report
 
     def import_markdown(self, root: str, who: Principal) -> dict:
@@ -142,71 +300,91 @@ class Engine:
             F.lit("pii"), F.when(secret, "true").otherwise(F.coalesce(f["pii"], F.lit("false"))),
         )
         rest = F.map_filter(f, lambda k, v: ~k.isin("content", "text", "body", "uri", "source_uri", "source_id", "subject", "subject_id", "kind", "memory_type", "epistemic", "epistemic_class", "classification", "pii", "contains_pii"))
-        rows = graph.cut(told.select(F.map_concat(rest, given).alias("fields"), uri.alias("path"), F.lit(who.tenant).alias("tenant"), T.content_hash(F.col("body")).alias("content_hash")))
-        old = self.table("records").where((F.col("tenant") == who.tenant) & F.startswith("uri", F.lit("markdown://"))).select("tenant", F.col("uri").alias("path"), "content_hash", "id")
-        plan = graph.cut(ingest.import_plan(old, rows).where("new_hash IS NOT NULL"))
-        todo = plan.where("action IN ('insert', 'update')").select("path")
-        stale = [r["id"] for r in old.join(plan.where("action = 'update'").select("path"), "path").select("id").collect()]
-        report = self.remember_many(rows.join(todo, "path", "left_semi").select("fields"), who)
-        for record_id in stale:
-            self.purge(record_id, who)
-        return {**{r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}, "written": report["written"]}
+        rows = told.select(F.map_concat(rest, given).alias("fields"), uri.alias("path"), F.lit(who.tenant).alias("tenant"), T.content_hash(F.col("body")).alias("content_hash"))
+        with self.change() as c:
+            old = c.table("records").where((F.col("tenant") == who.tenant) & F.startswith("uri", F.lit("markdown://"))).select("tenant", F.col("uri").alias("path"), "content_hash", "id")
+            plan = graph.cut(ingest.import_plan(old, rows).where("new_hash IS NOT NULL"))
+            stale = graph.cut(old.join(plan.where("action = 'update'").select("path"), "path").select("id"))
+            report = self._remember(c, rows.join(plan.where("action IN ('insert', 'update')").select("path"), "path", "left_semi").select("fields"), who)
+            counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
+            report = {**counts, **{k: v for k, v in report.items() if k != "ok"}}
+            self._delete(c, stale)
+            c.commit("import_markdown", who, "records", report, erase=bool(counts.get("update")))
+        return report
 
     def import_links(self, who: Principal) -> dict:
         """Edges from [[links]] between the records that the principal may read; known edges stay as they are."""
-        rows = graph.cut(self.readable(who).select("id", "subject", "uri", F.regexp_replace("uri", "^markdown://", "").alias("path"), "content"))
+        rows = self.readable(who).select("id", "subject", "uri", F.regexp_replace("uri", "^markdown://", "").alias("path"), "content")
         links = graph.cut(graph.wikilinks(rows, graph.aliases(rows)))
         new = links.where("outcome = 'edge'").select(F.col("id").alias("child"), "parent", F.lit("wikilink").alias("kind"), F.col("place").alias("ordinal"))
-        added = graph.cut(graph.add_edges(self.table("edges"), new).where("inserted"))
-        report = {r["outcome"]: r["count"] for r in links.groupBy("outcome").count().collect()} | {"inserted": added.count()}
-        self._commit({"edges": added, "audit": self._audit("import_links", who.id, "edges", report, who.tenant)}, {})
+        report = {r["outcome"]: r["count"] for r in links.groupBy("outcome").count().collect()}
+        with self.change() as c:
+            report["inserted"] = c.append("edges", graph.add_edges(c.table("edges"), new).where("inserted")).count()
+            c.commit("import_links", who, "edges", report)
         return report
 
-    def _change(self, action: str, who: Principal, target: str, changed: DataFrame, detail: dict) -> int:
-        changed = graph.cut(changed)
-        n = changed.where("changed").count()
-        if n:
-            self._commit({"audit": self._audit(action, who.id, target, {**detail, "changed": n}, who.tenant)}, {"records": changed})
+    def _change(self, action: str, who: Principal, target: str, chosen: Column, change: Callable[[DataFrame], DataFrame], detail: dict) -> int:
+        """Applies `change`, which marks what it changes in a column `changed`, to the chosen records of the principal's tenant."""
+        chosen = chosen & (F.col("tenant") == who.tenant)
+        with self.change() as c:
+            n = change(c.table("records").where(chosen)).where("changed").count()
+            if n:
+                c.rewrite("records", lambda rows: rows.where(chosen), lambda rows: change(rows.where(chosen)).drop("changed").unionByName(rows.where(~F.coalesce(chosen, F.lit(False)))))
+                c.commit(action, who, target, {**detail, "changed": n})
         return n
 
     def transition(self, record_id: str, state: str, who: Principal) -> int:
-        chosen = (F.col("id") == record_id) & (F.col("tenant") == who.tenant) & policy.move_refusal(F.col("review_state"), F.lit(state), who.roles).isNull()
-        return self._change("review_transition", who, record_id, policy.set_where(self.table("records"), "review_state", F.col("review_state"), F.lit(state), chosen), {"to": state})
+        may = policy.move_refusal(F.col("review_state"), F.lit(state), who.roles).isNull()
+        return self._change("review_transition", who, record_id, F.col("id") == record_id, lambda rows: policy.set_where(rows, "review_state", F.col("review_state"), F.lit(state), may), {"to": state})
 
     def approve(self, record_id: str, who: Principal) -> int:
-        chosen = (F.col("id") == record_id) & (F.col("tenant") == who.tenant)
-        own = policy.approved(self.table("records"), chosen, who.roles)
-        sig = crypto.signature(self.key, crypto.payload(F.col("id"), F.col("content_hash"), F.col("uri"), F.col("created_by"), F.col("epistemic")))
-        return self._change("approve", who, record_id, own.withColumn("producer_sig", F.when(F.col("changed"), sig).otherwise(F.col("producer_sig"))), {})
+        def signed(rows: DataFrame) -> DataFrame:
+            own = policy.approved(rows, F.lit(True), who.roles)
+            return own.withColumn("producer_sig", F.when(F.col("changed"), self._signature()).otherwise(F.col("producer_sig")))
+
+        return self._change("approve", who, record_id, F.col("id") == record_id, signed, {})
 
     def expire(self, record_id: str, at: str | None, who: Principal) -> int:
-        chosen = (F.col("id") == record_id) & (F.col("tenant") == who.tenant)
         value = F.lit(None).cast("string") if at is None else V.utc_text(F.lit(at))
         if at is not None and self.spark.range(1).select(value).first()[0] is None:
             raise ValueError("not an instant: " + at)
-        return self._change("expire", who, record_id, policy.set_where(self.table("records"), "valid_until", F.col("valid_until"), value, chosen), {"at": at})
+        return self._change("expire", who, record_id, F.col("id") == record_id, lambda rows: policy.set_where(rows, "valid_until", F.col("valid_until"), value, F.lit(True)), {"at": at})
 
     def set_indexed(self, record_id: str, indexed: bool, who: Principal) -> int:
-        chosen = (F.col("id") == record_id) & (F.col("tenant") == who.tenant)
-        return self._change("set_indexed", who, record_id, policy.set_where(self.table("records"), "indexed", F.lit(not indexed), F.lit(indexed), chosen), {"indexed": indexed})
+        return self._change("set_indexed", who, record_id, F.col("id") == record_id, lambda rows: policy.set_where(rows, "indexed", F.lit(not indexed), F.lit(indexed), F.lit(True)), {"indexed": indexed})
+
+    def _delete(self, c: Change, gone: DataFrame) -> None:
+        """Deletes records (id), their edges and their lineage."""
+        ids = gone.select("id").distinct()
+        both = ids.select(F.explode(F.array("id", F.concat(F.lit("emb:"), "id"))).alias("artifact_id"))
+        for name, keys in (("records", {"id": ids}), ("lineage", {"artifact_id": both}), ("edges", {"child": ids.withColumnRenamed("id", "child"), "parent": ids.withColumnRenamed("id", "parent")})):
+            for key, values in keys.items():
+                c.rewrite(name, lambda rows, key=key, values=values: rows.join(values, key, "left_semi"), lambda rows, key=key, values=values: rows.join(values, key, "left_anti"))
 
     def forget(self, subject: str, who: Principal) -> dict:
-        """Shreds the subject's key and deletes its records and all that derives from them."""
-        records, edges, lineage = (self.table(t) for t in ("records", "edges", "lineage"))
-        gone = graph.cut(graph.erased(records, edges, lineage, subject, who.tenant))
-        report = {r["why"]: r["count"] for r in gone.groupBy("why").count().collect()}
-        left = graph.without(records, edges, lineage, gone)
-        keys = crypto.shredded(self.table("keys"), who.tenant, subject)
-        self._commit({"audit": self._audit("forget", who.id, subject, report, who.tenant)}, {"records": left[0], "edges": left[1], "lineage": left[2], "keys": keys})
+        """Shreds the subject's key, deletes its records and all that derives from them, and removes the files of older versions.
+
+        A subject that is forgotten cannot be written again.
+        """
+        with self.change() as c:
+            gone = graph.cut(graph.erased(c.table("records"), c.table("edges"), c.table("lineage"), subject, who.tenant))
+            report = {r["why"]: r["count"] for r in gone.groupBy("why").count().collect()}
+            self._delete(c, gone)
+            own = (F.col("tenant") == who.tenant) & (F.col("subject") == subject)
+            if c.table("keys").where(own).isEmpty():
+                c.append("keys", self.spark.createDataFrame([(who.tenant, subject, None, "shredded")], SCHEMAS["keys"]))
+            else:
+                c.rewrite("keys", lambda rows: rows.where(own), lambda rows: crypto.shredded(rows, who.tenant, subject))
+            c.commit("forget", who, subject, report, erase=True)
         return report
 
     def purge(self, record_id: str, who: Principal) -> bool:
-        records, edges, lineage = (self.table(t) for t in ("records", "edges", "lineage"))
-        gone = graph.cut(records.where((F.col("id") == record_id) & (F.col("tenant") == who.tenant)).select("id"))
-        if gone.isEmpty():
-            return False
-        left = graph.without(records, edges, lineage, gone)
-        self._commit({"audit": self._audit("purge", who.id, record_id, {}, who.tenant)}, {"records": left[0], "edges": left[1], "lineage": left[2]})
+        with self.change() as c:
+            gone = graph.cut(c.table("records").where((F.col("id") == record_id) & (F.col("tenant") == who.tenant)).select("id"))
+            if gone.isEmpty():
+                return False
+            self._delete(c, gone)
+            c.commit("purge", who, record_id, {}, erase=True)
         return True
 
     # Reading
@@ -215,16 +393,15 @@ class Engine:
         """Records that pass filters and policy and whose text can be decrypted; nothing is scored before."""
         at = F.current_timestamp() if at is None else at
         rows = policy.matching(policy.visible(self.table("records"), who), filters or {}, at)
-        return crypto.decrypted(rows, self.table("keys")).where("content IS NOT NULL")
+        return crypto.decrypted(rows, self.table("keys"), unwrap=self._plain_key(who.tenant)).where("content IS NOT NULL")
 
     def recall(self, cue: str, who: Principal, filters: dict | None = None, k: int = 8, topc: int = 50, method: str = "hybrid", at: Column | None = None) -> DataFrame:
         """The k best records with content, score, rank, integrity and whether they are unreviewed."""
         filters, k, topc = policy.merged_filters(filters or {}, {}, k, topc)
         best = retrieval.recall(self.readable(who, filters, at), cue, k, topc, method, filters.get("intent", "default"), filters.get("entities"), at)
-        signed = crypto.signature(self.key, crypto.payload(F.col("id"), F.col("content_hash"), F.col("uri"), F.col("created_by"), F.col("epistemic")))
         return best.select(
             "id", "rank", F.round("score", 4).alias("score"), "content", "subject", "kind", "epistemic", "dense", "bm25", "rrf", "rerank", "collapsed_ids", (F.col("review_state") == "proposed").alias("unreviewed"),
-            (T.content_hash(F.col("content")) == F.col("content_hash")).alias("content_ok"), (F.col("producer_sig") == signed).alias("signature_ok"),
+            (T.content_hash(F.col("content")) == F.col("content_hash")).alias("content_ok"), (F.col("producer_sig") == self._signature()).alias("signature_ok"),
         )
 
     def explain(self, cue: str, who: Principal, filters: dict | None = None, at: Column | None = None, **how) -> dict:

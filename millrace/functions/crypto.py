@@ -2,8 +2,11 @@
 
 import hashlib
 import hmac
+import secrets
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,20 +21,33 @@ def derived_key(root: bytes, info: str, size: int = 32) -> bytes:
     return out[:size]
 
 
+def hidden(value: bytes) -> Column:
+    """The bytes as a column that plans, logs and the UI show as a subquery's number alone."""
+    return SparkSession.active().createDataFrame([(bytearray(value),)], "k binary").scalar()
+
+
 def wrapped(key: Column, root: bytes, tenant: str) -> Column:
     """A data key under the tenant's key, itself derived from the root."""
-    return F.aes_encrypt(key, F.lit(derived_key(root, f"wrap:{tenant}")), F.lit("GCM"))
+    return F.aes_encrypt(key, hidden(derived_key(root, f"wrap:{tenant}")), F.lit("GCM"))
 
 
 def unwrapped(key: Column, root: bytes, tenant: str) -> Column:
     """The data key; null if the root or the tenant is not the right one."""
-    return F.try_aes_decrypt(key, F.lit(derived_key(root, f"wrap:{tenant}")), F.lit("GCM"))
+    return F.try_aes_decrypt(key, hidden(derived_key(root, f"wrap:{tenant}")), F.lit("GCM"))
+
 
+def subject_keys(records: DataFrame) -> DataFrame:
+    """A random key for each tenant and subject: tenant, subject, dek, state.
 
-def subject_keys(records: DataFrame, root: bytes) -> DataFrame:
-    """A key for each tenant and subject, derived from the root: tenant, subject, dek, state."""
-    name = F.concat(F.lit(root.hex()), F.lit("|"), "tenant", F.lit("|"), "subject")
-    return records.select("tenant", "subject").distinct().withColumn("dek", F.unhex(F.sha2(name, 256))).withColumn("state", F.lit("active"))
+    Nothing else can make a key again, so to shred it is to lose it. Each evaluation makes other keys: write
+    the rows, or cut their lineage, before anything is encrypted under them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([secrets.token_bytes(32) for _ in range(b.num_rows)], pa.binary()), pa.array(["active"] * b.num_rows, pa.string())], ["tenant", "subject", "dek", "state"])
+
+    return records.select("tenant", "subject").distinct().mapInArrow(run, "tenant string, subject string, dek binary, state string")
 
 
 def shredded(keys: DataFrame, tenant: str, subject: str) -> DataFrame:
@@ -39,15 +55,16 @@ def shredded(keys: DataFrame, tenant: str, subject: str) -> DataFrame:
     return keys.withColumn("state", F.when(hit, "shredded").otherwise(F.col("state"))).withColumn("dek", F.when(hit, None).otherwise(F.col("dek")))
 
 
-def encrypted(records: DataFrame, keys: DataFrame, column: str = "content") -> DataFrame:
-    """The column under its subject's key, as content_enc; rows without a key lose it."""
-    return records.join(keys.select("tenant", "subject", "dek"), ["tenant", "subject"], "left").withColumn("content_enc", F.aes_encrypt(F.col(column).cast("binary"), F.col("dek"), F.lit("GCM"))).drop(column, "dek")
+def encrypted(records: DataFrame, keys: DataFrame, column: str = "content", unwrap: Callable[[Column], Column] = lambda key: key) -> DataFrame:
+    """The column under its subject's key, as content_enc; null without a key, so refuse such rows first. unwrap: the stored key to the plain one."""
+    joined = records.join(keys.select("tenant", "subject", "dek"), ["tenant", "subject"], "left")
+    return joined.withColumn("content_enc", F.aes_encrypt(F.col(column).cast("binary"), unwrap(F.col("dek")), F.lit("GCM"))).drop(column, "dek")
 
 
-def decrypted(records: DataFrame, keys: DataFrame, column: str = "content") -> DataFrame:
+def decrypted(records: DataFrame, keys: DataFrame, column: str = "content", unwrap: Callable[[Column], Column] = lambda key: key) -> DataFrame:
     """The text; null where the key is shredded or wrong."""
     joined = records.join(keys.select("tenant", "subject", "dek"), ["tenant", "subject"], "left")
-    return joined.withColumn(column, F.decode(F.try_aes_decrypt("content_enc", "dek", F.lit("GCM")), "UTF-8")).drop("dek")
+    return joined.withColumn(column, F.decode(F.try_aes_decrypt("content_enc", unwrap(F.col("dek")), F.lit("GCM")), "UTF-8")).drop("dek")
 
 
 def key_census(keys: DataFrame, root_present: bool = False) -> DataFrame:
@@ -69,7 +86,7 @@ def payload(record_id: Column, content_hash: Column, uri: Column, created_by: Co
 def signature(key: bytes, text: Column) -> Column:
     """hmac-sha256: and the hex digest of HMAC over the text."""
     key = hashlib.sha256(key).digest() if len(key) > 64 else key
-    inner, outer = (F.lit(bytes(a ^ x for a in key.ljust(64, b"\0"))) for x in (0x36, 0x5C))
+    inner, outer = (hidden(bytes(a ^ x for a in key.ljust(64, b"\0"))) for x in (0x36, 0x5C))
     digest = F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))
     return F.concat(F.lit("hmac-sha256:"), F.sha2(F.concat(outer, digest), 256))
 

@@ -24,7 +24,8 @@ def lookup(values: dict, key: Column) -> Column:
 
 
 def classification_rank(name: Column) -> Column:
-    return lookup({c: i for i, c in enumerate(CLASSIFICATIONS)}, name)
+    """Place among the classes; null and unknown names rank above all of them, so nobody's clearance reaches them."""
+    return F.coalesce(lookup({c: i for i, c in enumerate(CLASSIFICATIONS)}, name), F.lit(len(CLASSIFICATIONS)))
 
 
 def trust_rank(epistemic: Column) -> Column:

@@ -33,18 +33,27 @@ def _strings(items: Iterable[str]) -> Column:
     return F.array(*map(F.lit, items)).cast("array<string>")
 
 
+def _gates() -> Column:
+    """Role gates of a record: its roles and role groups without empty ones; a null group stays, as a gate that nobody passes."""
+    groups = F.coalesce("role_groups", F.array().cast("array<array<string>>"))
+    return F.filter(F.concat(F.array(F.coalesce("roles", F.array().cast("array<string>"))), groups), lambda g: g.isNull() | (F.size(g) > 0))
+
+
 def deny_reason(who: Principal) -> Column:
-    """The first rule that denies a record to the principal; ok if none does."""
+    """The first rule that denies a record to the principal; ok if none does.
+
+    What is not known denies: a null tenant, a null or unknown class or visibility, a null role gate, an attribute without name or value.
+    """
     own = _strings(who.roles)
-    groups = F.filter(F.concat(F.array("roles"), F.coalesce("role_groups", F.array().cast("array<array<string>>"))), lambda g: F.size(F.coalesce(g, F.array())) > 0)
+    denies = lambda c: F.coalesce(c, F.lit(True))
     held = F.create_map(*(F.lit(x) for kv in who.attrs.items() for x in kv)) if who.attrs else F.create_map().cast("map<string,string>")
-    lacking = F.filter(F.coalesce("attrs", F.array().cast("array<struct<k:string,v:string>>")), lambda a: ~held[a["k"]].eqNullSafe(a["v"]))
+    lacking = F.filter(F.coalesce("attrs", F.array().cast("array<struct<k:string,v:string>>")), lambda a: denies(held[a["k"]] != a["v"]))
     return (
-        F.when(F.col("tenant") != who.tenant, "cross-tenant")
+        F.when(denies(F.col("tenant") != who.tenant), "cross-tenant")
         .when(values.classification_rank(F.col("classification")) > values.CLASSIFICATIONS.index(who.clearance), "classification>clearance")
-        .when(~F.forall(groups, lambda g: F.arrays_overlap(g, own)), "role")
-        .when(F.size(lacking) > 0, F.concat(F.lit("attr:"), F.get(lacking, F.lit(0))["k"]))
-        .when((F.col("visibility") == "private") & (F.col("created_by") != who.id), "private")
+        .when(~F.forall(_gates(), lambda g: F.coalesce(F.arrays_overlap(g, own), F.lit(False))), "role")
+        .when(F.size(lacking) > 0, F.concat(F.lit("attr:"), F.coalesce(F.get(lacking, F.lit(0))["k"], F.lit(""))))
+        .when(~F.coalesce(F.col("visibility").isin("tenant", "shared"), F.lit(False)) & denies(F.col("created_by") != who.id), "private")
         .otherwise("ok")
     )
 
@@ -95,9 +104,13 @@ def merged_filters(a: dict, b: dict, k: int = 8, topc: int = 50) -> tuple[dict,
 
 
 def inherited(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, classification, pii and role_groups of every child: the strictest of its own and its parents', all role gates in conjunction."""
-    gates = F.transform(F.filter(F.concat(F.array("roles"), F.coalesce("role_groups", F.array().cast("array<array<string>>"))), lambda g: F.size(F.coalesce(g, F.array())) > 0), lambda g: F.array_sort(F.array_distinct(g)))
-    own = records.select("id", values.classification_rank(F.col("classification")).alias("rank"), F.coalesce("pii", F.lit(False)).alias("pii"), gates.alias("gates"))
+    """id, classification, pii and role_groups of every child: the strictest of its own and its parents', all role gates in conjunction.
+
+    A null or unknown class of any of them leaves the child without a class, which denies it to everyone; a null
+    pii counts as true. Parents that are not among the records do not count.
+    """
+    gates = F.transform(_gates(), lambda g: F.array_sort(F.array_distinct(g)))
+    own = records.select("id", values.classification_rank(F.col("classification")).alias("rank"), F.coalesce("pii", F.lit(True)).alias("pii"), gates.alias("gates"))
     pairs = edges.select(F.col("child").alias("top"), F.col("parent").alias("id")).distinct()
     pairs = pairs.unionByName(pairs.select("top", F.col("top").alias("id")).distinct())
     by = pairs.join(own, "id").groupBy("top").agg(F.max("rank").alias("rank"), F.bool_or("pii").alias("pii"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gates")))).alias("role_groups"))

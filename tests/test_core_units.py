@@ -187,3 +187,27 @@ def test_whole_table_queries_keep_other_tenants_and_sources(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert {tuple(r) for r in QUERIES["r28_recall_by_tenant"](spark, str(tmp_path)).collect()} == {("tenant:it", 1), ("tenant:en", 1), (None, 1)}
     assert {(r["id"][-2:], r["lines"]) for r in QUERIES["s18_line_ranges_all"](spark, str(tmp_path)).collect()} == {("12", "b\nc"), ("24", "b"), ("36", "")}
+
+
+def test_what_is_unknown_is_denied(spark):
+    from millrace.operators import policy
+    from millrace.operators.policy import Principal
+
+    schema = "id string, tenant string, classification string, roles array<string>, role_groups array<array<string>>, attrs array<struct<k:string,v:string>>, visibility string, created_by string, pii boolean"
+    good = ("ok", "t", "public", [], [], [], "tenant", "x", False)
+    change = lambda name, **new: tuple({**dict(zip(("id", "tenant", "classification", "roles", "role_groups", "attrs", "visibility", "created_by", "pii"), good, strict=True)), "id": name, **new}.values())
+    rows = [
+        good, change("no tenant", tenant=None), change("no class", classification=None), change("odd class", classification="secret"), change("no role", roles=[None]), change("null group", role_groups=[None]),
+        change("no attr", attrs=[(None, None)]), change("null value", attrs=[("region", None)]), change("null visibility", visibility=None), change("odd visibility", visibility="hidden"), change("private of nobody", visibility="private", created_by=None),
+        change("no lists", roles=None, role_groups=None, attrs=None), change("own", visibility="private", created_by="me"),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    me = Principal("me", "t", ("a",), {"region": "us"}, "restricted")
+    got = {r["id"]: r["why"] for r in df.select("id", policy.deny_reason(me).alias("why")).collect()}
+    assert got == {
+        "ok": "ok", "no tenant": "cross-tenant", "no class": "classification>clearance", "odd class": "classification>clearance", "no role": "role", "null group": "role", "no attr": "attr:", "null value": "attr:region",
+        "null visibility": "private", "odd visibility": "private", "private of nobody": "private", "no lists": "ok", "own": "ok",
+    }
+    edges = spark.createDataFrame([("ok", "odd class", "x"), ("own", "null group", "x")], "child string, parent string, kind string")
+    child = df.drop("classification", "role_groups", "pii").join(policy.inherited(df, edges), "id")
+    assert {r["id"]: r["why"] for r in child.select("id", policy.deny_reason(me).alias("why")).collect()} == {"ok": "classification>clearance", "own": "role"}
