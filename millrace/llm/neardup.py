@@ -7,14 +7,23 @@ of 32 bands make a candidate: a pair at similarity 0.85 is missed with
 probability (1 - 0.85**6)**32 < 3e-7. Under 0.85, 38 bands of five: at 0.8 as much.
 
 Documents with equal shingle sets are one class, whose smallest doc_id goes on.
-Candidates are never all pairs of a bucket: first every document is compared
-with one document of its buckets (its star), and what is confirmed on the full
-sets is joined into components; then, within buckets that still hold several
-components, pairs across components. Pairs inside a component cannot change the
-result. The star is the member with the fewest shingles that no other document
-has, as edits make such shingles: the original of a group of edited copies.
-Two exact bounds drop pairs before their sets are compared: shingles of its own
-bound what a document can share, and of 512 buckets of shingles each in which
+First every document is compared with one document of its buckets (its star),
+and what is confirmed on the full sets is joined into components. The star is
+the member with the fewest shingles that no other document has, as edits make
+such shingles: the original of a group of edited copies. Then come, within
+buckets that still hold several components, pairs across components; pairs
+inside one cannot change the result. Those buckets are not paired whole: two
+exact rules, which lose no link, split them by keys before any pair is made.
+
+* Shingles that one component alone holds link it with no other, so a document
+  whose other shingles are too few for the threshold drops out.
+* Of two linked documents' live shingles in order of rarity, one among the
+  first m - a + 1 of each is common to both (m: live shingles, a: the number
+  that the threshold asks for), and their sizes are in one class or neighbouring
+  ones. So pairs meet under (shingle, size class) and must share a bucket.
+
+Before sets are compared, two further exact bounds drop pairs: shingles of its
+own bound what a document can share, and of 512 buckets of shingles each in which
 two documents' counts differ in parity holds a shingle of one of them alone.
 Candidates whose one-bit sketches differ in more of 192 places than 6
 deviations above the mean of a pair at the threshold are dropped.
@@ -166,6 +175,25 @@ def _shingle_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], ["h", "id"])
 
 
+def across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of documents of different components that can be linked: rest has id, component, n (size of the set).
+
+    A linked pair has at least a = percent * n / 100 shingles in common, all of them live: held by several components.
+    """
+    shingles = map_batches(sets.join(rest.select("id"), "id").select("id", "shingles"), _shingle_rows, "h long, id long")
+    told = shingles.join(rest, "id")
+    live = told.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h", "df")
+    asked = F.ceil(F.col("n") * percent / 100).cast("int")
+    by = told.join(live, "h").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("live")).where(F.size("live") >= asked)
+    # sizes of a linked pair differ by a factor under `step`, so their classes by one at most
+    step = 100 / percent * (1 + 1e-6)
+    by = by.withColumn("class", F.floor(F.ln("n") / float(np.log(step)))).withColumn("first", F.slice("live", F.lit(1), F.size("live") - asked + 1))
+    keys = by.select("id", "component", "class", F.explode("first").alias("s")).select("id", "component", "class", F.col("s.h").alias("h"))
+    larger = keys.select("h", F.col("class").alias("c"), F.col("id").alias("u"), F.col("component").alias("x"))
+    smaller = keys.select("h", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("c"), F.col("id").alias("v"), F.col("component").alias("y"), F.col("class").alias("d"))
+    return larger.join(smaller, ["h", "c"]).where((F.col("x") != F.col("y")) & ((F.col("d") < F.col("c")) | (F.col("u") < F.col("v")))).select("u", "v").distinct()
+
+
 def own_counts(sets: DataFrame) -> DataFrame:
     """(id, u): how many shingles of a set stand in no other of the sets, where any do."""
     alone = map_batches(sets, _shingle_rows, "h long, id long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
@@ -208,14 +236,14 @@ def link_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = components(_union(edges))
     own = written(_labelled(buckets.select("key", "id"), labels, "id", "component"))
     discard(labels)
-    mixed = written(own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
-    rest = written(own.join(mixed, "key").join(facts, "id"))
-    # a pair counts in the first bucket that it shares
-    first = F.get(F.filter(F.zip_with("p.bands", "q.bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()), F.lit(0))
-    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
-    across = rest.alias("p").join(rest.alias("q"), apart & _near("p", "q", percent) & (first == F.col("p.key")))
-    edges.append(written(confirmed(across.select(F.col("p.id").alias("u"), F.col("q.id").alias("v")), sets, percent)))
-    for t in (buckets, own, mixed, rest, sets, facts):
+    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    enough = F.expr(f"100 * (n - u) >= {percent} * n")
+    rest = written(own.join(mixed, "key").select("id", "component").distinct().join(facts.where(enough).select("id", "n"), "id"))
+    pairs = written(across(rest, sets, percent))
+    p, q = (facts.withColumnRenamed("id", c).alias(a) for c, a in (("u_", "p"), ("v_", "q")))
+    near = pairs.select(F.col("u").alias("u_"), F.col("v").alias("v_")).join(p, "u_").join(q, "v_").where(F.exists(F.zip_with("p.bands", "q.bands", lambda a, b: a == b), lambda x: x) & _near("p", "q", percent))
+    edges.append(written(confirmed(near.select(F.col("u_").alias("u"), F.col("v_").alias("v")), sets, percent)))
+    for t in (buckets, own, rest, pairs, sets, facts):
         discard(t)
     found = components(_union(edges)).withColumnRenamed("id", "rep")
     every = members.select("doc_id", "rep", "n").join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
