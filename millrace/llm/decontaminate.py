@@ -1,10 +1,17 @@
 """Benchmark decontamination (1): SimHash of item-sized windows.
 
 For every benchmark item of n words, each n-word window of a document has a
-64-bit SimHash of its weighted five-word shingles. Windows within RADIUS bits of
-the item are all found by a multi-index: the fingerprint is cut into eight
-blocks of eight bits, and 23 differing bits leave some block with at most two.
-Candidates are then verified on the exact weighted shingles.
+256-bit SimHash of its weighted five-word shingles. A shingle counts by the root
+of its weight, so two windows of similarity s have a cosine of s or more however
+unequal the weights are. RADIUS is 3 deviations above the mean distance at the
+threshold: a pair at a similarity of exactly 0.8 is missed with a probability of
+0.16 %, one at 0.85 with one in 10 million or so.
+
+Multi-index: the fingerprint is cut into 32 blocks of eight bits, each with a
+table from a block's value to the items within two bits of it. 71 differing bits
+can spoil (three bits or more) at most 23 blocks, so an item within the radius
+is found in nine look-ups or more, and an unrelated one is in 4 % of the cases.
+What is found so is measured, and verified on the exact weighted shingles.
 
 Only windows that hold a shingle of an item of their size are fingerprinted: a
 window without one has similarity 0, so nothing is lost and clean text costs one
@@ -12,12 +19,16 @@ table look-up a word.
 
 Similarity: the weight of the shingles in common (multisets) over the larger of
 the two total weights. A shingle weighs 1 / (number of items that hold it), 1 if
-none does; items count over the whole benchmark, however many passes it takes. Words are lower-cased runs of ASCII letters, digits and non-ASCII, so
-case, punctuation and line breaks do not hide a leak.
+none does; items count over the whole benchmark, however many passes it takes.
+Words are lower-cased runs of ASCII letters, digits and non-ASCII, so case,
+punctuation and line breaks do not hide a leak.
 
-Defined results: null and empty texts and items match nothing; items of under
+Defined results: null and empty texts and items match nothing; an item without
+item_id is searched for too, its matches have a null item_id; items of under
 five words are one shingle; a document shorter than the item is one window;
-repeated rows give repeated results; of tied windows the first counts.
+repeated rows give repeated results; of tied windows the first counts; an empty
+table of documents gives no rows, an empty benchmark none either and lets every
+document pass.
 """
 
 from collections.abc import Iterator
@@ -27,27 +38,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import keep_rows, map_batches
-from .text import ALNUM, chunks, grams, inside, one
+from .jobs import keep_rows, map_batches, written
+from .text import ALNUM, chunks, grams, inside, mix, one
 
 K = 5
 THRESHOLD = 0.8
-RADIUS = 23
-BLOCKS = 8
+BITS, BLOCKS = 256, 32
+RADIUS = 71
+#: Bits that may differ in a block, and the blocks that agree so far in every fingerprint within the radius.
+SPARE = 2
+AGREE = BLOCKS - RADIUS // (SPARE + 1)
 #: Items in the memory of a task at once; a larger benchmark takes more passes.
 ITEMS = 20_000
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double, distance int"
-_FLIPS = np.array([[bin(a ^ b).count("1") <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
 
 
 def fingerprints(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of shingles[s : s + n] for each s of starts, as eight bytes each."""
-    bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64) * 2 - 1
-    sums = np.zeros((len(shingles) + 1, 64))
-    np.cumsum(bits * weights[:, None], axis=0, out=sums[1:])
+    """SimHash of shingles[s : s + n] for each s of starts, as BLOCKS bytes each."""
+    words = np.stack([mix(shingles + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) for i in range(BITS // 64)], axis=1)
+    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, BLOCKS), axis=1).astype(np.float64) * 2 - 1
+    sums = np.zeros((len(shingles) + 1, BITS))
+    np.cumsum(bits * np.sqrt(weights)[:, None], axis=0, out=sums[1:])
     return np.packbits(sums[np.minimum(starts + n, len(shingles))] - sums[starts] > 1e-9, axis=1)
 
 
+class Index:
+    """Multi-index over fingerprints: for each block and value the rows within SPARE bits of it, one after another."""
+
+    def __init__(self, prints: np.ndarray):
+        values = np.arange(256, dtype=np.uint8)
+        close = np.bitwise_count(values[:, None] ^ values[None, :]) <= SPARE
+        self.prints, self.rows, self.at = prints, [], []
+        for b in range(BLOCKS):
+            value, row = np.nonzero(close[:, prints[:, b]])
+            self.rows.append(row)
+            self.at.append(np.searchsorted(value, np.arange(257)))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of every pair within RADIUS."""
+        size, out = len(self.prints), []
+        for a in range(0, len(prints), 256):
+            part = prints[a : a + 256]
+            votes = np.zeros(len(part) * size, np.uint8)
+            for b in range(BLOCKS):
+                low, high = self.at[b][part[:, b]], self.at[b][part[:, b].astype(np.int64) + 1]
+                n = high - low
+                places = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                # a row stands once under a value, so no place of a block is counted twice
+                votes[np.repeat(np.arange(len(part)) * size, n) + self.rows[b][places]] += 1
+            q, row = np.divmod(np.flatnonzero(votes >= AGREE), size)
+            distance = np.bitwise_count(part[q] ^ self.prints[row]).sum(axis=1, dtype=np.int64)
+            close = distance <= RADIUS
+            out.append((q[close] + a, row[close], distance[close]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 class Items:
     """The shingles, weights, fingerprints and multi-index of a part of the benchmark, by number of words.
 
@@ -56,7 +101,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray]):
         self.shared, self.held = shared
-        texts = [(int(i), w) for i, t in rows if i is not None and len(w := one(t or "", ALNUM))]
+        texts = [(i, w) for i, t in rows if len(w := one(t or "", ALNUM))]
         self.shingles = [grams(w, min(K, len(w))) for _, w in texts]
         self.ids = [i for i, _ in texts]
         self.sizes = np.array([len(w) for _, w in texts], np.int64)
@@ -73,7 +118,7 @@ class Items:
         for n in np.unique(self.sizes).tolist():
             own = np.flatnonzero(self.sizes == n)
             prints = np.concatenate([fingerprints(self.shingles[i], self.weighed[i], np.array([0]), len(self.shingles[i])) for i in own])
-            self.groups[n] = own, prints, [_FLIPS[:, prints[:, b]] for b in range(BLOCKS)]
+            self.groups[n] = own, Index(prints)
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.shared):
@@ -113,15 +158,10 @@ class Items:
                 continue
             low, high = int(starts[0]), int(starts[-1]) + span
             prints = fingerprints(shingles[low:high], self.weight(shingles[low:high]), starts - low, span)
-            own, theirs, index = self.groups[n]
-            maybe = index[0][prints[:, 0]]
-            for b in range(1, BLOCKS):
-                maybe = maybe | index[b][prints[:, b]]
-            s, i = np.nonzero(maybe)
-            distance = np.unpackbits(prints[s] ^ theirs[i], axis=1).sum(axis=1)
-            close = distance <= RADIUS
+            own, index = self.groups[n]
+            s, i, distance = index.near(prints)
             best: dict[int, tuple[float, int, int]] = {}
-            for a, item, d in zip(starts[s[close]].tolist(), own[i[close]].tolist(), distance[close].tolist(), strict=True):
+            for a, item, d in zip(starts[s].tolist(), own[i].tolist(), distance.tolist(), strict=True):
                 if (x := self.similarity(item, shingles[a : a + span])) >= THRESHOLD and x > best.get(item, (0.0,))[0]:
                     best[item] = (x, a, d)
             for item, (x, a, d) in best.items():
@@ -163,45 +203,59 @@ def shared_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         own = np.concatenate([*(np.unique(grams(w, min(K, len(w)))) for w in words if len(w)), np.zeros(0, np.uint64)])
         yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["shingle"])
 
-    counts = map_batches(rows.where("item_id is not null"), run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    counts = map_batches(rows, run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
     keys = counts["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], counts["n"].to_numpy()[order]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark, ITEMS items at a time."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[Items, bool]]:
+    """The benchmark, ITEMS items at a time, and whether it has more than one part."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     passes = max(1, -(-rows.count() // ITEMS))
     shared = shared_shingles(rows)
     for n in range(passes):
-        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).orderBy("item_id", "text").collect()], shared)
+        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n).orderBy("item_id", "text").collect()], shared), passes > 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item in it: doc_id, item_id, start_word, n_words, similarity, distance (bits).
 
     The benchmark is taken ITEMS items at a time, a bounded table in the tasks' memory, beside the shared shingles
-    of the whole benchmark (16 bytes each), by which each pass weighs alike; no document is shuffled.
+    of the whole benchmark (16 bytes each), by which each pass weighs alike; no document is shuffled. The result of
+    each of several passes is written before the next one's items are made.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
-    for items in _blocks(benchmark):
+    for items, several in _blocks(benchmark):
         part = map_batches(docs, _search(items), SCHEMA)
+        part = written(part) if several else part
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns."""
-
-    def clean(items: Items):
-        def flags(texts: pa.Array) -> list[bool]:
-            bad = {m[0] for m in _found(items, texts)}
-            return [i not in bad for i in range(len(texts))]
+    """The documents in which no benchmark item is found, with all their columns.
 
-        return flags
+    One pass filters rows where they stand. Several write the keys of what they find, and documents of those keys go.
+    """
 
-    for items in _blocks(benchmark):
-        docs = keep_rows(docs, "text", clean(items))
-    return docs
+    def bad(items: Items, texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts), bool)
+        out[[m[0] for m in _found(items, texts)]] = True
+        return out
+
+    def keys(items: Items):
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found = batch.column(0).filter(pa.array(bad(items, batch.column(0)), pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found], ["text"])
+
+        return run
+
+    text, gone = F.col("text").cast("string"), None
+    for items, several in _blocks(benchmark):
+        if not several:
+            return keep_rows(docs, "text", lambda texts, items=items: (~bad(items, texts)).tolist())
+        part = written(map_batches(docs.select(text.alias("text")), keys(items), "text string").select(F.sha2("text", 256).alias("_text")).distinct())
+        gone = part if gone is None else gone.unionByName(part)
+    return docs.withColumn("_text", F.sha2(text, 256)).join(gone.distinct(), "_text", "left_anti").select(*docs.columns)
