@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xC2B2AE3D27D4EB4F
+#: The step of a second hash, independent of the first.
+SECOND = 0x9FB21C651E98DF25
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -131,7 +133,7 @@ def one(text: str, alphabet: Alphabet) -> np.ndarray:
     return next(chunks(pa.array([text]), alphabet)).words
 
 
-def grams(words: np.ndarray, k: int) -> np.ndarray:
+def grams(words: np.ndarray, k: int, step: int = _STEP) -> np.ndarray:
     """Hash of each k consecutive words, across documents too: len(words) - k + 1 of them."""
     n = len(words) - k + 1
     if n <= 0:
@@ -139,9 +141,9 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     if k <= 8:
         out = np.zeros(n, np.uint64)
         for j in range(k):
-            out += words[j : j + n] * np.uint64(pow(_STEP, j, 1 << 64))
+            out += words[j : j + n] * np.uint64(pow(step, j, 1 << 64))
     else:
-        up, down = powers(_STEP, len(words))
+        up, down = powers(step, len(words))
         sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * up[: len(words)], out=sums[1:])
         out = (sums[k:] - sums[:n]) * down[:n]
