@@ -11,14 +11,20 @@ its prefix alone and is computed once, when the node is made, from the scores on
 its path; the count of a pre-token is stored where it ends. Equal scores take
 the fewer pieces.
 
-Null and empty texts have 0 tokens. A full trie is started anew between texts,
-which costs time and changes no count.
+A task's memory is bounded whatever the texts: pre-tokens are taken PIECES at a
+time, within a text too, a full trie is started anew between them, and a
+pre-token of more than LONG bytes is scored by itself, with the scores of one
+longest piece in memory. None of it changes a count.
+
+Defined results: null and empty texts have 0 tokens; repeated rows are counted
+each; an empty table gives no rows.
 """
 
 import base64
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +35,8 @@ from .jobs import map_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Trie nodes and stored counts in a task.
 NODES = 1_000_000
+#: Pre-tokens taken at once, and bytes of one that goes into the trie.
+PIECES, LONG = 50_000, 1_000
 PRETOKEN = re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+")
 SCHEMA = "doc_id long, n_tokens long, n_pretokens long"
 
@@ -51,6 +59,7 @@ class Trie:
                 if node == len(self.logs):
                     self.logs.append(None)
             self.logs[node] = log
+        self.longest = max(map(len, pieces), default=1)
         self.clear()
 
     def clear(self) -> None:
@@ -59,6 +68,22 @@ class Trie:
         self.scores, self.sizes = [0.0], [0]
         self.counts: dict[str, int] = {}
 
+    def alone(self, data: bytes) -> int:
+        """Number of pieces of a long pre-token, by the scores of the last few places."""
+        tail, logs, held = self.tails.get, self.logs, self.longest + 1
+        scores, sizes = [0.0] * held, [0] * held
+        for end in range(1, len(data) + 1):
+            best, fewest = -math.inf, 0
+            start, back = end, 0
+            while start and (back := tail(back << 8 | data[start - 1])):
+                start -= 1
+                if (p := logs[back]) is not None:
+                    s, n = scores[start % held] + p, sizes[start % held] + 1
+                    if s > best or s == best and n < fewest:
+                        best, fewest = s, n
+            scores[end % held], sizes[end % held] = best, fewest
+        return sizes[len(data) % held]
+
     def insert(self, token: str) -> int:
         """Number of pieces; makes the nodes that are missing."""
         data, node, path = token.encode(), 0, [0]
@@ -83,16 +108,43 @@ class Trie:
         return n
 
     def count(self, tokens: list[str]) -> int:
-        if len(self.scores) + len(self.counts) > NODES:
-            self.clear()
+        """Pieces of all the tokens; each distinct one is looked up or inserted once."""
         counts = self.counts
         try:
             return sum(map(counts.__getitem__, tokens))
         except KeyError:
-            for token in dict.fromkeys(tokens):
-                if token not in counts:
+            pass
+        extra = 0
+        for token in dict.fromkeys(tokens):
+            if token not in counts:
+                if len(token) > LONG and len(token.encode()) > LONG:
+                    counts[token] = self.alone(token.encode())
+                    extra += 1
+                else:
                     self.insert(token)
-            return sum(map(counts.__getitem__, tokens))
+        out = sum(map(counts.__getitem__, tokens))
+        if extra:
+            for token in dict.fromkeys(tokens):
+                if len(token) > LONG:
+                    counts.pop(token, None)
+        return out
+
+    def count_text(self, text: str) -> tuple[int, int]:
+        """Pieces and pre-tokens of a text."""
+        if len(text) <= PIECES:
+            tokens = PRETOKEN.findall(text)
+            self.make_room()
+            return self.count(tokens), len(tokens)
+        found, total, number = (m.group() for m in PRETOKEN.finditer(text)), 0, 0
+        while part := list(islice(found, PIECES)):
+            self.make_room()
+            total, number = total + self.count(part), number + len(part)
+        return total, number
+
+    def make_room(self) -> None:
+        """Starts the trie anew once it is full; PIECES pre-tokens of LONG bytes come on top of NODES at most."""
+        if len(self.scores) + len(self.counts) > NODES:
+            self.clear()
 
 
 _kept: dict[str, Trie] = {}
@@ -112,7 +164,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         trie = kept_trie(vocabulary, pieces)
-        found = [PRETOKEN.findall(t or "") for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([trie.count(x) for x in found], pa.int64()), pa.array(map(len, found), pa.int64())], ["doc_id", "n_tokens", "n_pretokens"])
+        found = [trie.count_text(t or "") for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "n_tokens", "n_pretokens"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
