@@ -11,16 +11,19 @@ rows kept out of the descent, or the general one if under 5 of those are toxic,
 is taken from the logit. So score >= 0.5 is the
 calibrated decision, and no column but the text enters a score.
 
-The fit sees at most SAMPLE labelled rows of at most SAMPLE_BYTES each, those
-first by a hash of doc_id; scoring sees every word of every document.
+The fit sees at most SAMPLE labelled rows of at most SAMPLE_BYTES each and
+SAMPLE_TOTAL together, those first by a hash of doc_id; scoring sees every word
+of every document.
 
 Defined results: null text is empty; an empty text is scored from its padding;
 without labels of both kinds every score is 0; documents labelled more than once
-are toxic if any label says so; labels without a document do not count.
+are toxic if any label says so; labels without a document do not count; repeated
+rows are scored each; an empty table gives no rows.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ from .text import ALNUM, chunks, one
 
 SAMPLE = 9_000
 SAMPLE_BYTES = 200_000
+SAMPLE_TOTAL = 100_000_000
 BITS = 15
 WIDTHS = (1, 2, 3)
 #: Widths whose words share their weights.
@@ -230,15 +234,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     spark = docs.sparkSession
     sample = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).where(F.col("size") <= SAMPLE_BYTES)
     rows = spark.createDataFrame(sample.collect(), sample.schema)  # SAMPLE rows at most
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    sizes = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.sum("size").alias("size"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    within = [r for r, total in zip(sizes, accumulate(r["size"] for r in sizes), strict=True) if total <= SAMPLE_TOTAL]
+    rows = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in within], sample.schema)
 
     def to_bins(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = [bins(c.words[a:b]).tobytes() for c in chunks(batch.column(1), ALNUM) for a, b in zip(c.first[:-1], c.first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "bins", "toxic"])
 
     # a doc_id that stands more than once would make the sample larger, so the bound is held here too
-    found = map_batches(texts.join(F.broadcast(rows), "doc_id"), to_bins, "doc_id long, bins binary, toxic int").orderBy("doc_id", "bins").limit(SAMPLE).collect()
+    found = map_batches(texts.drop("size").join(F.broadcast(rows), "doc_id"), to_bins, "doc_id long, bins binary, toxic int").orderBy("doc_id", "bins").limit(SAMPLE).collect()
     return fit([np.frombuffer(r["bins"], np.int32) for r in found], np.array([r["toxic"] for r in found], np.float64))
 
 
