@@ -7,8 +7,13 @@ by unigram Viterbi over the whole words of a public vocabulary, and multinomial
 naive Bayes, trained on the labelled hosts of url_examples, scores the words of
 host and path. A url without words gets the prior of that set, which allows.
 
+The labels of a host that name a service (SERVICES: www, m, blog, ...) tell
+nothing of whose it is, and stand on any host; they do not count.
+
 Host: after the first :// up to /, ? or # or the end, A-Z lower-cased; path:
-from there up to ? or # or the end; null or without ://: both empty.
+from there up to ? or # or the end; null or without ://: both empty. Defined results: a null or empty url has no host,
+path, rule and words and is allowed; repeated rows are judged each; an empty
+table gives no rows.
 """
 
 import math
@@ -43,6 +48,8 @@ geology archaeology genealogy quilting literacy children encyclopedia
 """.split()
 #: Words that stand in any url and tell nothing of it, as single letters do.
 NEUTRAL = frozenset("www com net org example m en fr de es it pt html php index page utm the and of to in".split())
+#: First labels of hosts that name a service, not a site.
+SERVICES = frozenset("www m mobile blog blogs shop store news forum wiki mail static cdn img media en fr de es".split())
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, words array<string>, block_log_odds double"
 _PART = re.compile(r"[^\W_]+")
 _RUN = re.compile(r"[^\W\d_]+|\d+")
@@ -103,6 +110,8 @@ def segment(text: str, words: tuple[dict[str, float], int] | None = None) -> lis
 def url_words(host: str, path: str, words: tuple[dict[str, float], int] | None = None) -> list[str]:
     """Host words (without the last label), then path words, segmented."""
     labels = host.split(":")[0].split(".")
+    while len(labels) > 2 and labels[0] in SERVICES:
+        labels.pop(0)
     parts = [*labels[:-1], *_PART.findall(path.lower())]
     return [w for p in parts for run in _RUN.findall(p.lower()) if not run.isdigit() for w in segment(run, words)]
 
