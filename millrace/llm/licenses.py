@@ -1,7 +1,7 @@
 """License scans (3): exact phrases, and fuzzy search for short notices.
 
 Base: places where a phrase's words stand consecutively. Method: a notice may
-differ in up to e characters: 1, or 2 from 13 words. Its words are cut into 2e + 1 pieces;
+differ in up to e characters, one for every four of its words. Its words are cut into 2e + 1 pieces;
 an edit touches two pieces at most (it can join the last word of one to the
 first of the next), so one piece stands unchanged in every match. Those exact
 seeds are found by word hashes; around each, the regex library's bounded-error
@@ -10,7 +10,8 @@ matching verifies the edits and reports the span.
 Words are lower-cased runs of ASCII letters, digits and non-ASCII; notices are
 matched against words joined by one space. Null texts count as empty; empty ones
 have no word, place or label and score 0. Score: 1 where a base phrase stands,
-else 1 - edits / characters of the best notice, else 0.
+else 1 - edits / characters of the best notice, else 0. Repeated rows are
+scanned each; an empty table gives no rows.
 """
 
 from collections.abc import Iterator

@@ -23,7 +23,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
