@@ -13,7 +13,7 @@ import pytest
 from compare import same
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, licenses, neardup, packing, substring, text, tokens, topk, toxicity, urls
+from millrace.llm import chat, decontaminate, jobs, licenses, neardup, packing, substring, text, tokens, topk, toxicity, urls
 from millrace.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +29,10 @@ def table(spark, rows, columns="doc_id long, text string"):
     return spark.createDataFrame(rows, columns)
 
 
+def table_of(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
 def documents(duck):
     return duck.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
 
@@ -39,27 +43,78 @@ def test_query_matches_sql(spark, duck, name):
     same(df.collect(), df.columns, duck.execute(ORACLE_SQL[name]))
 
 
+LONG = " ".join(prose(5000, 1))
+ODD = [(1, None, 5, "a"), (2, "", 5, None), (3, LONG, 5, "a"), (3, LONG, 5, "a"), (4, "x", None, "a"), (5, LONG, 1, "a"), (None, "no id", 1, "b"), (6, "\t\n ", 1, "b"), (7, "Alpha, BETA!", 1, "b")]
+
+
+def _sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def _odd(name):
+    """What each query says of the rows ODD: nulls, empty, long and repeated texts."""
+    words, shingles = 5000, len({tuple(LONG.split()[i : i + 5]) for i in range(4996)})
+    ids = [r[0] for r in ODD]
+    size = dict(zip(ids, (0, 0, words, words, 1, words, 2, 0, 2), strict=True))
+    pad = lambda *c: sorted(zip(ids, *c, strict=True), key=repr)
+    n = [size[i] for i in ids]
+    return {
+        "op1_decontamination": [(7, 3, 0, 2, 1.0, 0), (7, None, 0, 2, 1.0, 0)],
+        "op3_licenses": pad(n, [0] * 9, [None] * 9, [None] * 9, [""] * 9, [""] * 9, [0.0] * 9, [[]] * 9),
+        "op5_minhash_near_dedup": pad([{0: 0, words: shingles}.get(x, 1) for x in n], [3 if x == words else i for i, x in zip(ids, n, strict=True)], [i != 5 for i in ids]),
+        "op10_substring_dedup": pad(n, [words if i == 5 else 0 for i in ids], [_sha("" if t is None or i == 5 else " ".join(t.split())) for i, t, *_ in ODD]),
+    }[name]
+
+
 @pytest.mark.parametrize("name", ["op1_decontamination", "op3_licenses", "op4_packing", "op5_minhash_near_dedup", "op8_toxicity", "op9_token_counts", "op10_substring_dedup"])
 def test_odd_rows(spark, tmp_path, name):
-    """Nulls, empty and long texts, repeated rows, further columns: one row for each document, but for the matches of op1."""
-    long = " ".join(prose(5000, 1))
-    rows = [(1, None, 5, "a"), (2, "", 5, None), (3, long, 5, "a"), (3, long, 5, "a"), (4, "x", None, "a"), (5, long, 1, "a"), (None, "no id", 1, "b"), (6, "\t\n ", 1, "b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n long, id string").withColumns({"lang": F.lit("en"), "h": F.lit(1), "key": F.lit("k"), "start": F.lit(0), "bucket": F.lit(9)})
+    """Nulls, empty and long texts, repeated rows, empty tables, further columns of clashing names."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string, n long, id string").withColumns({"lang": F.lit("en"), "h": F.lit(1), "g": F.lit(1), "key": F.lit("k"), "start": F.lit(0), "bucket": F.lit(9), "size": F.lit(2), "_text": F.lit("t")})
     for sub, frame in (("full", df), ("empty", df.limit(0))):
         folder = str(tmp_path / sub)
         frame.write.parquet(f"{folder}/documents.parquet")
-        table(spark, [(1, None), (2, ""), (3, "alpha beta")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        table(spark, [(1, None), (2, ""), (3, "alpha beta"), (None, "alpha beta")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         table(spark, [(1, 0, 1), (3, 1, 0), (9, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-        n = QUERIES[name](spark, folder).count()
-        assert n == (0 if sub == "empty" or name.startswith("op1_") else len(rows))
+        rows = QUERIES[name](spark, folder).collect()
+        if sub == "empty":
+            assert not rows
+        elif name == "op4_packing":
+            assert sorted(((r["doc_id"], r["n_tokens"]) for r in rows), key=repr) == sorted(((i, n) for i, n, *_ in _odd("op3_licenses")), key=repr)
+            assert all(r["bucket_tokens"] - r["n_tokens"] == r["padding"] >= 0 for r in rows) and len({(r["bucket"], r["batch"], r["place"]) for r in rows}) == len(ODD)
+        elif name == "op8_toxicity":
+            by = collections.defaultdict(set)
+            for r in rows:
+                by[r["doc_id"]].add((r["score"], r["predicted"], r["held_out"]))
+            assert len(rows) == len(ODD) and all(len(x) == 1 and 0 <= min(x)[0] <= 1 for x in by.values())
+            assert len({min(by[i])[0] for i in (1, 2, 6)}) == 1 and min(by[3])[0] == min(by[5])[0]
+            assert by[None] == {(min(by[None])[0], min(by[None])[1], None)} or all(x[2] in (True, False) for x in by[None])
+        elif name == "op9_token_counts":
+            pieces = tokens.Trie(tokens.load_vocabulary())
+            expected = [(i, sum(pieces.count([t]) for t in p), len(p)) for i, t, *_ in ODD for p in [tokens.PRETOKEN.findall(t or "")]]
+            assert sorted(map(tuple, rows), key=repr) == sorted(expected, key=repr)
+        else:
+            assert sorted(map(tuple, rows), key=repr) == sorted(_odd(name), key=repr)
+
+
+def test_tables_of_a_scope_go_with_it_and_settings_come_back(spark, tmp_path):
+    import os
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1234")
+    try:
+        with jobs.scope(spark) as folder:
+            rows = neardup.link_classes(table(spark, [(1, "a b c d e f"), (2, "a b c d e f")])).collect()
+            assert os.listdir(folder.removeprefix("file://"))
+        assert {r["component_id"] for r in rows} == {1} and not os.path.exists(folder.removeprefix("file://"))
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1234" and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 # 1
 
 
-def test_decontamination_against_brute_force(spark, duck):
-    items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
-    docs = documents(duck)
+def _leaks(docs, items):
+    """(doc_id, item_id) by exact similarity of every window."""
 
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
@@ -67,7 +122,7 @@ def test_decontamination_against_brute_force(spark, duck):
     shingles = {i: [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] for i, t in items if (w := words(t))}
     df = collections.Counter(s for ss in shingles.values() for s in set(ss))
     weight = lambda c: sum(n / max(1, df[s]) for s, n in c.items())
-    expected = set()
+    out = set()
     for d, t in docs:
         w = words(t)
         own = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
@@ -77,7 +132,12 @@ def test_decontamination_against_brute_force(spark, duck):
             for j in range(max(1, len(own) - len(ss) + 1)):
                 a, b = collections.Counter(own[j : j + len(ss)]), collections.Counter(ss)
                 if weight(a & b) / max(weight(a), weight(b)) >= 0.8:
-                    expected.add((d, i))
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_against_brute_force(spark, duck):
+    expected = _leaks(documents(duck), duck.execute("SELECT item_id, text FROM benchmark").fetchall())
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op1_decontamination"](spark, SF).collect()}
     assert got == expected and got
 
@@ -97,7 +157,7 @@ def test_decontamination_sees_through_case_breaks_and_edits(spark):
 
 def test_decontamination_is_the_same_in_any_number_of_passes(spark, monkeypatch):
     boiler = prose(12, 70)
-    items = [(i, " ".join(boiler + prose(18, 71 + i))) for i in range(12)] + [(21, None), (None, " ".join(boiler))]
+    items = [(i, " ".join(boiler + prose(18, 71 + i))) for i in range(12)] + [(21, None)]
     # without the last 3 words of an item 0.84 of it is left; without the last 4, 0.79, but 0.85 were its boilerplate its own
     docs = [(i, " ".join(prose(30, 200 + i) + boiler + prose(15 if i < 6 else 14, 71 + i) + prose(20, 400 + i))) for i in range(12)]
     df, bench = table(spark, docs), table(spark, items, "item_id long, text string")
@@ -109,14 +169,34 @@ def test_decontamination_is_the_same_in_any_number_of_passes(spark, monkeypatch)
         assert rows() == whole
 
 
-def test_multi_index_holds_every_fingerprint_within_the_radius():
+def test_multi_index_holds_every_fingerprint_within_the_radius_and_few_others():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        a = rng.integers(0, 2, 64)
-        b = a.copy()
-        b[rng.choice(64, decontaminate.RADIUS, replace=False)] ^= 1
-        x, y = np.packbits(a), np.packbits(b)
-        assert any(decontaminate._FLIPS[x[i], y[i]] for i in range(8))
+    items = rng.integers(0, 256, (300, decontaminate.BLOCKS), dtype=np.uint8)
+    index = decontaminate.Index(items)
+    bits = np.unpackbits(items[:200], axis=1)
+    for r in range(200):
+        bits[r, rng.choice(decontaminate.BITS, decontaminate.RADIUS, replace=False)] ^= 1
+    q, row, distance = index.near(np.packbits(bits, axis=1))
+    assert [(a, a, decontaminate.RADIUS) for a in range(200)] == list(zip(q.tolist(), row.tolist(), distance.tolist(), strict=True))
+    other = rng.integers(0, 256, (500, decontaminate.BLOCKS), dtype=np.uint8)
+    votes = sum((np.bitwise_count(other[:, None, b] ^ items[None, :, b]) <= decontaminate.SPARE).astype(int) for b in range(decontaminate.BLOCKS))
+    assert 0.001 < (votes >= decontaminate.AGREE).mean() < 0.05 and not len(index.near(other)[0])
+
+
+def test_unequal_weights_do_not_hide_a_leak(spark):
+    """Items share most shingles, so that few weigh much; with similarity at 0.8 the cosine stays there too."""
+    shared = prose(60, 500)
+    items = [(i, " ".join(shared + prose(8, 510 + i))) for i in range(20)]
+    docs = [(i, " ".join(prose(20, 600 + i) + shared + prose(8, 510 + i)[:7] + ["other"] + prose(20, 700 + i))) for i in range(20)]
+    bench, df = table(spark, items, "item_id long, text string"), table(spark, docs)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(df, bench).collect()}
+    words = {i: t.split() for i, t in items}
+    grams_of = lambda w: collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    held = collections.Counter(g for w in words.values() for g in grams_of(w))
+    weight = lambda c: sum(n / max(1, held[g]) for g, n in c.items())
+    best = lambda d, i: max(weight((a := grams_of(d[j : j + 68])) & (b := grams_of(words[i]))) / max(weight(a), weight(b)) for j in range(len(d) - 67))
+    expected = {(d, i): best(t.split(), i) for d, t in docs for i in words if best(t.split(), i) >= 0.8}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
 
 
 # 2
@@ -271,6 +351,22 @@ def test_near_dedup_of_chains_and_groups(spark, percent):
     assert got == _components(docs, percent)
 
 
+@pytest.mark.parametrize("paired", [False, True])
+def test_buckets_of_a_template_family_are_not_paired_whole(spark, monkeypatch, paired):
+    """160 of 200 words are common to all; the rest is a document's own, or common to two that differ in more than the threshold allows."""
+    common, docs = prose(160, 900), []
+    for i in range(240):
+        own = prose(40, 1000 + i // 2 if paired else 1000 + i)
+        docs.append((i, " ".join(common + (own[:28] + prose(12, 5000 + i) if paired else own))))
+    docs += [(1000 + i, docs[i][1] + " tail") for i in range(6)]
+    seen = []
+    own = neardup.across
+    monkeypatch.setattr(neardup, "across", lambda *a: seen.append(own(*a).count()) or own(*a))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link_classes(table(spark, docs)).collect()}
+    assert got == {d: c for d, (_, c) in _components(docs, 85).items()}
+    assert seen and seen[0] <= 2 * len(docs)
+
+
 def test_circulant_signature_estimates_similarity():
     a = np.arange(1000, dtype=np.uint64)
     sets = [text.mix(x.copy()) for x in (a, a + np.uint64(100), a + np.uint64(500))]
@@ -322,6 +418,63 @@ def test_words_alone_block_unwanted_hosts(host):
         assert urls.block_odds(urls.url_words(name, "/en/81.html")) > 0
 
 
+def test_unwanted_hosts_of_the_pages_are_blocked_without_a_rule_and_others_allowed(spark, tmp_path):
+    bad = ("casino-win", "free-bets", "ads-track", "adult-x", "spam-farm", "cheap-pills")
+    hosts = {r[0] for r in table_of(spark, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1)).distinct().collect()}
+    rows = [(i, f"http://{h.replace('.com', '.org')}/de/{i}.html?x=1") for i, h in enumerate(sorted(hosts))]
+    rows += [(1000 + i, f"https://{s}{b}.example.net/en/9") for i, (s, b) in enumerate(itertools.product(("", "www.", "m.", "blog."), bad))]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["verdict"] for r in QUERIES["op6_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == {i: "block" if any(b in u for b in bad) else "allow" for i, u in rows}
+
+
+def test_url_parts_and_rules_against_sql(spark, duck):
+    rules = ", ".join(str(r) for r in urls.RULES)
+    want = duck.execute(f"""
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS mark FROM pages
+        ), a AS (SELECT page_id, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM u
+        ), b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a
+        ), c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b
+        ), r AS (SELECT * FROM (VALUES {rules}) x(rh, rp, verdict)
+        ), m AS (SELECT page_id, max((length(rh || rp), rh || rp, verdict)) AS best FROM c JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+        SELECT c.page_id, host, path, best[2] AS rule, best[3] AS verdict FROM c LEFT JOIN m USING (page_id)""").fetchall()
+    got = {r["page_id"]: r for r in QUERIES["op6_url_filter"](spark, SF).collect()}
+    assert len(want) == len(got)
+    for page, host, path, rule, verdict in want:
+        r = got[page]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or r["verdict"])
+
+
+def test_segmentation_and_bayes_against_brute_force():
+    known = {"a": -1.0, "ab": -1.5, "abc": -3.0, "b": -2.5, "bc": -1.2, "c": -2.0, "ca": -1.1}
+    unknown = -math.log(len(known) + 10) - 4
+
+    def best(text):
+        """Least loss over all ways to cut the text."""
+        ways = []
+        for cuts in itertools.product((False, True), repeat=len(text) - 1):
+            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(text)]
+            ways.append(sum(known.get(text[x:y], unknown if y - x == 1 else -math.inf) for x, y in itertools.pairwise(at)))
+        return max(ways)
+
+    for text_ in ("abc", "abca", "xabcx", "cabcabx", "bbca", "xx"):
+        cost = sum(known[w] if w in known else unknown * len(w) for w in urls.segment(text_, (known, 3)))
+        assert "".join(urls.segment(text_, (known, 3))) == text_ and abs(cost - best(text_)) < 1e-9
+    odds, prior = urls.learn([["good", "day"], ["good"]], [["bad", "day", "bad"]])
+    # five distinct outcomes: three words, one unseen, and "day" in both
+    assert prior == math.log(1 / 2) and abs(odds["bad"] - math.log((3 / 7) / (1 / 7))) < 1e-9 and abs(odds["day"] - math.log((2 / 7) / (2 / 7))) < 1e-9
+
+
+def test_labelled_hosts_left_out_are_judged_by_the_others():
+    sides = [[urls.segment(h) for h in side.split()] for side in (urls.url_examples.WANTED, urls.url_examples.UNWANTED)]
+    right = [0, 0]
+    for fold in range(10):
+        model = urls.learn(*([w for i, w in enumerate(side) if i % 10 != fold] for side in sides))
+        for label, side in enumerate(sides):
+            right[label] += sum((urls.block_odds(w, model) > 0) == bool(label) for i, w in enumerate(side) if i % 10 == fold)
+    assert right[0] / len(sides[0]) > 0.85 and right[1] / len(sides[1]) > 0.55
+
+
 def test_url_words_come_from_the_vocabulary_and_the_prior_from_the_labelled_hosts():
     assert urls.segment("onlinegambling") == ["online", "gambling"] and urls.segment("mountainrailway") == ["mountain", "railway"]
     assert len(urls.lexicon()[0]) > 20_000
@@ -349,6 +502,34 @@ def test_top_k_against_brute_force_with_odd_vectors(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_in_several_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i % 40, rng.normal(size=9).astype(np.float32).tolist()) for i in range(120)] + [(0, [])] * 2 + [(7, [])]
+    rows += rows[:3]
+    df = table(spark, rows, "vec_id long, embedding array<float>")
+    good = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows]
+    expected = []
+    for q, v in sorted(set(good)):
+        if q % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))[:5]
+            expected += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    for size in (8192, 3):
+        monkeypatch.setattr(topk, "QUERIES", size)
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0).collect())) == sorted(expected)
+
+
+def test_later_tiles_are_cut_from_the_start():
+    rng = np.random.default_rng(6)
+    low = rng.normal(size=(64, 3000)) * np.exp(-np.arange(64) / 6)[:, None]
+    queries = np.floor(256 * low[:, :10].T)
+    best = topk.Best(np.arange(10), queries, 5)
+    summed = [best.add(np.floor(256 * low[:, a : a + 500]), np.arange(a, a + 500)) for a in range(0, 3000, 500)]
+    scores = queries @ np.floor(256 * low)
+    scores[np.arange(10), np.arange(10)] = -np.inf
+    order = np.lexsort((np.broadcast_to(np.arange(3000), scores.shape), -scores), axis=1)[:, :5]
+    assert (best.ids == order).all() and summed[-1] < 0.02 * 10 * 500
+
+
 # 8
 
 
@@ -392,6 +573,53 @@ def test_toxicity_fit_uses_a_lower_cut_of_a_language(monkeypatch):
     assert toxicity.fit(texts, np.array(labels)).thresholds.tolist() == [-1.0] * 4 + [1.0]
 
 
+def test_toxicity_scores_are_those_of_a_plain_convolution():
+    rng = np.random.default_rng(11)
+    filters = {w: rng.normal(size=(w, toxicity.DIM, 3)).astype(np.float32) for w in toxicity.WIDTHS} | {w: rng.normal(size=(1, toxicity.DIM, 2)).astype(np.float32) for w in toxicity.WIDE}
+    count = sum(f.shape[2] for f in filters.values())
+    embed = rng.normal(size=(toxicity.PAD + 1, toxicity.DIM)).astype(np.float32)
+    model = toxicity.Model(embed, filters, rng.normal(size=count).astype(np.float32), rng.normal(size=count), 0.3, rng.normal(size=5))
+    for words in ([], prose(1, 1), "the of and to".split() + prose(40, 2), "der die das".split() + prose(300, 3)):
+        own = toxicity.bins(text.one(" ".join(words), text.ALNUM)) if words else np.zeros(0, np.int32)
+        x = np.concatenate((own, np.full(3, toxicity.PAD, np.int32)))
+        pooled = []
+        for w, f in filters.items():
+            places = []
+            for at in range(len(x) - 2):
+                part = embed[x[at : at + w]].astype(np.float64)
+                places.append(sum(part[j] @ f[j if f.shape[0] > 1 else 0] for j in range(len(part))))
+            pooled.append(np.max(places, axis=0))
+        logit = float(np.maximum(np.concatenate(pooled) + model.bias, 0) @ model.out + model.base)
+        found = [sum(v in words for v in known.split()) for known in toxicity.LANGUAGES.values()]
+        lang = int(np.argmax(found)) if max(found) else -1
+        score, guess = toxicity.scores(model, model.tables(), toxicity.known_bins(), *toxicity.pad(text.one(" ".join(words), text.ALNUM) if words else np.zeros(0, np.uint64), np.array([0, len(words)])))
+        assert guess[0] == lang and abs(score[0] - 1 / (1 + math.exp(-min(40, max(-40, logit - model.thresholds[lang]))))) < 1e-4
+
+
+def test_toxicity_on_held_out_rows_of_the_table(spark):
+    """Figures of rows whose labels were never seen, on the larger test table."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["toxic"] is not None}
+    rows = [(r["score"], labels[r["doc_id"]]) for r in QUERIES["op8_toxicity"](spark, folder).where("held_out").collect() if r["doc_id"] in labels]
+    rank = {s: r for r, s in enumerate(sorted({s for s, _ in rows}))}
+    toxic, clean = ([rank[s] for s, y in rows if y == v] for v in (1, 0))
+    wins = sum((t > c) + 0.5 * (t == c) for t in toxic for c in clean) / (len(toxic) * len(clean))
+    right = sum((s >= 0.5) == bool(y) for s, y in rows) / len(rows)
+    assert len(rows) > 700 and wins > 0.95 and right > 0.95
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append([len(t) for t in texts]))
+    docs = table(spark, [(i, " ".join(prose(50, i))) for i in range(40)] + [(40, "x " * 5000)])
+    labels = table(spark, [(i, i % 2) for i in range(41)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    whole = len(seen[0])
+    monkeypatch.setattr(toxicity, "SAMPLE_TOTAL", 4000)
+    toxicity.train(docs, labels)
+    assert whole > 25 and 0 < len(seen[1]) < 15
+
+
 def test_toxicity_rows_and_folds(spark, duck):
     rows = QUERIES["op8_toxicity"](spark, SF).collect()
     assert {r["doc_id"]: r["held_out"] for r in rows} == {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _ in documents(duck)}
@@ -426,13 +654,16 @@ def test_token_counts_against_viterbi(spark, duck):
         assert got[d] == (sum(known[p] for p in pre), len(pre))
 
 
-def test_full_trie_starts_anew_with_equal_counts(monkeypatch):
+def test_bounds_of_a_task_change_no_count(monkeypatch):
+    texts = [" ".join(prose(40, i)) for i in range(30)] + [" ".join(prose(900, 77)), "x" * 2500 + " y", "é" * 700 + "日本" * 500 + " end", "\U0001f600" * 400]
     trie = tokens.Trie(tokens.load_vocabulary())
-    found = [tokens.PRETOKEN.findall(" ".join(prose(40, i))) for i in range(30)]
-    whole = [trie.count(f) for f in found]
-    monkeypatch.setattr(tokens, "NODES", 200)
+    monkeypatch.setattr(tokens, "LONG", 10**9)
+    whole = [trie.count_text(t) for t in texts]
+    assert whole == [(trie.count(tokens.PRETOKEN.findall(t)), len(tokens.PRETOKEN.findall(t))) for t in texts]
+    for name, value in (("NODES", 200), ("PIECES", 7), ("LONG", 20)):
+        monkeypatch.setattr(tokens, name, value)
     small = tokens.Trie(tokens.load_vocabulary())
-    assert [small.count(f) for f in found] == whole and len(small.scores) < len(trie.scores)
+    assert [small.count_text(t) for t in texts] == whole and len(small.scores) < 400
 
 
 # 10
