@@ -176,22 +176,24 @@ def _shingle_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of documents of different components that can be linked: rest has id, component, n (size of the set).
+    """Pairs (u, v) of documents of different components that can be linked: rest has id, component and what _near asks for.
 
     A linked pair has at least a = percent * n / 100 shingles in common, all of them live: held by several components.
+    A pair is made once, under the rarest of the first shingles that both have.
     """
-    shingles = map_batches(sets.join(rest.select("id"), "id").select("id", "shingles"), _shingle_rows, "h long, id long")
-    told = shingles.join(rest, "id")
+    told = map_batches(sets.join(rest.select("id"), "id").select("id", "shingles"), _shingle_rows, "h long, id long").join(rest.select("id", "component", "n"), "id")
     live = told.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h", "df")
     asked = F.ceil(F.col("n") * percent / 100).cast("int")
-    by = told.join(live, "h").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("live")).where(F.size("live") >= asked)
+    by = told.join(live, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("live")).where(F.size("live") >= asked)
     # sizes of a linked pair differ by a factor under `step`, so their classes by one at most
     step = 100 / percent * (1 + 1e-6)
-    by = by.withColumn("class", F.floor(F.ln("n") / float(np.log(step)))).withColumn("first", F.slice("live", F.lit(1), F.size("live") - asked + 1))
-    keys = by.select("id", "component", "class", F.explode("first").alias("s")).select("id", "component", "class", F.col("s.h").alias("h"))
-    larger = keys.select("h", F.col("class").alias("c"), F.col("id").alias("u"), F.col("component").alias("x"))
-    smaller = keys.select("h", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("c"), F.col("id").alias("v"), F.col("component").alias("y"), F.col("class").alias("d"))
-    return larger.join(smaller, ["h", "c"]).where((F.col("x") != F.col("y")) & ((F.col("d") < F.col("c")) | (F.col("u") < F.col("v")))).select("u", "v").distinct()
+    first = F.transform(F.slice("live", F.lit(1), F.greatest(F.size("live") - asked + 1, F.lit(0))), lambda x: x["h"])
+    keys = by.select("id", F.floor(F.ln("n") / float(np.log(step))).alias("class"), first.alias("first")).join(rest, "id").withColumn("h", F.explode("first"))
+    larger = keys.withColumn("c", F.col("class")).alias("p")
+    smaller = keys.withColumn("c", F.explode(F.array(F.col("class"), F.col("class") + 1))).alias("q")
+    same = (F.col("p.h") == F.col("q.h")) & (F.col("p.c") == F.col("q.c")) & (F.col("p.component") != F.col("q.component")) & ((F.col("q.class") < F.col("p.class")) | (F.col("p.id") < F.col("q.id")))
+    once = F.get(F.array_intersect("p.first", "q.first"), F.lit(0)) == F.col("p.h")
+    return larger.join(smaller, same & _near("p", "q", percent) & once).select(F.col("p.id").alias("u"), F.col("q.id").alias("v"))
 
 
 def own_counts(sets: DataFrame) -> DataFrame:
@@ -238,11 +240,11 @@ def link_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     discard(labels)
     mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     enough = F.expr(f"100 * (n - u) >= {percent} * n")
-    rest = written(own.join(mixed, "key").select("id", "component").distinct().join(facts.where(enough).select("id", "n"), "id"))
+    rest = written(own.join(mixed, "key").select("id", "component").distinct().join(facts.where(enough).drop("bands"), "id"))
     pairs = written(across(rest, sets, percent))
-    p, q = (facts.withColumnRenamed("id", c).alias(a) for c, a in (("u_", "p"), ("v_", "q")))
-    near = pairs.select(F.col("u").alias("u_"), F.col("v").alias("v_")).join(p, "u_").join(q, "v_").where(F.exists(F.zip_with("p.bands", "q.bands", lambda a, b: a == b), lambda x: x) & _near("p", "q", percent))
-    edges.append(written(confirmed(near.select(F.col("u_").alias("u"), F.col("v_").alias("v")), sets, percent)))
+    p, q = (facts.select(F.col("id").alias(c), F.col("bands").alias(a)) for c, a in (("u", "p"), ("v", "q")))
+    met = pairs.join(p, "u").join(q, "v").where(F.exists(F.zip_with("p", "q", lambda a, b: a == b), lambda x: x)).select("u", "v")
+    edges.append(written(confirmed(met, sets, percent)))
     for t in (buckets, own, rest, pairs, sets, facts):
         discard(t)
     found = components(_union(edges)).withColumnRenamed("id", "rep")
