@@ -73,19 +73,32 @@ def clip(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(room // 2)), F.lit(marker), F.right(text, F.lit(room - room // 2))))
 
 
+def _bound(value: Column, function) -> Column:
+    """function(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _may_hold(text: Column, label: str) -> Column:
+    """A cheap necessary condition: an address has an @, the other kinds a digit."""
+    return F.contains(text, F.lit("@")) if label == "email" else text.rlike("[0-9]")
+
+
 def redact(text: Column, labels: Column | None = None) -> Column:
-    """Replaces PII by markers, for the labels given (all if none)."""
+    """Replaces PII by markers, for the labels given (all if none). Each pattern sees what the one before it left."""
+    def step(name: str, pattern: str):
+        asked = lambda x: _may_hold(x, name) if labels is None else F.array_contains(labels, name) & _may_hold(x, name)
+        return lambda x: F.when(asked(x), F.regexp_replace(x, pattern, f"[REDACTED_{name.upper()}]")).otherwise(x)
+
     out = text
     for name, pattern in PII.items():
-        changed = F.regexp_replace(out, pattern, f"[REDACTED_{name.upper()}]")
-        out = changed if labels is None else F.when(F.array_contains(labels, name), changed).otherwise(out)
+        out = _bound(out, step(name, pattern))
     return out
 
 
 def detected_pii(text: Column) -> Column:
     """Sorted labels of raw PII that the text still shows."""
-    found = F.array(*(F.when(text.rlike(PII[name]), F.lit(name)) for name in DETECTED))
-    return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
+    found = lambda x: F.array(*(F.when(_may_hold(x, name) & x.rlike(PII[name]), F.lit(name)) for name in DETECTED))
+    return F.array_sort(F.filter(_bound(text, found), lambda x: x.isNotNull()))
 
 
 def normalise(text: Column) -> Column:
@@ -93,7 +106,8 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("_"), F.lit(" ")), r"\s+", " "))
 
 
-def _flat(text: Column) -> Column:
+def flat(text: Column) -> Column:
+    """Normalised, with hyphens as spaces: what phrases and anchors are looked for in."""
     return F.replace(normalise(text), F.lit("-"), F.lit(" "))
 
 
@@ -102,55 +116,68 @@ def claim_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
 
 
+def token_support(own: Column, support: Column) -> Column:
+    """Share of the claim's tokens among the support's; 0 for a claim without tokens."""
+    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, support)) / F.size(own))
+
+
 def support_score(claim: Column, support: Column) -> Column:
-    """Share of the claim's tokens in the support; 0 for a claim without tokens."""
-    own = claim_tokens(claim)
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, claim_tokens(support))) / F.size(own))
+    return token_support(claim_tokens(claim), claim_tokens(support))
 
 
-def anchors(text: Column) -> Column:
-    """Entities, percentages, amounts and fixed phrases in a text, sorted."""
-    flat = _flat(text)
-    found = [F.regexp_extract_all(flat, F.lit(p), 0) for p in ANCHOR_PATTERNS]
+def flat_anchors(text: Column) -> Column:
+    found = [F.regexp_extract_all(text, F.lit(p), 0) for p in ANCHOR_PATTERNS]
     # a phrase with a hyphen never occurs in flattened text
-    phrases = F.filter(F.array(*(F.when(F.contains(flat, F.lit(p)), F.lit(p)) for p in ANCHOR_PHRASES)), lambda x: x.isNotNull())
+    phrases = F.filter(F.array(*(F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in ANCHOR_PHRASES)), lambda x: x.isNotNull())
     return F.array_sort(F.array_distinct(F.concat(*found, phrases)))
 
 
+def anchors(text: Column) -> Column:
+    """Entities, percentages, amounts and fixed phrases in a text, sorted."""
+    return _bound(flat(text), flat_anchors)
+
+
+def _missing(claim: Column, support: Column) -> Column:
+    return F.filter(flat_anchors(claim), lambda a: ~F.contains(support, a))
+
+
 def missing_anchors(claim: Column, support: Column) -> Column:
-    flat = _flat(support)
-    return F.filter(anchors(claim), lambda a: ~F.contains(flat, a))
+    return _missing(flat(claim), flat(support))
 
 
 def has_any(text: Column, terms) -> Column:
-    flat = _flat(text)
-    return any_of(F.contains(flat, F.lit(t)) for t in terms)
+    return any_of(F.contains(text, F.lit(t)) for t in terms)
 
 
-def contradicts(claim: Column, support: Column) -> Column:
-    """Positive claim against negative support, or one of the fixed opposite pairs (substrings, so "not eligible" is also "eligible")."""
-    c, s = _flat(claim), _flat(support)
+def _contradicts(c: Column, s: Column) -> Column:
     has = lambda x, t: F.contains(x, F.lit(t))
     return (
-        (any_of(has(c, t) for t in POSITIVE) & any_of(has(s, t) for t in NEGATIVE))
+        (has_any(c, POSITIVE) & has_any(s, NEGATIVE))
         | (has(c, "lifetime") & has(s, "one time"))
         | (has(c, "eligible") & has(s, "not eligible"))
         | (has(c, "approved") & (has(s, "denied") | has(s, "declined") | has(s, "rejected")))
     )
 
 
+def contradicts(claim: Column, support: Column) -> Column:
+    """Positive claim against negative support, or one of the fixed opposite pairs (substrings, so "not eligible" is also "eligible")."""
+    return _contradicts(flat(claim), flat(support))
+
+
 def uncertainty_mismatch(claim: Column, support: Column) -> Column:
-    return has_any(support, UNCERTAIN_SUPPORT) & ~has_any(claim, UNCERTAIN_CLAIM)
+    return has_any(flat(support), UNCERTAIN_SUPPORT) & ~has_any(flat(claim), UNCERTAIN_CLAIM)
+
 
+def claim_label(claim: Column, support: Column, missing: Column, score: Column, checkable: Column, enough: float = 0.72, some: float = 0.45) -> Column:
+    """Label of a claim: not_checkable, contradicted, unsupported, partially_supported or supported; the first that holds.
 
-def claim_label(claim: Column, support: Column, cited: Column, enough: float = 0.72, some: float = 0.45) -> Column:
-    """Label of a claim: not_checkable, contradicted, unsupported, partially_supported or supported; the first that holds."""
-    score = support_score(claim, support)
+    claim and support are flat() texts, missing and score what missing_anchors() and support_score() say of them.
+    """
     return (
-        F.when(~cited | (F.coalesce(support, F.lit("")) == ""), "not_checkable")
-        .when(contradicts(claim, support), "contradicted")
-        .when(F.size(missing_anchors(claim, support)) > 0, "unsupported")
-        .when(uncertainty_mismatch(claim, support), "partially_supported")
+        F.when(~checkable, "not_checkable")
+        .when(_contradicts(claim, support), "contradicted")
+        .when(F.size(missing) > 0, "unsupported")
+        .when(has_any(support, UNCERTAIN_SUPPORT) & ~has_any(claim, UNCERTAIN_CLAIM), "partially_supported")
         .when(score >= enough, "supported")
         .when(score >= some, "partially_supported")
         .otherwise("unsupported")

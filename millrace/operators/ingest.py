@@ -13,7 +13,11 @@ _TOKEN = re.compile("[A-Za-z0-9]+")
 
 
 def chunk_spans(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
-    """Character spans of chunks of at most `target` tokens, along headings and paragraphs; each repeats `overlap` tokens of the one before.
+    return [(a, b) for a, b, _ in counted_spans(text, target, overlap)]
+
+
+def counted_spans(text: str, target: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Character spans, and numbers of tokens, of chunks of at most `target` tokens, along headings and paragraphs; each repeats `overlap` tokens of the one before.
 
     A paragraph of more tokens is cut by itself. A chunk grows while the next piece fits.
     """
@@ -53,22 +57,26 @@ def chunk_spans(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
         else:
             spans.append([start, end, n])
     out, k = [], 0
-    for j, (start, end, _) in enumerate(spans):
+    for j, (start, end, n) in enumerate(spans):
         while k < len(tokens) and tokens[k][0] < start:
             k += 1
-        out.append((tokens[max(0, k - overlap)][0] if j and overlap and k and tokens else start, end))
+        again = min(overlap, k) if j else 0
+        out.append((tokens[k - again][0] if again else start, end, n + again))
     return out
 
 
 def chunks(docs: DataFrame, target: int = 200, overlap: int = 20) -> DataFrame:
-    """id, ordinal, chunk, char_start, char_end, n_tokens for each chunk of `text`."""
-    schema = "array<struct<ordinal:int,chunk:string,char_start:int,char_end:int,n_tokens:int>>"
+    """id, ordinal, chunk, char_start, char_end, n_tokens for each chunk of `text`.
+
+    Python finds offsets alone; the text of a chunk is cut by the engine, where a reader asks for it.
+    """
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf("array<struct<char_start:int,char_end:int,n_tokens:int>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"ordinal": i, "chunk": t[a:b], "char_start": a, "char_end": b, "n_tokens": len(_TOKEN.findall(t[a:b]))} for i, (a, b) in enumerate(chunk_spans(t, target, overlap))] if t else [] for t in texts])
+        return pd.Series([[{"char_start": a, "char_end": b, "n_tokens": n} for a, b, n in counted_spans(t, target, overlap)] if t else [] for t in texts])
 
-    return docs.select("id", F.explode(cut("text")).alias("c")).select("id", "c.*")
+    rows = docs.select("id", "text", F.posexplode(cut("text")).alias("ordinal", "c")).select("id", "ordinal", "text", "c.*")
+    return rows.select("id", "ordinal", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("chunk"), "char_start", "char_end", "n_tokens")
 
 
 def index_text(context: Column, chunk: Column) -> Column:
@@ -142,6 +150,40 @@ def span_text(span: Column, content: Column, payload: Column) -> Column:
     return F.when(span["text_ref"] == "self", content).when(span["text_ref"] == "payload", F.get(payload, span["text_index"]))
 
 
+def resolved_span_text(span: Column, content_hash: Column, content: Column, payload: Column) -> Column:
+    """The text that a stored span stands for: its own, else that of its record or of the payload where the hash agrees; null otherwise."""
+    inside = F.get(payload, span["text_index"])
+    return (
+        F.when(span["text"].isNotNull(), span["text"])
+        .when((span["text_ref"] == "self") & (span["content_hash"] == content_hash), content)
+        .when((span["text_ref"] == "payload") & (F.concat(F.lit("sha256:"), F.sha2(inside, 256)) == span["content_hash"]), inside)
+    )
+
+
+def remediated(records: DataFrame) -> DataFrame:
+    """Spans that carry their record's text in plain become references to it: adds verified (how many) and error, and changes spans.
+
+    A row with a span whose hash is not the row's, or whose text does not have it, is left as it is, with an error.
+    """
+    own = lambda s: F.concat(F.lit("sha256:"), F.sha2(s["text"], 256))
+    plain = F.filter(F.coalesce("spans", F.array()), lambda s: s["text"].isNotNull())
+    differs = F.exists(plain, lambda s: ~s["content_hash"].eqNullSafe(F.col("content_hash")))
+    fails = F.exists(plain, lambda s: ~own(s).eqNullSafe(F.col("content_hash")))
+    out = records.withColumn("error", F.when(differs, "span hash differs from row hash").when(fails, "span text fails its content hash"))
+    out = out.withColumn("verified", F.when(F.col("error").isNull(), F.size(plain)).otherwise(0))
+    cleared = F.transform("spans", lambda s: F.when(s["text"].isNotNull(), s.withField("text", F.lit(None).cast("string")).withField("text_ref", F.lit("self"))).otherwise(s))
+    return out.withColumn("spans", F.when(F.col("verified") > 0, cleared).otherwise(F.col("spans")))
+
+
+def remediation_report(done: DataFrame) -> DataFrame:
+    """One row of counts: rows, rewritten rows, verified spans, spans with text left, references, rows in error."""
+    spans = F.coalesce("spans", F.array())
+    return done.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("verified") > 0).alias("rewritten_rows"), F.sum("verified").cast("long").alias("verified_spans"),
+        F.sum(F.size(F.filter(spans, lambda s: s["text"].isNotNull()))).cast("long").alias("remaining_text_spans"), F.sum(F.size(F.filter(spans, lambda s: s["text_ref"] == "self"))).cast("long").alias("self_ref_spans"), F.count_if(F.col("error").isNotNull()).alias("errors"),
+    )
+
+
 def turn_records(turns: DataFrame) -> DataFrame:
     """User turns with the assistant turn that follows, as one text each: conv_id, turn, subject, content."""
     order = Window.partitionBy("conv_id").orderBy("turn")

@@ -70,9 +70,10 @@ def review_shown(include: Iterable[str] = (), hide: Iterable[str] = ()) -> Colum
 def predicates(filters: dict, at: Column) -> dict[str, Column]:
     """The conjuncts of a filter, by name. An empty `kinds` passes nothing; other empty lists pass everything."""
     subject_ids = F.coalesce("subject_ids", F.array("subject"))
-    denied = sorted(filters.get("denied_subjects") or filters.get("denied_subject_ids") or ())
-    kinds = filters.get("memory_types") or filters.get("allowed_memory_types")
-    one_of = lambda name, column: F.col(column).isin(*(filters.get(name) or filters.get(f"allowed_{name}"))) if filters.get(name) or filters.get(f"allowed_{name}") else F.lit(True)
+    both = lambda *names: sorted({x for n in names for x in filters.get(n) or ()})
+    denied = both("denied_subjects", "denied_subject_ids")
+    kinds = both("memory_types", "allowed_memory_types")
+    one_of = lambda name, column: F.col(column).isin(*both(name, f"allowed_{name}")) if both(name, f"allowed_{name}") else F.lit(True)
     return {
         "review": review_shown(filters.get("include_review_states", ()), (*filters.get("hide_review_states", ()), *(["proposed"] if filters.get("hide_proposed") else []))),
         "kinds": (F.col("kind").isin(*filters["kinds"]) if filters["kinds"] else F.lit(False)) if "kinds" in filters else F.lit(True),
@@ -94,15 +95,32 @@ def matching(records: DataFrame, filters: dict, at: Column) -> DataFrame:
     return records
 
 
-def merged_filters(a: dict, b: dict, k: int = 8, topc: int = 50) -> tuple[dict, int, int]:
-    """Two filters with their lists united, and k and topc within 50 and 200."""
-    out = dict(a)
-    for name, value in b.items():
-        out[name] = sorted({*out[name], *value}) if isinstance(out.get(name), (list, tuple, set)) and isinstance(value, (list, tuple, set)) else value
+#: Names under which a service request may give a filter, and the filter's own.
+REQUEST_LISTS = {"kind": "kinds", "kinds": "kinds", "memory_types": "memory_types", "policy_scopes": "policy_scopes", "allowed_classifications": "allowed_classifications", "denied_subjects": "denied_subjects", "entities": "entities"}
+REQUEST_VALUES = ("subject", "method", "intent", "effective_at")
+
+
+def merged_filters(filters: dict, request: dict, k: int = 8, topc: int = 50) -> tuple[dict, int, int]:
+    """Filters with what a request gives beside them: lists (or comma-separated text) are united, single values replaced; k and topc within 50 and 200."""
+    items = lambda v: [x.strip() for x in v.split(",") if x.strip()] if isinstance(v, str) else list(v or ())
+    out = dict(filters)
+    for name in REQUEST_VALUES:
+        if request.get(name) not in (None, ""):
+            out[name] = request[name]
+    for name, own in REQUEST_LISTS.items():
+        if request.get(name) not in (None, ""):
+            out[own] = list(dict.fromkeys([*items(out.get(own)), *items(request[name])]))
     k = max(1, min(50, k))
     return out, k, max(k, min(200, topc))
 
 
+def normal_review_state(state: Column) -> Column:
+    """A struct (state, error): blank is none, what is no state is an error."""
+    known = F.nullif(state, F.lit(""))
+    odd = known.isNotNull() & ~known.isin(*TRANSITIONS)
+    return F.struct(F.when(~odd, known).alias("state"), F.when(odd, F.concat(F.lit("no review state: "), known)).alias("error"))
+
+
 def inherited(records: DataFrame, edges: DataFrame) -> DataFrame:
     """id, classification, pii and role_groups of every child: the strictest of its own and its parents', all role gates in conjunction.
 

@@ -115,9 +115,11 @@ def nearest(vectors: DataFrame, query: list[float], n: int, metric: str = "dot")
 
 
 def candidates(visible: DataFrame, cue: str, topc: int = 50, lexical_only: bool = False) -> DataFrame:
-    """Top lists of both scores, united; `dense` is null for those outside the dense list."""
+    """Top lists of both scores, united; `dense` is null for those outside the dense list. lexical_only: the first list alone, no text goes to Python."""
     scored = bm25(visible, cue).withColumn("bm25", F.round("bm25", 9))
     lexical = scored.orderBy(F.desc("bm25"), "id").limit(topc)
+    if lexical_only:
+        return lexical.withColumn("dense", F.lit(None).cast("double"))
     scored = scored.withColumn("dense", F.round(hashed_similarity(cue)(F.col("content")), 9))
     dense = scored.orderBy(F.desc("dense"), "id").limit(topc)
     both = dense.unionByName(lexical.withColumn("dense", F.lit(None).cast("double")))
@@ -148,7 +150,7 @@ def collapsed(ranked: DataFrame, score: str, k: int) -> DataFrame:
 
 def recall(visible: DataFrame, cue: str, k: int = 8, topc: int = 50, method: str = "hybrid", intent: str = "default", entities: list[str] | None = None, at: Column | None = None) -> DataFrame:
     """The k best records: id, rank, score and its parts. method: lexical, hybrid or typed."""
-    cands = candidates(visible, cue, topc)
+    cands = candidates(visible, cue, topc, method == "lexical")
     if method == "lexical":
         return collapsed(cands.withColumn("score", F.col("bm25")).withColumn("rrf", F.lit(0.0)).withColumn("rerank", F.col("bm25")), "score", k)
     asked = F.array(*map(F.lit, query_tokens(cue))).cast("array<string>")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto
+from ..functions.text import any_of
 
 VALID = "valid"
 # Buckets that may be exempted, and those that mean tampering or errors.
@@ -84,7 +85,7 @@ def probe_status(cases: DataFrame) -> DataFrame:
 BANNED = (r"guarantee[ds]?", r"guaranteed", r"unbreakable", r"zero[\s_-]?knowledge", r"provabl[ey][\s_-]+eras", r"military[\s_-]?grade", r"100%\s+secure", r"cannot\s+be\s+decrypted", r"not\s+a\s+single\s+byte")
 GUARDED = (r"recall[\s_-]?exclusion", r"authorization[\s_-]?integrity", r"tamper[\s_-]?proof", r"db[\s_-]?compromise[\s_-]?resistance", r"database[\s_-]?compromise[\s_-]?resistance")
 DISCLAIMER = r"(?i)\bnot\b|\bno\b|\bnor\b|\bcannot\b|\bwithout\b|\boutside\b|\bnon\b|\bnever\b|not_claimed|non-claim|boundary|\bassume"
-NEARBY = r"tamper[-_ ]evident|tamper[_ ]evidence"
+NEARBY = ("tamper-evident", "tamper evident", "tamper_evidence", "tamper evidence")
 
 
 def claim_lint(texts: DataFrame) -> DataFrame:
@@ -93,6 +94,23 @@ def claim_lint(texts: DataFrame) -> DataFrame:
     rows = lines.select("id", (F.col("n") + 1).alias("line"), F.lower("raw").alias("low"), F.concat(F.coalesce(F.lower(F.get("_l", F.col("n") - 1)), F.lit("")), F.lit(" "), F.lower("raw")).alias("context"))
     hard = [F.when(F.col("low").rlike(p), F.lit(f"hard-banned:{p}")) for p in BANNED]
     # a guarded phrase is calm if every place of it has an allowed phrase within 40 characters
-    loud = lambda p: F.exists(F.regexp_extract_all("low", F.lit(f".{{0,40}}(?:{p}).{{0,40}}"), 0), lambda w: ~w.rlike(NEARBY))
+    loud = lambda p: F.exists(F.regexp_extract_all("low", F.lit(f".{{0,40}}(?:{p}).{{0,40}}"), 0), lambda w: ~any_of(F.contains(w, F.lit(a)) for a in NEARBY))
     soft = [F.when(F.col("low").rlike(p) & loud(p) & ~F.col("context").rlike(DISCLAIMER), F.lit(f"unguarded-claim:{p}")) for p in GUARDED]
     return rows.select("id", "line", F.explode(F.filter(F.array(*hard, *soft), lambda x: x.isNotNull())).alias("term"))
+
+
+OUTCOMES = {"passed": "PASS", "degraded": "DEGRADED", "failed": "FAILED"}
+
+
+def rotation_reconciled(cases: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Adds `error` to each receipt's summary (receipt_id, passed, degraded, failed) by its cases (receipt_id, case_id, after).
+
+    duplicate_case_id, then summary_mismatch where the counts of outcomes are not the summary's; a receipt without cases is cases.
+    """
+    by_case = cases.groupBy("receipt_id", "case_id").agg(F.count("*").alias("_n"), *(F.count_if(F.col("after") == v).alias(f"_{k}") for k, v in OUTCOMES.items()))
+    told = by_case.groupBy("receipt_id").agg(F.max("_n").alias("_most"), *(F.sum(f"_{k}").alias(f"_{k}") for k in OUTCOMES))
+    same = F.lit(True)
+    for k in OUTCOMES:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = summaries.join(told, "receipt_id", "left")
+    return out.withColumn("error", F.when(F.col("_most").isNull(), "cases").when(F.col("_most") > 1, "duplicate_case_id").when(~same, "summary_mismatch")).drop("_most", "_passed", "_degraded", "_failed")

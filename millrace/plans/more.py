@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import audit, consolidate, documents, gates, graph, ingest, policy, retrieval, strict
 from ..sources import files
-from .queries import _BM25, _CHAIN, _CLAIMS_SQL, _DECIDED, _STEPS, _TOKENS, _VISIBLE, _chain, _claims, _requests, query, visible, with_records
+from .queries import _ALL, _BM25, _BROKEN, _CANDS, _CHAIN, _CHECKED, _DENSE, _FUSED, _ANCHORS, _broken, _collapse_sql, at, _CLAIMS_SQL, _DECIDED, _STEPS, _TOKENS, _VISIBLE, _chain, _claims, _requests, query, visible, with_records
 from .records import CUE, DENY_SQL, EDGES_SQL, SHOWN_SQL, SUPPORT, edges, records, table
 
 ROOT = b"root of the test tables"
@@ -166,7 +166,8 @@ _CUE_TERMS = "[" + ", ".join(repr(t) for t in retrieval.query_tokens(CUE)) + "]"
 query("r32_keyword_fallback", with_records(f"SELECT id, round(CAST(len(list_intersect({_CUE_TERMS}, regexp_extract_all(lower(content), '[a-z0-9]+'))) AS DOUBLE) / {len(retrieval.query_tokens(CUE))}, 9) AS score FROM r ORDER BY score DESC, id LIMIT 8"))(
     lambda s, d: retrieval.keyword_fallback(records(s, d), CUE).select("id", "score")
 )
-query("r31_subject_first")(lambda s, d: retrieval.subject_first(visible(s, d), CUE, "src:src1").select("rank", "id", "score"))
+_ONE = _VISIBLE.removesuffix(")") + " AND subject = 'src:src1')"
+query("r31_subject_first", with_records("SELECT CAST(rank AS INTEGER) AS rank, id, rerank AS score FROM kp", _ONE, _TOKENS, _BM25, _DENSE, _CANDS, _FUSED, _collapse_sql("ce", "rerank", 8)))(lambda s, d: retrieval.subject_first(visible(s, d), CUE, "src:src1").select(F.col("rank").cast("int").alias("rank"), "id", "score"))
 query("r12_model_rerank", with_records("SELECT id, CAST(least(length(content), 4000) AS DOUBLE) AS rerank FROM r"))(
     lambda s, d: retrieval.scored_by(records(s, d), CUE, lambda cue, texts: [len(t) for t in texts]).select("id", "rerank")
 )
@@ -297,3 +298,74 @@ query("k7_rewrap", with_records("SELECT subject, CASE WHEN subject = 'src:src3'
         .select("subject", "outcome", crypto.unwrapped(F.col("dek"), b"new root", "tenant:en").isNotNull().alias("under_new"))
     )
 )
+
+
+query("t2_review_states", with_records("SELECT id, CASE WHEN doc_id % 4 < 2 THEN review_state END AS state, CASE WHEN doc_id % 4 = 3 THEN 'no review state: ' || kind END AS error FROM r"))(
+    lambda s, d: (
+        records(s, d).withColumn("n", policy.normal_review_state(F.when(F.col("doc_id") % 4 < 2, F.col("review_state")).when(F.col("doc_id") % 4 == 2, "").otherwise(F.col("kind")))).select("id", "n.state", "n.error")
+    )
+)
+_GIVEN = {"memory_types": ["source"], "denied_subjects": ["src:src2"]}, {"memory_types": "episodic, semantic", "denied_subjects": ["src:src5", "src:src2"], "allowed_classifications": ["public", "internal"], "subject": ""}
+query("f13_merged_filters", with_records(f"SELECT id FROM r WHERE {_ALL} AND kind IN ('source', 'episodic', 'semantic') AND subject NOT IN ('src:src2', 'src:src5') AND classification IN ('public', 'internal')"))(
+    lambda s, d: policy.matching(records(s, d), policy.merged_filters(*_GIVEN)[0], at()).select("id")
+)
+
+
+def _spans(spark, sf_dir):
+    """Two spans for each record: its own text in plain, and, by number, a reference, a wrong hash, a forged text or a text of the payload."""
+    d, own = F.col("doc_id"), F.col("content_hash")
+    span = lambda text, ref, index, h: F.struct(text.alias("text"), ref.alias("text_ref"), index.alias("text_index"), h.alias("content_hash"))
+    none, text = F.lit(None).cast("string"), F.lit(None).cast("int")
+    second = (
+        F.when(d % 4 == 0, span(none, F.lit("self"), text, own)).when(d % 4 == 1, span(F.col("content"), none, text, F.lit("sha256:0")))
+        .when(d % 4 == 2, span(F.concat("content", F.lit("!")), none, text, own)).otherwise(span(none, F.lit("payload"), F.lit(0), T.content_hash(F.when(d % 8 == 3, F.col("subject")).otherwise("x"))))
+    )
+    return records(spark, sf_dir).withColumn("spans", F.array(span(F.col("content"), none, text, own), second)).withColumn("payload", F.array("subject"))
+
+
+query("d19_span_remediation", "SELECT count(*) AS rows, count(*) FILTER (doc_id % 4 IN (0, 3)) AS rewritten_rows, CAST(count(*) FILTER (doc_id % 4 IN (0, 3)) AS BIGINT) AS verified_spans, CAST(2 * count(*) FILTER (doc_id % 4 IN (1, 2)) AS BIGINT) AS remaining_text_spans, CAST(count(*) FILTER (doc_id % 4 = 3) + 2 * count(*) FILTER (doc_id % 4 = 0) AS BIGINT) AS self_ref_spans, count(*) FILTER (doc_id % 4 IN (1, 2)) AS errors FROM documents")(
+    lambda s, d: ingest.remediation_report(ingest.remediated(_spans(s, d)))
+)
+query("x31_resolved_spans", with_records("SELECT id, CASE WHEN doc_id % 4 IN (0, 3) THEN content END AS first, CASE doc_id % 4 WHEN 0 THEN content WHEN 1 THEN content WHEN 2 THEN content || '!' ELSE CASE WHEN doc_id % 8 = 3 THEN subject END END AS second FROM r"))(
+    lambda s, d: (
+        ingest.remediated(_spans(s, d)).withColumn("cleared", F.get("spans", F.lit(0)).withField("text", F.lit(None).cast("string")))
+        .select("id", *(ingest.resolved_span_text(x, F.col("content_hash"), F.col("content"), F.col("payload")).alias(n) for x, n in ((F.col("cleared"), "first"), (F.get("spans", F.lit(1)), "second"))))
+    )
+)
+
+
+@query("a12_rotation_summaries", "SELECT user_id AS receipt_id, CASE WHEN user_id % 7 = 0 THEN 'duplicate_case_id' WHEN user_id % 5 = 0 THEN 'summary_mismatch' END AS error FROM events GROUP BY user_id")
+def rotations(spark, sf_dir):
+    """A receipt for each user: its events are cases with an outcome by value; some cases are repeated, some summaries off by one."""
+    after = F.when(F.col("value") < 40, "PASS").when(F.col("value") < 80, "DEGRADED").otherwise("FAILED")
+    cases = table(spark, sf_dir, "events").select(F.col("user_id").alias("receipt_id"), F.col("event_id").alias("case_id"), after.alias("after"))
+    off = F.when(F.col("receipt_id") % 5 == 0, 1).otherwise(0)
+    summaries = cases.groupBy("receipt_id").agg(*(F.count_if(F.col("after") == v).alias(k) for k, v in strict.OUTCOMES.items())).withColumn("failed", F.col("failed") + off)
+    again = cases.where("receipt_id % 7 = 0").groupBy("receipt_id").agg(F.min("case_id").alias("case_id"), F.lit("PASS").alias("after"))
+    return strict.rotation_reconciled(cases.unionByName(again), summaries).select("receipt_id", "error")
+
+
+query(
+    "g3_provenance",
+    f"WITH RECURSIVE {EDGES_SQL}, up AS (SELECT 'doc_00000100' AS id, 0 AS depth UNION SELECT e.parent, depth + 1 FROM up JOIN e ON e.child = up.id WHERE depth < 16), a AS (SELECT id, min(depth) AS depth FROM up GROUP BY id), "
+    "m AS (SELECT a.*, TRY_CAST(substr(id, 5) AS BIGINT) % 5 = 0 AND id <> 'doc_00000100' OR d.doc_id IS NULL AS missing FROM a LEFT JOIN documents d ON 'doc_' || lpad(CAST(d.doc_id AS VARCHAR), 8, '0') = a.id) "
+    "SELECT id, depth, missing, depth >= 16 AS cut, CASE WHEN NOT missing AND depth < 16 THEN coalesce((SELECT string_agg(DISTINCT parent, ',' ORDER BY parent) FROM e WHERE e.child = m.id), '') END AS parents FROM m",
+)(
+    # every fifth record is gone, its edges still stand
+    lambda s, d: (
+        graph.provenance(edges(s, d), records(s, d).where("doc_id % 5 <> 0 OR doc_id = 100"), s.range(1).select(F.lit("doc_00000100").alias("id")))
+        .select("id", "depth", "missing", "cut", F.array_join("parents", ",").alias("parents"))
+    )
+)
+
+
+@query(
+    "c23_bundle_replay",
+    f"WITH RECURSIVE {_CHAIN}, {_BROKEN}, {_ANCHORS}, la AS (SELECT chain_id, max(seq) AS s FROM an GROUP BY 1), kept AS (SELECT bk.* FROM bk JOIN la ON la.chain_id = bk.chain_id WHERE seq <= s), "
+    + _CHECKED.replace("FROM bk)", "FROM kept)")
+    + " SELECT chain_id, count(*) AS n_rows, bool_and(failure IS NULL) AS ok, min(seq) FILTER (failure IS NOT NULL) AS first_bad_seq FROM ck GROUP BY chain_id",
+)
+def bundle_replay(spark, sf_dir):
+    """Rows as a bundle exports them, up to each chain's last anchor, verified by themselves."""
+    rows, _ = audit.bundle(_broken(spark, sf_dir), audit.anchors_of(_chain(spark, sf_dir), 20))
+    return audit.chain_status(rows).select("chain_id", "n_rows", "ok", "first_bad_seq")

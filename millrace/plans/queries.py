@@ -86,8 +86,8 @@ _FILTERS = {
     "subject": ({"subject": "src:src4"}, "subject = 'src:src4'"),
     "indexed": ({}, "indexed"),
 }
-for _i, (_name, (_given, _sql)) in enumerate(_FILTERS.items(), 1):
-    query(f"f{_i}_filter_{_name}", with_records(f"SELECT id FROM r WHERE {_sql}"))(
+for _id, (_name, (_given, _sql)) in zip(("f1", "f2", "f3", "f3", "f4", "f5", "f6", "f7", "f8", "f9", "f10", "f11", "f12"), _FILTERS.items(), strict=True):
+    query(f"{_id}_filter_{_name}", with_records(f"SELECT id FROM r WHERE {_sql}"))(
         lambda s, d, name=_name.split("_")[0], given=_given: records(s, d).where(policy.predicates(given, at())[name]).select("id")
     )
 
@@ -144,6 +144,7 @@ _DENSE = (
     f"dn AS (SELECT v.id, round(coalesce(sum(c * n) / (sqrt(sum(c * c)) * {_NORM!r}::DOUBLE), 0), 9) AS dense FROM v LEFT JOIN bk ON bk.id = v.id LEFT JOIN qb ON qb.b = bk.b GROUP BY v.id)"
 )
 _CANDS = "dt AS (SELECT id, dense FROM dn ORDER BY dense DESC, id LIMIT 50), lt AS (SELECT id FROM b ORDER BY bm25 DESC, id LIMIT 50), c AS (SELECT v.*, b.bm25, dt.dense FROM v JOIN b ON b.id = v.id LEFT JOIN dt ON dt.id = v.id WHERE v.id IN (SELECT id FROM dt UNION SELECT id FROM lt))"
+_LEXICAL = "lt AS (SELECT id FROM b ORDER BY bm25 DESC, id LIMIT 50), c AS (SELECT v.*, b.bm25 FROM v JOIN b ON b.id = v.id WHERE v.id IN (SELECT id FROM lt))"
 _FUSED = (
     "rk AS (SELECT *, row_number() OVER (ORDER BY dense DESC NULLS LAST, id) AS dr, row_number() OVER (ORDER BY bm25 DESC, id) AS lr FROM c), "
     "fu AS (SELECT *, round(CASE WHEN dr <= 50 THEN 1.0::DOUBLE / (dr + 60) ELSE 0 END + CASE WHEN lr <= 50 THEN 1.0::DOUBLE / (lr + 60) ELSE 0 END, 12) AS rrf FROM rk), "
@@ -186,7 +187,7 @@ def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("r11_lexical_rerank", with_records("SELECT id, rerank FROM ce", _VISIBLE, _TOKENS, _BM25, _DENSE, _CANDS, _FUSED))(_reranked)
 query("r13_clip", with_records("SELECT id, CASE WHEN length(content) <= 200 THEN content ELSE substr(content, 1, 97) || chr(10) || '...' || chr(10) || right(content, 98) END AS clipped FROM r"))(lambda s, d: records(s, d).select("id", T.clip(F.col("content"), 200).alias("clipped")))
-query("r18_lexical_recall", with_records("SELECT rank, id, round(bm25, 6) AS score, coalesce(lost, '') AS collapsed FROM kp LEFT JOIN ls ON mk = mirror_key", _VISIBLE, _TOKENS, _BM25, _DENSE, _CANDS, _collapse_sql("c", "bm25", 8)))(
+query("r18_lexical_recall", with_records("SELECT rank, id, round(bm25, 6) AS score, coalesce(lost, '') AS collapsed FROM kp LEFT JOIN ls ON mk = mirror_key", _VISIBLE, _TOKENS, _BM25, _LEXICAL, _collapse_sql("c", "bm25", 8)))(
     lambda s, d: retrieval.recall(visible(s, d), CUE, method="lexical").select(F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"), F.array_join("collapsed_ids", ",").alias("collapsed"))
 )
 query("r15_hybrid_recall", with_records("SELECT rank, id, rerank AS score, rrf, coalesce(lost, '') AS collapsed FROM kp LEFT JOIN ls ON mk = mirror_key", _VISIBLE, _TOKENS, _BM25, _DENSE, _CANDS, _FUSED, _collapse_sql("ce", "rerank", 8)))(
@@ -347,8 +348,7 @@ def spans(spark, sf_dir):
 
 # Text gates
 
-_EMAIL, _PHONE, _CARD = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", r"\b(?:\d[ -]*?){13,16}\b"
-_SSN, _CUSTOMER = r"\b\d{3}-\d{2}-\d{4}\b", r"(?i)\bcustomer\s+[_-]?\s*\d+\b"
+_EMAIL, _PHONE, _SSN, _CUSTOMER, _CARD = T.PII.values()
 _REDACTED = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '{_EMAIL}', '[REDACTED_EMAIL]', 'g'), '{_PHONE}', '[REDACTED_PHONE]', 'g'), '{_SSN}', '[REDACTED_SSN]', 'g'), '{_CUSTOMER}', '[REDACTED_CUSTOMER_ID]', 'g'), '{_CARD}', '[REDACTED_CREDIT_CARD]', 'g')"
 _LABELS = f"CASE WHEN regexp_matches({{x}}, '{_CARD}') THEN 'credit_card,' ELSE '' END || CASE WHEN regexp_matches({{x}}, '{_EMAIL}') THEN 'email,' ELSE '' END || CASE WHEN regexp_matches({{x}}, '{_PHONE}') THEN 'phone,' ELSE '' END || CASE WHEN regexp_matches({{x}}, '{_SSN}') THEN 'ssn,' ELSE '' END"
 query("x1_content_hash", with_records("SELECT id, content_hash FROM r"))(lambda s, d: records(s, d).select("id", T.content_hash(F.col("content")).alias("content_hash")))

@@ -211,3 +211,45 @@ def test_what_is_unknown_is_denied(spark):
     edges = spark.createDataFrame([("ok", "odd class", "x"), ("own", "null group", "x")], "child string, parent string, kind string")
     child = df.drop("classification", "role_groups", "pii").join(policy.inherited(df, edges), "id")
     assert {r["id"]: r["why"] for r in child.select("id", policy.deny_reason(me).alias("why")).collect()} == {"ok": "classification>clearance", "own": "role"}
+
+
+def test_allowed_phrases_are_the_four_plain_ones(spark):
+    from millrace.operators import strict
+
+    lines = ["it is tamper-evident, so tamper proof", "tamper evidence: tamper-proof", "a tamper_evident tamper-proof thing", "tamper_evidence, tamperproof"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, text string")
+    assert [r["id"] for r in strict.claim_lint(df).collect()] == [2]
+
+
+def test_requests_unite_lists_and_replace_values():
+    from millrace.operators import policy
+
+    got = policy.merged_filters({"kinds": ["a"], "subject": "s"}, {"kind": "b, a", "subject": "t", "intent": "", "entities": ["x"]}, 99, 500)
+    assert got == ({"kinds": ["a", "b"], "subject": "t", "entities": ["x"]}, 50, 200)
+    assert policy.merged_filters({}, {}, 20, 5) == ({}, 20, 20)
+
+
+def test_provenance_tree_cuts_cycles_and_marks_what_is_missing(spark):
+    from millrace.operators import graph
+
+    edges = spark.createDataFrame([("a", "b", "x"), ("a", "c", "x"), ("b", "c", "x"), ("c", "gone", "x"), ("b", "a", "x")], "child string, parent string, kind string")
+    records = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    rows = graph.provenance(edges, records, spark.createDataFrame([("a",)], "id string")).collect()
+    assert {(r["id"], r["depth"], r["missing"]) for r in rows} == {("a", 0, False), ("b", 1, False), ("c", 1, False), ("gone", 2, True)}
+    cut = {"cycle_or_depth_cut": True}
+    c = {"id": "c", "derived_from": [{"id": "gone", "missing": True}]}
+    assert graph.provenance_tree(rows, "a") == {"id": "a", "derived_from": [{"id": "b", "derived_from": [{"id": "a", **cut}, c]}, {"id": "c", **cut}]}
+
+
+def test_chunk_counts_are_those_of_their_texts(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = ["\n\n".join("# h" * (rng.random() < 0.2) + " ".join(rng.choice(("alpha", "be-ta", "é1", "x")) for _ in range(rng.randrange(1, 60))) for _ in range(12)) for _ in range(20)] + [None, "", " \n"]
+    from millrace.operators import ingest
+
+    rows = ingest.chunks(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), 30, 5).collect()
+    assert rows and {r["id"] for r in rows} == set(range(20))
+    for r in rows:
+        assert r["chunk"] == texts[r["id"]][r["char_start"] : r["char_end"]] and r["n_tokens"] == len(re.findall("[A-Za-z0-9]+", r["chunk"])) <= 35
