@@ -168,7 +168,7 @@ def uncertainty_mismatch(claim: Column, support: Column) -> Column:
     return has_any(flat(support), UNCERTAIN_SUPPORT) & ~has_any(flat(claim), UNCERTAIN_CLAIM)
 
 
-def claim_label(claim: Column, support: Column, missing: Column, score: Column, checkable: Column, enough: float = 0.72, some: float = 0.45) -> Column:
+def label_of(claim: Column, support: Column, missing: Column, score: Column, checkable: Column, enough: float = 0.72, some: float = 0.45) -> Column:
     """Label of a claim: not_checkable, contradicted, unsupported, partially_supported or supported; the first that holds.
 
     claim and support are flat() texts, missing and score what missing_anchors() and support_score() say of them.
@@ -184,6 +184,11 @@ def claim_label(claim: Column, support: Column, missing: Column, score: Column,
     )
 
 
+def claim_label(claim: Column, support: Column, cited: Column) -> Column:
+    c, s = flat(claim), flat(support)
+    return label_of(c, s, _missing(c, s), support_score(claim, support), cited & (F.coalesce(support, F.lit("")) != ""))
+
+
 def shows_secret(text: Column) -> Column:
     """Whether a credential stands in the text without a mark of an example within 24 characters around it."""
 

@@ -89,7 +89,7 @@ def check_claims(claims: DataFrame) -> DataFrame:
     # each text is normalised once; later steps read the columns
     out = claims.withColumns({"_c": T.flat(F.col("claim")), "_s": T.flat(support), "_x": T.claim_tokens(F.col("claim")), "_y": T.claim_tokens(support)})
     out = out.withColumns({"support_score": T.token_support(F.col("_x"), F.col("_y")), "_m": F.filter(T.flat_anchors(F.col("_c")), lambda a: ~F.contains(F.col("_s"), a))})
-    out = out.withColumn("label", T.claim_label(F.col("_c"), F.col("_s"), F.col("_m"), F.col("support_score"), F.col("cited") & (support != "")))
+    out = out.withColumn("label", T.label_of(F.col("_c"), F.col("_s"), F.col("_m"), F.col("support_score"), F.col("cited") & (support != "")))
     quiet = F.col("label").isin("not_checkable", "contradicted")
     return out.withColumn("missing_anchors", F.when(quiet, F.array().cast("array<string>")).otherwise(F.col("_m"))).drop("_c", "_s", "_x", "_y", "_m")
 
