@@ -124,10 +124,52 @@ def test_chain_detects_edits_gaps_and_nothing_else(spark):
     anchors = audit.anchors_of(chain, 5)
     now = F.lit("2024-01-01").cast("timestamp")
     assert audit.chain_status(chain.where("seq < 5")).first()["ok"]
-    assert audit.against_anchors(chain.where("seq < 5"), anchors, now).first()["first_failure"] == "head_precedes_anchor"
+    assert audit.against_anchors(chain.where("seq < 5"), anchors, now).first()["first_failure"] == "row_missing"
     assert audit.against_anchors(chain, anchors, now).first()["first_failure"] is None
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 100])
+def test_chains_hold_or_fail_alike_in_blocks_of_any_size(spark, monkeypatch, block):
+    monkeypatch.setattr(audit, "BLOCK", block)
+    rows = spark.createDataFrame([(c, i * (c or 1), dt.datetime(2024, 1, 1, 0, 0, i), f"b{i}") for c in (None, 1, 7) for i in range(1, 9)], "chain_id long, seq long, ts timestamp, body string")
+    chain = audit.chained(rows).cache()
+    assert {(r["chain_id"], r["n_rows"], r["ok"]) for r in audit.chain_status(chain).collect()} == {(None, 8, True), (1, 8, True), (7, 8, True)}
+    cut = chain.where("chain_id = 7 AND seq NOT IN (7, 35)")
+    assert [r["seq"] for r in audit.verified(cut).where("failure = 'link'").orderBy("seq").collect()] == [14, 42]
+    edited = chain.where("chain_id = 1").withColumn("row_hash", F.when(F.col("seq") == 4, "0" * 64).otherwise(F.col("row_hash")))
+    assert [(r["seq"], r["failure"]) for r in audit.verified(edited).where("failure IS NOT NULL").orderBy("seq").collect()] == [(4, "hash"), (5, "link")]
+    nulled = edited.withColumn("row_hash", F.when(F.col("seq") == 4, None).otherwise(F.col("row_hash")))
+    assert [(r["seq"], r["failure"]) for r in audit.verified(nulled).where("failure IS NOT NULL").orderBy("seq").collect()] == [(4, "hash"), (5, "link")]
+    chain.unpersist()
+
+
+def test_anchor_ladder(spark):
+    rows = spark.createDataFrame([(1, i, dt.datetime(2024, 1, 1, 0, 0, i), f"b{i}") for i in range(1, 9)], "chain_id long, seq long, ts timestamp, body string")
+    chain = audit.chained(rows).cache()
+    anchors = audit.anchors_of(chain, 2).withColumn("position", F.col("seq")).cache()
+    now = F.lit("2024-01-01 00:00:08").cast("timestamp")
+
+    def failure(c, a, **more):
+        return audit.against_anchors(c, a, now, **more).first()["first_failure"]
+
+    assert failure(chain, anchors) is None
+    assert failure(chain, anchors.limit(0)) == "no_anchors"
+    assert failure(chain.limit(0), anchors) == "row_missing"
+    assert audit.against_anchors(chain.limit(0), anchors.limit(0), now).count() == 0
+    assert failure(chain, anchors.withColumn("anchor_id", F.lit("a"))) == "duplicate_anchor_id"
+    assert failure(chain, anchors.withColumn("position", -F.col("seq"))) == "reordered_seq"
+    other = anchors.withColumn("row_hash", F.when(F.col("seq") == 4, "x").otherwise(F.col("row_hash")))
+    assert failure(chain, other) == "row_hash_mismatch"
+    assert failure(chain.where("seq <> 2"), other) == "row_missing"
+    assert failure(chain.where("seq <> 6"), other) == "row_hash_mismatch"
+    assert failure(chain.withColumn("row_hash", F.when(F.col("seq") == 4, None).otherwise(F.col("row_hash"))), anchors) == "row_hash_mismatch"
+    assert failure(chain.where("seq <> 3"), anchors) == "chain_invalid"
+    assert failure(chain, anchors.where("seq < 6"), every_rows=4) == "stale" and failure(chain, anchors.where("seq < 6"), every_rows=5) is None
+    assert failure(chain, anchors.where("seq < 6"), every_seconds=4) == "stale"
+    chain.unpersist()
+    anchors.unpersist()
+
+
 def test_closure_of_diamond_chain_and_cycle(spark):
     pairs = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("a", "d")] + [(f"n{i + 1}", f"n{i}") for i in range(18)]
     edges = spark.createDataFrame([(c, p, "derived_from") for c, p in pairs], "child string, parent string, kind string")
