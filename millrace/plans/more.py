@@ -89,10 +89,24 @@ def baselines(spark, sf_dir):
     return strict.baseline_valid(rows).select("seq", "valid")
 
 
-@query("c13_bundle_verdict", "SELECT user_id AS chain_id, CASE WHEN user_id % 4 = 0 THEN 'FAIL' WHEN user_id % 4 = 1 THEN 'UNTRUSTED_SELF_CONSISTENT' WHEN user_id % 4 = 2 THEN 'FRESHNESS_UNVERIFIED' ELSE 'PASS' END AS verdict FROM events GROUP BY user_id")
+@query(
+    "c13_bundle_verdict",
+    f"WITH RECURSIVE {_CHAIN}, {_BROKEN}, {_ANCHORS}, la AS (SELECT chain_id, max(seq) AS s FROM an GROUP BY 1), m AS (SELECT ch.chain_id, count(*) AS told FROM ch JOIN la ON la.chain_id = ch.chain_id WHERE seq <= s GROUP BY 1), "
+    "kept AS (SELECT bk.* FROM bk JOIN la ON la.chain_id = bk.chain_id WHERE seq <= s), " + _CHECKED.replace("FROM bk)", "FROM kept)") + ", "
+    "st AS (SELECT ck.chain_id, CASE WHEN count(*) <> any_value(told) THEN 'manifest_range' WHEN NOT bool_and(failure IS NULL) THEN 'chain_invalid' WHEN ck.chain_id % 4 = 1 THEN 'external_trust_root_required' "
+    "WHEN ck.chain_id % 4 = 2 THEN 'external_latest_anchor_checkpoint_required' WHEN ck.chain_id % 3 = 0 THEN 'expected_latest_anchor_checkpoint_mismatch' END AS first_failure FROM ck JOIN m ON m.chain_id = ck.chain_id GROUP BY ck.chain_id) "
+    "SELECT chain_id, first_failure, CASE WHEN first_failure IS NULL THEN 'PASS' WHEN first_failure = 'external_trust_root_required' THEN 'UNTRUSTED_SELF_CONSISTENT' WHEN first_failure = 'external_latest_anchor_checkpoint_required' THEN 'FRESHNESS_UNVERIFIED' ELSE 'FAIL' END AS verdict FROM st",
+)
 def verdicts(spark, sf_dir):
-    u = F.col("user_id")
-    return table(spark, sf_dir, "events").select(u).distinct().select(u.alias("chain_id"), audit.bundle_verdict(F.when(u % 4 == 0, "row_missing"), u % 4 != 1, u % 4 != 2).alias("verdict"))
+    """Bundles of chains some of which were edited or lost a row, verified with pins that lack or miss some anchors."""
+    chain = graph.cut(_chain(spark, sf_dir))
+    anchors = audit.anchors_of(chain, 20)
+    _, manifest = audit.bundle(chain, anchors)
+    rows, _ = audit.bundle(_broken(spark, sf_dir), anchors)
+    c = F.col("chain_id")
+    top = F.when(c % 4 != 2, F.when(c % 3 == 0, F.concat("top", F.lit("x"))).otherwise(F.col("top")))
+    pins = anchors.groupBy("chain_id").agg(F.max_by("anchor_id", "seq").alias("top")).select("chain_id", (c % 4 != 1).alias("trusted"), top.alias("latest_anchor_id"))
+    return audit.verify_bundle(rows, anchors, manifest, pins)
 
 
 query("a17_probe_rollup", "SELECT event_type AS probe, CASE WHEN bool_or(user_id % 3 < 2 AND value >= 99.9) THEN 'FAIL' WHEN bool_or(user_id % 3 = 2 AND value >= 99.9) THEN 'DEGRADED' ELSE 'PASS' END AS status, count(*) AS cases FROM events GROUP BY 1")(
@@ -144,12 +158,33 @@ query("a8_import_report", with_records("SELECT tenant, count(*) FILTER (doc_id %
 
 @query("g4_wikilinks", "SELECT 'doc_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, CAST(p AS INTEGER) AS place, CASE p WHEN 0 THEN CASE WHEN doc_id // 2 = doc_id THEN 'self' ELSE 'edge' END WHEN 1 THEN 'dangling' ELSE 'self' END AS outcome, CASE WHEN p = 0 AND doc_id // 2 <> doc_id THEN 'doc_' || lpad(CAST(doc_id // 2 AS VARCHAR), 8, '0') END AS parent FROM documents, (VALUES (0), (1), (2)) v(p)")
 def links(spark, sf_dir):
+    return _links(spark, sf_dir).select("id", "place", "outcome", "parent")
+
+
+def _links(spark, sf_dir):
     """Records that link to half their number, to nothing, and to themselves under another name."""
     n = F.col("doc_id")
     name = lambda x: F.concat(F.lit("page "), F.floor(x).cast("string"))
     content = F.concat(F.lit("[["), name(n / 2), F.lit("|x]] ![["), name(n), F.lit("]] [[nowhere]] [["), F.upper(name(n)), F.lit("#y]]"))
     r = records(spark, sf_dir).select("id", "subject", F.lit("").alias("uri"), F.concat(F.lit("p/page_"), n.cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
-    return graph.wikilinks(r, graph.aliases(r.withColumn("subject", F.lit("")))).select("id", "place", "outcome", "parent")
+    return graph.wikilinks(r, graph.aliases(r.withColumn("subject", F.lit(""))))
+
+
+_I7 = """p AS (SELECT doc_id AS n FROM documents WHERE doc_id > 1), x AS (
+    SELECT 'proposal' AS section, 'derived_from' AS kind, CASE WHEN n % 3 = 0 THEN 'missing' WHEN n % 2 = 0 THEN 'duplicate' ELSE 'inserted' END AS o FROM p
+    UNION ALL SELECT 'proposal', 'cites', CASE WHEN n % 3 = 0 THEN 'missing' ELSE 'duplicate' END FROM p WHERE n % 4 = 0
+    UNION ALL SELECT 'wikilinks', 'links_to', CASE WHEN n = 0 THEN 'self' WHEN n = 1 OR (n % 2 = 1 AND n % 3 = 0) THEN 'inserted' ELSE 'duplicate' END FROM (SELECT doc_id AS n FROM documents)
+    UNION ALL SELECT 'wikilinks', 'links_to', o FROM documents, (VALUES ('missing'), ('self')) v(o))"""
+
+
+@query("i7_edge_import", f"WITH {_I7} SELECT section, kind, count(*) AS rows, " + ", ".join(f"count(*) FILTER (o = '{o}') AS {o}" for o in ("inserted", "duplicate", "missing", "ambiguous", "self", "invalid")) + " FROM x GROUP BY section, kind")
+def edge_import(spark, sf_dir):
+    """Edges proposed, some of them twice or to unknown parents, then links in texts; every second edge is there before."""
+    n = F.substring("child", 5, 8).cast("long")
+    told = edges(spark, sf_dir).where("kind = 'derived_from'")
+    lost = told.withColumn("parent", F.concat("parent", F.when(n % 3 == 0, "x").otherwise(""))).withColumn("ordinal", 2 * n)
+    again = lost.where(n % 4 == 0).withColumn("kind", F.lit("cites")).withColumn("ordinal", F.col("ordinal") + 1)
+    return graph.import_report(told.where(n % 2 == 0), graph.proposals(lost.unionByName(again), records(spark, sf_dir)), _links(spark, sf_dir))
 
 
 query("g6_proposals", with_records("SELECT e.child, e.parent || CASE WHEN r.doc_id % 3 = 0 THEN 'x' ELSE '' END AS parent, r.doc_id % 3 <> 0 AS known FROM e JOIN r ON r.id = e.child WHERE e.kind = 'derived_from'", EDGES_SQL))(

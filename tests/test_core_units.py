@@ -170,6 +170,43 @@ def test_anchor_ladder(spark):
     anchors.unpersist()
 
 
+def test_bundle_ladder(spark):
+    rows = spark.createDataFrame([(1, i, dt.datetime(2024, 1, 1, 0, 0, i), f"b{i}") for i in range(1, 9)], "chain_id long, seq long, ts timestamp, body string")
+    chain = audit.chained(rows).cache()
+    anchors = audit.anchors_of(chain, 3)
+    kept, manifest = audit.bundle(chain, anchors)
+    top = anchors.orderBy(F.desc("seq")).first()["anchor_id"]
+
+    def verdict(r, a, m, *pins):
+        return [tuple(x)[1:] for x in audit.verify_bundle(r, a, m, spark.createDataFrame(list(pins), "chain_id long, trusted boolean, latest_anchor_id string")).collect()]
+
+    assert verdict(kept, anchors, manifest, (1, True, top)) == [("PASS", None)]
+    for pins in ([], [(1, None, top)], [(1, False, top)], [(2, True, top)]):
+        assert verdict(kept, anchors, manifest, *pins) == [("UNTRUSTED_SELF_CONSISTENT", "external_trust_root_required")]
+    assert verdict(kept, anchors, manifest, (1, True, None)) == [("FRESHNESS_UNVERIFIED", "external_latest_anchor_checkpoint_required")]
+    assert verdict(kept, anchors, manifest, (1, True, "other")) == [("FAIL", "expected_latest_anchor_checkpoint_mismatch")]
+    tail = manifest.withColumn("rows", F.lit(8)).withColumn("last_seq", F.lit(8))
+    assert verdict(chain, anchors, tail, (1, True, top)) == [("FAIL", "unsigned_rows_after_latest_anchor")]
+    assert verdict(chain, anchors, manifest, (1, True, top)) == verdict(kept.limit(0), anchors, manifest, (1, True, top)) == verdict(kept, anchors, manifest.limit(0), (1, True, top)) == [("FAIL", "manifest_range")]
+    assert verdict(kept, anchors.limit(0), manifest, (1, True, top)) == [("FAIL", "no_anchors")]
+    assert verdict(kept.limit(0), anchors.limit(0), manifest.limit(0)) == []
+    chain.unpersist()
+
+
+def test_edge_import_counts_each_pair_once(spark):
+    edges = spark.createDataFrame([("a", "b", "cites")], "child string, parent string, kind string")
+    records = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    rows = [("a", "b", "x", 0), ("b", "c", "x", 1), ("b", "c", "x", 2), ("b", "c", "y", 0), ("c", "z", "x", 3), (None, "a", "x", 4), ("a", " ", None, 5), ("c", "d", "", 6)]
+    told = graph.proposals(spark.createDataFrame(rows, "child string, parent string, kind string, ordinal long"), records)
+    found = spark.createDataFrame([("b", 0, "edge", "c"), ("d", 0, "edge", "a"), ("d", 1, "edge", "a"), ("d", 2, "self", None), ("d", 3, "dangling", None), ("d", 4, "ambiguous", None)], "id string, place int, outcome string, parent string")
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in graph.import_report(edges, told, found).collect()}
+    # rows, inserted, duplicate, missing, ambiguous, self, invalid
+    assert got == {
+        ("proposal", "x"): (5, 0, 3, 1, 0, 0, 1), ("proposal", "y"): (1, 1, 0, 0, 0, 0, 0), ("proposal", "related_to"): (2, 1, 0, 0, 0, 0, 1), ("wikilinks", "links_to"): (6, 1, 2, 1, 1, 1, 0),
+    }
+    assert graph.import_report(edges, told.limit(0), found.limit(0)).count() == 0
+
+
 def test_closure_of_diamond_chain_and_cycle(spark):
     pairs = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("a", "d")] + [(f"n{i + 1}", f"n{i}") for i in range(18)]
     edges = spark.createDataFrame([(c, p, "derived_from") for c, p in pairs], "child string, parent string, kind string")
