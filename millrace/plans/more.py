@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import audit, consolidate, documents, gates, graph, ingest, policy, retrieval, strict
+from ..operators import audit, consolidate, documents, gates, graph, ingest, policy, receipts, retrieval, strict
 from ..sources import files
 from .queries import _ALL, _BM25, _BROKEN, _CANDS, _CHAIN, _CHECKED, _DENSE, _FUSED, _ANCHORS, _broken, _collapse_sql, at, _CLAIMS_SQL, _DECIDED, _STEPS, _TOKENS, _VISIBLE, _chain, _claims, _requests, query, visible, with_records
 from .records import CUE, DENY_SQL, EDGES_SQL, SHOWN_SQL, SUPPORT, edges, records, table
@@ -404,3 +404,44 @@ def bundle_replay(spark, sf_dir):
     """Rows as a bundle exports them, up to each chain's last anchor, verified by themselves."""
     rows, _ = audit.bundle(_broken(spark, sf_dir), audit.anchors_of(_chain(spark, sf_dir), 20))
     return audit.chain_status(rows).select("chain_id", "n_rows", "ok", "first_bad_seq")
+
+
+@query(
+    "c18_receipts",
+    "WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM events), "
+    "p AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS before, event_id % 20 AS t FROM o WHERE event_id % 2 = 0), "
+    "v AS (SELECT user_id AS chain_id, event_id + 1 AS audit_seq, sha256('r' || event_id) AS receipt_id, t NOT IN (2, 4) AS signature_valid, t <> 4 AND NOT (user_id % 10 = 0 AND n = 3) AS audit_event_valid, "
+    "NOT (user_id % 10 = 0 AND m >= 3) AS audit_chain_valid, NOT (t IN (6, 8, 10) AND before IS NOT NULL) AS baseline_valid FROM p) "
+    "SELECT *, signature_valid AND audit_event_valid AND audit_chain_valid AND baseline_valid AS ok FROM v",
+)
+def rotation_receipts(spark, sf_dir):
+    """Every second event is a receipt of one of three lineages of its chain; some are altered, forged or name a wrong baseline, and some chains are edited."""
+    n, t = F.col("event_id"), F.col("event_id") % 20
+    name = lambda kind, x: F.sha2(F.concat(F.lit(kind), x.cast("string")), 256)
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    told = e.where(n % 2 == 0).withColumn("before", F.expr("lag(event_id) OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id)"))
+    before = F.when((t != 6) & F.col("before").isNotNull(), F.col("before"))
+    drafts = told.select(
+        F.col("user_id").alias("chain_id"), (n + 1).alias("audit_seq"), name("r", n).alias("receipt_id"), name("h", n).alias("receipt_hash"), (n % 3).cast("string").alias("lineage_hash"), F.lit("prototype").alias("status"), F.lit("agent:admin").alias("signed_by"),
+        F.when(before.isNotNull(), F.when(t == 10, n + 1).otherwise(before + 1)).alias("baseline_seq"), name("r", before).alias("baseline_id"), F.when((t == 8) & before.isNotNull(), "bad").otherwise(name("h", before)).alias("baseline_hash"),
+    )
+    said = drafts.select("chain_id", F.col("audit_seq").alias("seq"), receipts.event_body(F.lit("tenant:en")).alias("_said"))
+    bodies = e.select(F.col("user_id").alias("chain_id"), (n + 1).alias("seq"), "ts", audit.body(action=F.col("event_type"), target=n).alias("body")).join(said, ["chain_id", "seq"], "left")
+    chain = graph.cut(audit.chained(bodies.withColumn("body", F.coalesce("_said", "body"))))
+    third = F.expr("chain_id % 10 = 0 AND row_number() OVER (PARTITION BY chain_id ORDER BY seq) = 3")
+    chain = chain.withColumn("body", F.when(third, F.concat("body", F.lit(" "))).otherwise(F.col("body")))
+    s = F.col("audit_seq") - 1
+    held = receipts.sealed(drafts, ROOT).withColumn("signature", F.when(s % 20 == 2, "hmac-sha256:0").otherwise(F.col("signature"))).withColumn("status", F.when(s % 20 == 4, "other").otherwise(F.col("status")))
+    return receipts.verified(held, chain, ROOT, "tenant:en")
+
+
+@query(
+    "b1_adversaries",
+    "SELECT attack || ':' || user_id AS chain_id, CASE WHEN m < 20 THEN 'no_anchors' WHEN attack = 'edit_body' THEN 'chain_invalid' WHEN attack = 'flip_hash' THEN 'row_hash_mismatch' WHEN attack <> 'none' THEN 'row_missing' END AS first_failure "
+    "FROM (SELECT user_id, count(*) AS m FROM events GROUP BY user_id), (VALUES ('none'), ('edit_body'), ('flip_hash'), ('drop_row'), ('truncate_tail')) v(attack)",
+)
+def adversaries(spark, sf_dir):
+    """Every chain under every attack on its twentieth row, against anchors that only fall due after a thousand rows."""
+    chain = graph.cut(_chain(spark, sf_dir))
+    rows, anchors = audit.attacked(chain, audit.anchors_of(chain, 20), 20)
+    return audit.against_anchors(rows, anchors, F.lit("2024-01-01").cast("timestamp")).select("chain_id", "first_failure")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import values as V
-from millrace.operators import audit, consolidate, gates, graph, ingest, policy
+from millrace.operators import audit, consolidate, gates, graph, ingest, policy, receipts
 from millrace.plans import more  # noqa: F401  (adds its queries)
 from millrace.plans.queries import QUERIES
 from millrace.sources import files
@@ -193,6 +193,37 @@ def test_bundle_ladder(spark):
     chain.unpersist()
 
 
+def test_receipts_fail_closed(spark):
+    schema = "chain_id long, audit_seq long, receipt_id string, receipt_hash string, lineage_hash string, status string, signed_by string, baseline_seq long, baseline_id string, baseline_hash string"
+    rows = [
+        (1, 1, "r1", "h1", "a", "p", "me", None, None, None),  # the first of its lineage
+        (1, 2, "r2", "h2", "a", "p", "me", 1, "r1", "h1"),
+        (1, 3, "r3", "h3", "a", "p", "me", None, None, None),  # not the first
+        (1, 4, "r4", "h4", "a", "p", "me", 5, "r5", "h5"),  # names a later one
+        (1, 5, "r5", "h5", "b", "p", "me", 2, "r2", None),  # names no hash
+        (1, 6, "r6", "h6", None, "p", "me", None, None, None),  # no lineage
+    ]
+    drafts = spark.createDataFrame(rows, schema)
+    said = drafts.select("chain_id", F.col("audit_seq").alias("seq"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"), receipts.event_body(F.lit("t")).alias("body"))
+    chain = audit.chained(said).cache()
+    held = receipts.sealed(drafts, b"k").withColumn("extra", F.lit(0)).cache()
+
+    def check(r, c, key=b"k", tenant="t"):
+        return {x["receipt_id"]: (x["signature_valid"], x["audit_event_valid"], x["audit_chain_valid"], x["baseline_valid"], x["ok"]) for x in receipts.verified(r, c, key, tenant).collect()}
+
+    got = check(held, chain)
+    assert got["r1"] == got["r2"] == (True, True, True, True, True)
+    assert {k for k, v in got.items() if v == (True, True, True, False, False)} == {"r3", "r4", "r5", "r6"}
+    assert check(held, chain, b"other")["r1"] == (False, True, True, True, False)
+    assert check(held, chain, tenant="u")["r2"] == (True, False, True, False, False)
+    assert check(held, chain.where("seq <> 2"))["r2"] == (True, False, False, True, False)
+    assert check(held, chain.limit(0))["r2"] == (True, False, False, False, False)
+    assert check(held.withColumn("signature", F.lit(None).cast("string")), chain)["r1"][0] is False
+    assert check(held.limit(0), chain) == {}
+    chain.unpersist()
+    held.unpersist()
+
+
 def test_edge_import_counts_each_pair_once(spark):
     edges = spark.createDataFrame([("a", "b", "cites")], "child string, parent string, kind string")
     records = spark.createDataFrame([(x,) for x in "abcd"], "id string")
