@@ -234,11 +234,11 @@ class Engine:
         known, deks = c.table("records"), c.table("keys")
         erased = deks.where("state = 'shredded'").select("tenant", "subject", F.lit(True).alias("_erased"))
         told = ingest.bulk_records(rows.select("fields"), principal.tenant).join(erased, ["tenant", "subject"], "left")
-        attrs = F.transform(V.list_value(f["attrs"]), V.attr_pair)
+        attrs, groups = V.attr_pairs(f["attrs"]), V.role_groups(f["role_groups"])
         visibility = F.coalesce(f["visibility"], F.lit("tenant"))
         why = (
             F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("tenant") != principal.tenant, "cross-tenant").when(F.col("_erased"), "erased subject")
-            .when(~visibility.isin("private", "tenant", "shared"), "visibility").when(F.exists(attrs, lambda a: a.isNull()), "attrs")
+            .when(~visibility.isin("private", "tenant", "shared"), "visibility").when(F.exists(attrs, lambda a: a.isNull()), "attrs").when(groups.isNull(), "role_groups")
             .when(f["valid_from"].isNotNull() & V.instant(f["valid_from"]).isNull(), "valid_from").when(f["valid_until"].isNotNull() & V.instant(f["valid_until"]).isNull(), "valid_until").otherwise("ok")
         )
         told = told.withColumn("why", why)
@@ -248,7 +248,7 @@ class Engine:
         new = new.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "why", "_erased")
         new = new.withColumns(
             {
-                "created_by": F.lit(principal.id), "salience": F.coalesce(f["salience"].try_cast("double"), F.lit(0.5)), "role_groups": F.array().cast("array<array<string>>"), "attrs": attrs,
+                "created_by": F.lit(principal.id), "salience": F.coalesce(f["salience"].try_cast("double"), F.lit(0.5)), "role_groups": groups, "attrs": attrs,
                 "visibility": visibility, "review_state": F.when(F.col("epistemic") == "model-generated", "proposed").cast("string"), "valid_from": f["valid_from"], "valid_until": f["valid_until"],
                 "created_at": F.coalesce(f["created_at"].try_cast("double"), F.lit(now)), "indexed": F.lit(True), "entities": V.list_value(f["entities"]), "subject_ids": F.array("subject"),
                 "source_ids": F.when(F.col("uri").isNotNull(), F.array("uri")).otherwise(F.array().cast("array<string>")), "source_spans": V.list_value(f["source_spans"]), "policy_scope": F.coalesce(f["policy_scope"], F.lit("default")),

@@ -117,6 +117,49 @@ def attr_pair(value: Column) -> Column:
     return F.when(mark.isNotNull(), F.struct(F.trim(F.substring(value, F.lit(1), at - 1)).alias("k"), F.trim(F.substring(value, at + 1, F.length(value))).alias("v")))
 
 
+def _given(fields: Column, *keys: str) -> Column:
+    """The first of the fields that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(fields[k], F.lit("")) for k in keys))
+
+
+def attr_pairs(value: Column) -> Column:
+    """Pairs of a comma-separated list; an item that is none stands as null."""
+    return F.transform(list_value(value), attr_pair)
+
+
+def role_groups(value: Column) -> Column:
+    """Groups of a JSON list of lists, else one group of comma-separated roles; empty groups go. Null where JSON is malformed."""
+    nested = F.from_json(value, "array<array<string>>")
+    nested = F.when(F.exists(nested, lambda g: g.isNull()), None).otherwise(F.filter(F.transform(nested, lambda g: F.filter(g, lambda r: F.trim(r) != "")), lambda g: F.size(g) > 0))
+    one = list_value(value)
+    return F.when(F.startswith(F.ltrim(value), F.lit("[")), nested).when(F.size(one) > 0, F.array(one)).otherwise(F.array().cast("array<array<string>>"))
+
+
+def policy_from(fields: Column) -> Column:
+    """Policy of a record's fields (a map of strings) as a struct; what is not given has its default."""
+    return F.struct(
+        F.coalesce(fields["visibility"], F.lit("tenant")).alias("visibility"), F.coalesce(fields["classification"], F.lit("internal")).alias("classification"), bool_value(fields["pii"]).alias("pii"), list_value(fields["roles"]).alias("roles"),
+        attr_pairs(fields["attrs"]).alias("attrs"), F.coalesce(fields["retention"], F.lit("decayable")).alias("retention"), role_groups(fields["role_groups"]).alias("role_groups"),
+    )
+
+
+def principal_from(fields: Column, default_tenant: str = "tenant:default") -> Column:
+    """Principal of a request's fields as a struct; a missing tenant is the default one, a missing clearance internal."""
+    return F.struct(
+        F.coalesce(_given(fields, "principal_id", "principal", "id"), F.lit("agent:recall")).alias("id"), tenant_name(fields["tenant"], default_tenant).alias("tenant"), list_value(fields["roles"]).alias("roles"),
+        attr_pairs(fields["attrs"]).alias("attrs"), F.coalesce(fields["clearance"], F.lit("internal")).alias("clearance"),
+    )
+
+
+def source_from(fields: Column) -> Column:
+    """Source (kind, uri, path) of a record's fields; null where none names one. `path` goes with a uri field alone."""
+    kind = F.coalesce(_given(fields, "source_kind"), F.lit("bulk")).alias("kind")
+    text = F.trim(F.coalesce(fields["source"], F.lit("")))
+    first = F.when(F.map_contains_key(fields, "source_uri"), fields["source_uri"]).when(F.map_contains_key(fields, "source_id"), fields["source_id"]).otherwise(fields["uri"])
+    own = F.struct(kind, text.alias("uri"), F.lit(None).cast("string").alias("path"))
+    return F.when(text != "", own).when(F.coalesce(first, F.lit("")) != "", F.struct(kind, first.alias("uri"), _given(fields, "source_path", "path").alias("path")))
+
+
 def mirror_family(source_ids: Column) -> Column:
     """Struct (key, rank) of the first markdown source among memory and team-memory, the former of rank 0; null without one."""
     pattern = r"(?i)^markdown://(memory|team-memory|team_memory)/(.+)$"

@@ -445,3 +445,20 @@ def adversaries(spark, sf_dir):
     chain = graph.cut(_chain(spark, sf_dir))
     rows, anchors = audit.attacked(chain, audit.anchors_of(chain, 20), 20)
     return audit.against_anchors(rows, anchors, F.lit("2024-01-01").cast("timestamp")).select("chain_id", "first_failure")
+
+
+@query(
+    "x4_builders",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'private' ELSE 'tenant' END AS visibility, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'internal' END AS classification, doc_id % 5 = 0 AS pii, source || ',' || lang AS roles, CASE WHEN doc_id % 4 = 0 THEN source || '+' || lang END AS first_group, "
+    "CASE WHEN doc_id % 2 = 0 THEN 'user:' || source ELSE 'agent:recall' END AS principal, 'tenant:' || lang AS tenant, CASE doc_id % 3 WHEN 0 THEN 'src/' || source WHEN 1 THEN 'uri/' || source END AS uri, CASE WHEN doc_id % 3 = 1 THEN 'p/' || lang END AS path FROM documents",
+)
+def builders(spark, sf_dir):
+    """Policies, principals and sources of maps of fields, some of them not given."""
+    d, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
+    given = {
+        "visibility": F.when(d % 3 == 0, "private"), "classification": F.when(d % 2 == 0, F.col("source")), "pii": F.when(d % 5 == 0, "on"), "roles": F.concat("source", F.lit(" , "), "lang"), "role_groups": F.when(d % 4 == 0, F.concat_ws(",", "source", "lang")),
+        "principal": F.when(d % 2 == 0, F.concat(F.lit("user:"), "source")), "tenant": F.col("lang"), "source": F.when(d % 3 == 0, F.concat(F.lit(" src/"), "source")), "source_uri": F.when(d % 3 == 1, F.concat(F.lit("uri/"), "source")), "path": F.concat(F.lit("p/"), "lang"),
+    }
+    fields = F.map_filter(F.create_map(*(x for k, v in given.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    out = docs.select(d, fields.alias("f")).select(d, V.policy_from(F.col("f")).alias("p"), V.principal_from(F.col("f")).alias("w"), V.source_from(F.col("f")).alias("s"))
+    return out.select(d, "p.visibility", "p.classification", "p.pii", F.array_join("p.roles", ",").alias("roles"), F.array_join(F.get("p.role_groups", F.lit(0)), "+").alias("first_group"), F.col("w.id").alias("principal"), "w.tenant", "s.uri", "s.path")

@@ -193,6 +193,22 @@ def test_bundle_ladder(spark):
     chain.unpersist()
 
 
+def test_builders_of_fields(spark):
+    def made(build, **fields):
+        f = F.create_map(*(F.lit(x) for kv in fields.items() for x in kv)).cast("map<string,string>")
+        return one(spark, build(f).alias("x"))["x"]
+
+    assert tuple(made(V.policy_from, x="")) == ("tenant", "internal", False, [], [], "decayable", [])
+    assert tuple(made(V.policy_from, roles="a, b", pii="yes", attrs="k=v", role_groups="c,d", visibility="private")) == ("private", "internal", True, ["a", "b"], [("k", "v")], "decayable", [["c", "d"]])
+    assert made(V.policy_from, role_groups='[["a","b"],[],["c"]]')["role_groups"] == [["a", "b"], ["c"]]
+    assert made(V.policy_from, role_groups="[a")["role_groups"] is None and made(V.policy_from, role_groups='["a"]')["role_groups"] is None
+    assert tuple(made(V.principal_from, x="")) == ("agent:recall", "tenant:default", [], [], "internal")
+    assert tuple(made(V.principal_from, principal_id="", id="me", tenant="en", clearance="public", attrs="a:b"))[:2] == ("me", "tenant:en")
+    assert made(V.source_from, x="") is None and made(V.source_from, source=" ", source_uri="", uri="u") is None
+    assert tuple(made(V.source_from, source=" s ", path="p")) == ("bulk", "s", None)
+    assert tuple(made(V.source_from, source_id="i", uri="u", path="p", source_kind="k")) == ("k", "i", "p")
+
+
 def test_receipts_fail_closed(spark):
     schema = "chain_id long, audit_seq long, receipt_id string, receipt_hash string, lineage_hash string, status string, signed_by string, baseline_seq long, baseline_id string, baseline_hash string"
     rows = [

@@ -88,6 +88,16 @@ def test_markdown_import_updates_and_links(spark, tmp_path):
     assert e.verify_audit()["ok"]
 
 
+def test_role_groups_of_fields_bind(spark, tmp_path):
+    e = _store(spark, tmp_path / "store")
+    rows = _rows(spark, {"id": "1", "text": "a", "subject": "s"}, {"id": "2", "text": "b", "subject": "s", "role_groups": '[["auditor"]]'}, {"id": "3", "text": "c", "subject": "s", "role_groups": "[broken"})
+    assert e.remember_many(rows, CHIEF) == {"ok": 2, "role_groups": 1, "written": 2}
+    assert e.table("records").where("id = '2'").first()["role_groups"] == [["auditor"]]
+    reader = Principal("agent:x", CHIEF.tenant, ("clerk",), {}, "restricted")
+    assert {r["id"] for r in e.readable(reader).collect()} == {"1"}
+    assert {r["id"] for r in e.readable(Principal("agent:x", CHIEF.tenant, ("auditor",), {}, "restricted")).collect()} == {"1", "2"}
+
+
 def _store(spark, folder):
     return Engine(spark, str(folder), b"k" * 32)
 
