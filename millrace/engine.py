@@ -15,8 +15,8 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +35,9 @@ SCHEMAS = {
     "audit": "chain_id string, seq long, ts timestamp, body string, prev_hash string, row_hash string",
 }
 
+#: Holds the records of round trips; give it to nobody.
+CANARY_TENANT = "tenant:diagnostic"
+
 
 class Conflict(RuntimeError):
     """Another writer has made the version that this change would have made; nothing of it is stored. Begin it again."""
@@ -127,22 +130,10 @@ class Engine:
 
     def publish(self, n: int, entries: dict[str, list[str]]) -> None:
         """Makes version n if nobody else has: the manifest is written aside and renamed, which fails where the name is taken."""
-        jvm = self.spark._jvm
-        draft, final = (self._hadoop.Path(p) for p in (f"{self.root}/manifests/.{n:08d}.{uuid.uuid4().hex}", self._manifest_path(n)))
-        out = self._fs.create(draft)
-        out.write(bytearray(json.dumps(entries, sort_keys=True).encode()))
-        out.close()
-        kinds = getattr(self._hadoop, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
-        how[0] = kinds.NONE
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        try:
-            files.rename(draft, final, how)
-        except Py4JJavaError as e:
-            self._fs.delete(draft, False)
-            if self._fs.exists(final):
-                raise Conflict(f"version {n} has been made by another writer") from e
-            raise
+        draft = f"{self.root}/manifests/.{n:08d}.{uuid.uuid4().hex}"
+        files.write_bytes(self.spark, draft, json.dumps(entries, sort_keys=True).encode())
+        if not files.published(self.spark, draft, self._manifest_path(n)):
+            raise Conflict(f"version {n} has been made by another writer")
 
     @staticmethod
     def short(path: str) -> str:
@@ -413,6 +404,19 @@ class Engine:
         among = self.table("edges").where(F.col("child").isin(*ids) & F.col("parent").isin(*ids)).orderBy("kind", "child", "parent").limit(100)
         return {"visible": reasons.pop("ok", 0), "denied": reasons, "results": ids, "paths": [tuple(r) for r in among.collect()]}
 
+    def verify_roundtrip(self, who: Principal) -> dict:
+        """Writes a record with a new marker for a tenant of its own, recalls it and purges it: whether each of these held, and all."""
+        own = replace(who, tenant=CANARY_TENANT)
+        marker = "canary" + uuid.uuid4().hex
+        fields = {"id": f"diag_{marker}", "content": f"diagnostic {marker}", "subject": f"diagnostic:{marker}", "classification": "public", "policy_scope": "diagnostic-canary"}
+        out = {"written": False, "recalled": False, "removed": False}
+        try:
+            out["written"] = self.remember_many(self.spark.createDataFrame([(fields,)], "fields map<string,string>"), own)["written"] == 1
+            out["recalled"] = [r["id"] for r in self.recall(marker, own, {}, 1).collect()] == [fields["id"]]
+        finally:
+            out["removed"] = self.purge(fields["id"], own) and self.table("records").where(F.col("id") == fields["id"]).isEmpty()
+        return {**out, "ok": all(out.values())}
+
     def health(self) -> dict:
         rows = self.table("records").agg(F.count("*").alias("n"), F.count_if(~F.col("indexed")).alias("lag")).first()
         return {"version": self.version(), "records": rows["n"], "index_lag": rows["lag"], "audit_ok": self.verify_audit()["ok"]}

@@ -77,6 +77,13 @@ def key_census(keys: DataFrame, root_present: bool = False) -> DataFrame:
     )
 
 
+def erase_proof(keys: DataFrame, root_present: bool) -> DataFrame:
+    """The census of each tenant with `reason`: why its texts cannot be read any more, or still can."""
+    present = F.lit(root_present)
+    reason = F.when(present, "root still present").when(F.col("raw") > 0, "raw active keys remain").otherwise("root absent and no raw active keys remain")
+    return key_census(keys, root_present).withColumn("reason", reason)
+
+
 def payload(record_id: Column, content_hash: Column, uri: Column, created_by: Column, epistemic: Column) -> Column:
     """What a producer signs; lengths keep neighbouring fields apart."""
     parts = [F.coalesce(c, F.lit("")) for c in (record_id, content_hash, uri, created_by, epistemic)]

@@ -1,13 +1,15 @@
 """Clusters of equal and near records, and which of them may be merged."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import values as V
+from . import gates
 
 MIN_CLUSTER, STALE_DAYS = 3, 90.0
 #: Vectors in the memory of a task at once.
@@ -95,3 +97,50 @@ def safe_clusters(members: DataFrame, now: Column, least: int = MIN_CLUSTER) ->
     )
     safe = (F.col("n") >= least) & (F.col("tenants") == 1) & (F.col("subjects") == 1) & (F.col("policies") == 1) & ~F.col("locked") & F.col("mergeable")
     return by.withColumn("safe", safe)
+
+
+def proposals(members: DataFrame, generate: Callable[[DataFrame], DataFrame], now: Column, least: int = MIN_CLUSTER, model: Column | None = None, rules: Column | None = None) -> DataFrame:
+    """A merged summary for each cluster (cluster_id and record columns with content): outcome, why not, and the record to be written.
+
+    `generate` maps cluster_id, tenant, subject, texts (the distinct texts of the members, in order of their first id) to cluster_id,
+    summary and claims (null: the summary is the claim). Nothing is generated of a cluster that is not safe (`unsafe`), has a member
+    without text (`unavailable`) or whose texts the model may not see (`egress`; without model and rules the model is a local one).
+    An empty summary is `empty`; one whose claims the texts contradict or do not support is `rejected`; all else is `proposed`, and
+    waits for review. The texts of a cluster are gathered in one row, copies once.
+    """
+    none = F.array().cast("array<string>")
+    local = F.struct(*(F.lit(v).alias(k) for k, v in (("runtime", "local"), ("provider", "local"), ("region", "local"), ("retention", "none"), ("training_opt_out", True), ("endpoint", None), ("provider_policy_id", None))))
+    closed = F.struct(
+        F.lit(False).alias("allow_external_models"), F.lit(False).alias("require_zero_retention"), F.lit(False).alias("allow_redaction"),
+        *(none.alias(k) for k in ("allowed_providers", "allowed_regions", "redactable_pii_labels", "deny_pii_labels", "deny_classifications", "human_review_classifications")),
+    )
+    entry = "array<struct<provider_policy_id:string,provider:string,runtime:string,region:string,retention:string,training_opt_out:boolean,endpoint:string,status:string,allowed_classifications:array<string>,denied_pii_labels:array<string>>>"
+    safe = safe_clusters(members, now, least).select("cluster_id", "safe")
+    copies = members.groupBy("cluster_id", "content").agg(F.min("id").alias("_first"), F.min("tenant").alias("tenant"), F.min("subject").alias("subject"), F.min("classification").alias("classification"))
+    by = copies.groupBy("cluster_id").agg(
+        F.min("tenant").alias("tenant"), F.min("subject").alias("subject"), F.min("classification").alias("classification"), F.bool_or(F.col("content").isNull()).alias("_gone"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_first", "content"))), lambda s: s["content"]).alias("texts"),
+    )
+    span = F.struct(F.col("cluster_id").alias("span_id"), F.col("classification"), none.alias("pii_labels"), F.array_join("texts", " ").alias("text"))
+    ready = by.join(safe, "cluster_id").withColumn("_stop", F.when(~F.col("safe"), "unsafe").when(F.col("_gone"), "unavailable"))
+    asked = gates.egress(ready.withColumns({"model": local if model is None else model, "policy": closed if rules is None else rules, "providers": F.array().cast(entry), "spans": F.array(span)}))
+    asked = asked.withColumn("_stop", F.coalesce("_stop", F.when(~gates.generation_allowed(F.col("decision")), "egress"))).select("cluster_id", "tenant", "subject", "classification", "texts", "decision", "_stop")
+    made = generate(asked.where("_stop IS NULL").select("cluster_id", "tenant", "subject", "texts")).select("cluster_id", F.trim("summary").alias("summary"), F.col("claims").cast("array<string>").alias("claims"))
+    rows = asked.join(made, "cluster_id", "left").withColumn("_stop", F.coalesce("_stop", F.when(F.coalesce("summary", F.lit("")) == "", "empty")))
+    told = rows.where("_stop IS NULL").select(F.col("cluster_id").alias("candidate_id"), F.array_join("texts", " ").alias("support"), F.explode(F.coalesce("claims", F.array("summary"))).alias("claim"), F.lit(True).alias("cited"), F.lit(True).alias("material"))
+    decided = gates.decide(gates.check_claims(told)).select(F.col("candidate_id").alias("cluster_id"), F.col("decision").alias("faithfulness"))
+    out = rows.join(decided, "cluster_id", "left").withColumn("faithfulness", F.when(F.col("_stop").isNull(), F.coalesce("faithfulness", F.lit("accepted"))))
+    outcome = F.coalesce("_stop", F.when(F.col("faithfulness") == "rejected", "rejected").otherwise("proposed"))
+    proposed = outcome == "proposed"
+    content_hash = F.when(proposed, T.content_hash(F.col("summary")))
+    return out.select(
+        "cluster_id", "tenant", "subject", "classification", outcome.alias("outcome"), F.col("decision").alias("egress"), "faithfulness", F.when(proposed, F.col("summary")).alias("content"), content_hash.alias("content_hash"),
+        F.when(proposed, F.concat(F.lit("sum_"), F.left(F.sha2(F.concat_ws("|", "tenant", "subject", F.col("cluster_id").cast("string"), content_hash), 256), F.lit(24)))).alias("id"),
+        F.when(proposed, "model-generated").alias("epistemic"), F.when(proposed, "proposed").alias("review_state"),
+        F.when(proposed, F.when(F.col("faithfulness") == "accepted", "generated_supported").otherwise("generated_needs_review")).alias("truth_status"),
+    )
+
+
+def proposal_edges(proposed: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (child, parent, kind) from each proposed summary to all members of its cluster."""
+    return proposed.where("outcome = 'proposed'").select("cluster_id", F.col("id").alias("child")).join(members.select("cluster_id", F.col("id").alias("parent")), "cluster_id").select("child", "parent", F.lit("derived_from").alias("kind"))

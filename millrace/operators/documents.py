@@ -34,6 +34,20 @@ def renamed(files: DataFrame, old: str, new: str) -> DataFrame:
     return rows.withColumn("path", F.when(hit & (F.col("_taken") == 0), F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 30))).otherwise(F.col("path"))).drop("_taken")
 
 
+def without_path(files: DataFrame, path: str) -> DataFrame:
+    """Files but those at or under a path; rows without a path stay."""
+    hit = (F.col("path") == path) | F.startswith("path", F.lit(path.rstrip("/") + "/"))
+    return files.where(~F.coalesce(hit, F.lit(False)))
+
+
+def listed(files: DataFrame, path: str) -> DataFrame:
+    """What stands directly in a folder: name (folders end with /) and how many files are at or under it."""
+    root = path.rstrip("/") + "/"
+    rest = F.substring("path", len(root) + 1, 1 << 30)
+    name = F.regexp_extract(rest, "^[^/]+/?", 0)
+    return files.where(F.startswith("path", F.lit(root))).groupBy(name.alias("name")).agg(F.count_distinct("path").alias("files")).where("name <> ''")
+
+
 def path_error(path: Column, root: str = "/memories") -> Column:
     """Why a path may not be used: empty, climbing, escaped, or outside the root; null if it may."""
     norm = F.regexp_replace(F.regexp_replace(path, r"(/\.)+(?=/|$)", ""), "/+", "/")

@@ -135,6 +135,21 @@ def import_report(plan: DataFrame) -> DataFrame:
     return plan.groupBy("tenant").agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("insert", "update", "skip", "purge")))
 
 
+def import_totals(plan: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row for a whole import (plan with action; failed: tenant, path of files that were not written): counts, sources covered and lagging, change of rows.
+
+    Insertions and updates that failed are none; the old record of a failed update stays.
+    """
+    bad = failed.select("tenant", "path").distinct().withColumn("_bad", F.lit(True))
+    rows = plan.join(bad, ["tenant", "path"], "left").withColumn("_ok", F.col("_bad").isNull())
+    done = lambda *actions: F.count_if(F.col("action").isin(*actions) & F.col("_ok"))
+    given, purged = F.count_if(F.col("action") != "purge"), F.count_if(F.col("action") == "purge")
+    return rows.agg(
+        given.alias("source_count"), done("insert").alias("imported"), done("update").alias("updated"), done("skip").alias("skipped"), purged.alias("purged"),
+        F.count_if(~F.col("_ok") & (F.col("action") != "purge")).alias("failed"), done("insert", "update", "skip").alias("covered"), (given - done("insert", "update", "skip")).alias("lag"), (done("insert") - purged).alias("row_delta"),
+    )
+
+
 def split_spans(records: DataFrame) -> DataFrame:
     """Spans with the record's own text become references to it; the other texts move to `payload`, in order, and spans keep their index."""
     own = F.transform(F.coalesce("spans", F.array()), lambda s: F.struct(s["span_id"].alias("span_id"), s["text"].alias("text"), (F.concat(F.lit("sha256:"), F.sha2(s["text"], 256)) == F.col("content_hash")).alias("own")))

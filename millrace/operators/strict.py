@@ -1,10 +1,15 @@
 """Strict reading: every record in one bucket of integrity, exemptions, and what a result may hold."""
 
+import hashlib
+import hmac
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto
 from ..functions.text import any_of
+from . import audit
 
 VALID = "valid"
 # Buckets that may be exempted, and those that mean tampering or errors.
@@ -114,3 +119,60 @@ def rotation_reconciled(cases: DataFrame, summaries: DataFrame) -> DataFrame:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     out = summaries.join(told, "receipt_id", "left")
     return out.withColumn("error", F.when(F.col("_most").isNull(), "cases").when(F.col("_most") > 1, "duplicate_case_id").when(~same, "summary_mismatch")).drop("_most", "_passed", "_degraded", "_failed")
+
+
+MODES = ("off", "filter", "enforce")
+ENTRIES = ("id", "tenant", "content_hash", "signature_fingerprint", "bucket")
+
+
+def mode_of(value: str | None, custody: bool) -> str:
+    """The strict mode that a setting names (none: off); enforcing needs signing keys in custody."""
+    mode = (value or "off").strip().lower()
+    if mode not in MODES:
+        raise ValueError("strict mode must be one of " + ", ".join(MODES))
+    if mode == "enforce" and not custody:
+        raise PermissionError("strict mode enforce needs keys in custody")
+    return mode
+
+
+def _canonical(value: dict) -> bytes:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+
+
+def manifest_digest(manifest: dict) -> str:
+    """What is pinned of a manifest: all of it, its signature too."""
+    return "sha256:" + hashlib.sha256(_canonical(manifest)).hexdigest()
+
+
+def _seal(manifest: dict, key: bytes) -> str:
+    return "hmac-sha256:" + hmac.new(crypto.derived_key(key, "strict-manifest"), _canonical({k: v for k, v in manifest.items() if k != "signature"}), hashlib.sha256).hexdigest()
+
+
+def signed_manifest(entries: DataFrame, chain_id: str, approved_seq: int, key: bytes) -> dict:
+    """The manifest of a table of exemptions (ENTRIES): how many, their digest, the head of the chain that was approved, signed."""
+    rows = entries.select(*ENTRIES)
+    told = {"schema_version": 1, "chain_id": chain_id, "approved_seq": approved_seq, "rows": rows.count(), "entries_digest": audit.content_digest(rows)}
+    told["manifest_id"] = "sct_" + hashlib.sha256(_canonical(told)).hexdigest()[:24]
+    return {**told, "signature": _seal(told, key)}
+
+
+def manifest_error(manifest: dict, entries: DataFrame, key: bytes, pinned: str | None) -> str | None:
+    """The first rule that a manifest breaks: fields, signature, not_pinned, pin, bucket, duplicate_id, rows, digest; null if it may be used."""
+    fields = {"schema_version", "chain_id", "approved_seq", "rows", "entries_digest", "manifest_id", "signature"}
+    if set(manifest) != fields or manifest["schema_version"] != 1:
+        return "fields"
+    if not hmac.compare_digest(str(manifest["signature"]), _seal(manifest, key)):
+        return "signature"
+    if pinned is None:
+        return "not_pinned"
+    if pinned != manifest_digest(manifest):
+        return "pin"
+    rows = entries.select(*ENTRIES)
+    seen = rows.groupBy("id").agg(F.count("*").alias("_n"), F.bool_and(F.col("bucket").isin(*CANDIDATES)).alias("_ok")).agg(F.sum("_n").alias("n"), F.max("_n").alias("most"), F.bool_and(F.coalesce("_ok", F.lit(False))).alias("ok")).first()
+    if seen["n"] and not seen["ok"]:
+        return "bucket"
+    if (seen["most"] or 0) > 1:
+        return "duplicate_id"
+    if (seen["n"] or 0) != manifest["rows"]:
+        return "rows"
+    return None if audit.content_digest(rows) == manifest["entries_digest"] else "digest"

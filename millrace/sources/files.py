@@ -1,8 +1,11 @@
 """Files: markdown with frontmatter, JSON and JSONL records, query lists, edge proposals, anchor logs, bundles."""
 
+import json
 import re
+import uuid
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +125,63 @@ def write_bundle(rows: DataFrame, manifest: DataFrame, path: str) -> None:
 
 def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/manifest")
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none where it does not exist."""
+    path, fs = _path(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def removed(spark: SparkSession, name: str) -> None:
+    path, fs = _path(spark, name)
+    fs.delete(path, True)
+
+
+def write_bytes(spark: SparkSession, name: str, content: bytes) -> None:
+    path, fs = _path(spark, name)
+    out = fs.create(path)
+    out.write(bytearray(content))
+    out.close()
+
+
+def published(spark: SparkSession, draft: str, final: str) -> bool:
+    """Renames a draft, a file or a folder; where the name is taken the draft is removed and the answer is False.
+
+    The file system's rename must refuse a taken name, as those of HDFS and local disks do.
+    """
+    (source, fs), (target, _) = _path(spark, draft), _path(spark, final)
+    kinds = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.NONE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri() if source.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        fs.mkdirs(target.getParent())
+        context.rename(source, target, how)
+    except Py4JJavaError:
+        fs.delete(source, True)
+        if fs.exists(target):
+            return False
+        raise
+    return True
+
+
+def publish_tables(spark: SparkSession, tables: dict[str, DataFrame], manifest: dict, path: str) -> bool:
+    """Writes tables and manifest.json aside and shows them under `path` at once; False where something stands there."""
+    draft = f"{path.rstrip('/')}.draft-{uuid.uuid4().hex}"
+    try:
+        for name, rows in tables.items():
+            rows.write.parquet(f"{draft}/{name}")
+        write_bytes(spark, f"{draft}/manifest.json", json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode())
+        return published(spark, draft, path)
+    finally:
+        removed(spark, draft)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()["value"])

@@ -3,7 +3,7 @@
 import pytest
 from compare import same
 
-from millrace.plans import more  # noqa: F401  (adds its queries)
+from millrace.plans import governance, more  # noqa: F401  (add their queries)
 from millrace.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import values as V
 from millrace.operators import audit, consolidate, gates, graph, ingest, policy, receipts
-from millrace.plans import more  # noqa: F401  (adds its queries)
+from millrace.plans import governance, more  # noqa: F401  (add their queries)
 from millrace.plans.queries import QUERIES
 from millrace.sources import files
 from millrace.streaming import limits
