@@ -14,7 +14,7 @@ import datetime as dt
 import hashlib
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .functions import crypto
 from .functions import text as T
 from .functions import values as V
-from .operators import audit, graph, ingest, policy, retrieval
+from .operators import audit, contracts, graph, ingest, policy, retrieval
 from .operators.policy import Principal
 from .sources import files
 
@@ -37,6 +37,8 @@ SCHEMAS = {
 
 #: Holds the records of round trips; give it to nobody.
 CANARY_TENANT = "tenant:diagnostic"
+#: Capability contracts: their kind, and the role that stores and reads them.
+CONTRACT_KIND, CONTRACT_ROLE = "capability-contract", "continuity-admin"
 
 
 class Conflict(RuntimeError):
@@ -241,7 +243,7 @@ class Engine:
             {
                 "created_by": F.lit(principal.id), "salience": F.coalesce(f["salience"].try_cast("double"), F.lit(0.5)), "role_groups": groups, "attrs": attrs,
                 "visibility": visibility, "review_state": F.when(F.col("epistemic") == "model-generated", "proposed").cast("string"), "valid_from": f["valid_from"], "valid_until": f["valid_until"],
-                "created_at": F.coalesce(f["created_at"].try_cast("double"), F.lit(now)), "indexed": F.lit(True), "entities": V.list_value(f["entities"]), "subject_ids": F.array("subject"),
+                "created_at": F.coalesce(f["created_at"].try_cast("double"), F.lit(now)), "indexed": V.bool_value(f["indexed"], True), "entities": V.list_value(f["entities"]), "subject_ids": F.array("subject"),
                 "source_ids": F.when(F.col("uri").isNotNull(), F.array("uri")).otherwise(F.array().cast("array<string>")), "source_spans": V.list_value(f["source_spans"]), "policy_scope": F.coalesce(f["policy_scope"], F.lit("default")),
                 "truth_status": V.default_truth(F.col("epistemic")), "retention": F.coalesce(f["retention"], F.lit("decayable")), "derived_from": V.list_value(f["derived_from"]),
             }
@@ -277,6 +279,35 @@ class Engine:
             report |= {k: v for k, v in (("repeated", report["ok"] - ids), ("known", lost - (report["ok"] - ids))) if v}
         return report
 
+    def store_contracts(self, documents: DataFrame, approved: dict[str, Sequence[str]], who: Principal) -> dict:
+        """Stores capability contracts (JSON in `document`) that break no rule, where only holders of CONTRACT_ROLE read them and no recall finds them.
+
+        Returns counts by rule that was broken and of those written; a contract is stored once.
+        """
+        self._may_bind(who)
+        told = graph.cut(contracts.contracts(documents.select("document"), approved))
+        given = {
+            "content": F.to_json(F.parse_json("document")), "subject": F.concat(F.lit("continuity-contract:"), F.replace("hash", F.lit("sha256:"), F.lit(""))), "uri": F.concat(F.lit("contract:"), "hash"), "kind": F.lit(CONTRACT_KIND), "epistemic": F.lit("imported-source"),
+            "confidence": F.lit("1.0"), "salience": F.lit("0.0"), "classification": F.lit("confidential"), "roles": F.lit(CONTRACT_ROLE), "policy_scope": F.lit("continuity"), "indexed": F.lit("false"),
+        }
+        fields = F.create_map(*(x for k, v in given.items() for x in (F.lit(k), v)))
+        report = {r["error"]: r["count"] for r in told.where("error IS NOT NULL").groupBy("error").count().collect()}
+        return report | {"written": self.remember_many(told.where("error IS NULL").dropDuplicates(["hash"]).select(fields.alias("fields")), who)["written"]}
+
+    def _may_bind(self, who: Principal) -> None:
+        if CONTRACT_ROLE not in who.roles:
+            raise PermissionError(f"contracts need the role {CONTRACT_ROLE}")
+
+    def contracts(self, who: Principal) -> DataFrame:
+        """hash, route_id, schema_version, contract_hash and document of the stored contracts of the principal's tenant whose text is still that of their hash."""
+        self._may_bind(who)
+        rows = policy.visible(self.table("records"), who).where(F.col("kind") == CONTRACT_KIND)
+        rows = crypto.decrypted(rows, self.table("keys"), unwrap=self._plain_key(who.tenant)).where("content IS NOT NULL")
+        told = F.concat(F.lit("sha256:"), F.sha2("content", 256))
+        own = rows.where(F.col("uri") == F.concat(F.lit("contract:"), told))
+        field = lambda k: F.get_json_object("content", f"$.{k}").alias(k)
+        return own.select(told.alias("hash"), field("route_id"), field("schema_version"), told.alias("contract_hash"), F.col("content").alias("document"))
+
     def import_markdown(self, root: str, who: Principal) -> dict:
         """Records from *.md files under root: fields from frontmatter, else from file names; secrets make a record restricted.
 
@@ -387,11 +418,13 @@ class Engine:
         return crypto.decrypted(rows, self.table("keys"), unwrap=self._plain_key(who.tenant)).where("content IS NOT NULL")
 
     def recall(self, cue: str, who: Principal, filters: dict | None = None, k: int = 8, topc: int = 50, method: str = "hybrid", at: Column | None = None) -> DataFrame:
-        """The k best records with content, score, rank, integrity and whether they are unreviewed."""
+        """The k best records with content, score, rank, what they claim to be, the signals behind the score, integrity, and a badge where they are unreviewed."""
         filters, k, topc = policy.merged_filters(filters or {}, {}, k, topc)
         best = retrieval.recall(self.readable(who, filters, at), cue, k, topc, method, filters.get("intent", "default"), filters.get("entities"), at)
         return best.select(
             "id", "rank", F.round("score", 4).alias("score"), "content", "subject", "kind", "epistemic", "dense", "bm25", "rrf", "rerank", "collapsed_ids", (F.col("review_state") == "proposed").alias("unreviewed"),
+            F.when(F.col("review_state") == "proposed", "unreviewed").alias("review_badge"), "review_state", "truth_status", "confidence", "classification", "policy_scope", "subject_ids", "source_ids",
+            F.struct("dense", "bm25", "rrf", "rerank").alias("signals"),
             (T.content_hash(F.col("content")) == F.col("content_hash")).alias("content_ok"), (F.col("producer_sig") == self._signature()).alias("signature_ok"),
         )
 
@@ -417,6 +450,13 @@ class Engine:
             out["removed"] = self.purge(fields["id"], own) and self.table("records").where(F.col("id") == fields["id"]).isEmpty()
         return {**out, "ok": all(out.values())}
 
+    def readiness(self, dims: int | None = None, found_dims: int | None = None, most_lag: int = 0, most_age_s: float | None = None) -> dict:
+        """Whether the store may serve: it has records, its audit holds, few of them wait for the index, vectors have the wanted length, the last record is not too old."""
+        rows = self.table("records").agg(F.count("*").alias("n"), F.count_if(~F.col("indexed") & (F.col("kind") != CONTRACT_KIND)).alias("lag"), F.max("created_at").alias("last")).first()
+        age = None if rows["last"] is None else dt.datetime.now(dt.timezone.utc).timestamp() - rows["last"]
+        checks = {"has_records": rows["n"] > 0, "audit_ok": self.verify_audit()["ok"], "index_lag_ok": rows["lag"] <= most_lag, "dims_ok": dims is None or dims == found_dims, "fresh": most_age_s is None or age is not None and age <= most_age_s}
+        return {**checks, "index_lag": rows["lag"], "ready": all(checks.values())}
+
     def health(self) -> dict:
         rows = self.table("records").agg(F.count("*").alias("n"), F.count_if(~F.col("indexed")).alias("lag")).first()
         return {"version": self.version(), "records": rows["n"], "index_lag": rows["lag"], "audit_ok": self.verify_audit()["ok"]}

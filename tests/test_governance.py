@@ -11,6 +11,8 @@ from millrace.operators import anchors, audit, consolidate, contracts, index, st
 from millrace.operators.policy import Principal
 from millrace.sources import files
 from millrace.sources.anchor_log import AnchorLog, Refused
+from millrace.streaming.anchoring import anchored
+from millrace.tools import Credentials, Tools
 
 CHAIN = "chain_" + "a" * 32
 OTHER = "chain_" + "b" * 32
@@ -227,3 +229,68 @@ def test_roundtrip(spark, tmp_path):
     who = Principal("admin", "tenant:a", (), {}, "internal")
     assert e.verify_roundtrip(who) == {"written": True, "recalled": True, "removed": True, "ok": True}
     assert e.table("records").isEmpty() and e.verify_audit()["ok"]
+
+
+def test_contracts_are_privileged(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), b"k" * 32)
+    admin = Principal("admin", "tenant:a", ("continuity-admin",), {}, "restricted")
+    doc = {
+        "schema_version": "1", "route_id": "route_" + "a" * 12, "provider": "acme", "model": "m-1", "tool_use": True, "structured_output": {"json_mode": True, "json_schema": True, "grammar": False}, "context_window_tokens": 10, "latency_class": "batch", "price_class": "economy", "residency": "eu",
+        "fallback": {},
+    }
+    docs = spark.createDataFrame([(json.dumps(doc),), (json.dumps({**doc, "model": "m-9"}),), (json.dumps(dict(reversed(doc.items()))),)], "document string")
+    with pytest.raises(PermissionError):
+        e.store_contracts(docs, {"acme": ["m-1"]}, Principal("x", "tenant:a", (), {}, "restricted"))
+    # the same contract in another order of keys is the same
+    assert e.store_contracts(docs, {"acme": ["m-1"]}, admin) == {"approved_provider_model": 1, "written": 1}
+    assert e.store_contracts(docs, {"acme": ["m-1"]}, admin)["written"] == 0
+    stored = e.contracts(admin)
+    assert [json.loads(r["document"]) for r in stored.collect()] == [doc]
+    binding = stored.select("route_id", "schema_version", "contract_hash")
+    assert [r["bound"] for r in contracts.bound(binding.unionByName(binding.withColumn("route_id", F.lit("route_x"))), stored).orderBy("bound").collect()] == [False, True]
+    assert e.recall("acme batch economy", admin).count() == 0
+    with pytest.raises(PermissionError):
+        e.contracts(Principal("x", "tenant:a", ("reviewer",), {}, "restricted"))
+    assert e.contracts(Principal("x", "tenant:b", ("continuity-admin",), {}, "restricted")).count() == 0
+    ready = e.readiness(dims=3, found_dims=3, most_age_s=3600)
+    assert ready["ready"] and not e.readiness(dims=3, found_dims=4)["ready"] and not e.readiness(most_age_s=-1)["ready"]
+
+
+def test_tools_are_a_closed_list(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), b"k" * 32)
+    tokens = Credentials({"t1": Principal("agent", "tenant:a", ("support",), {}, "internal")})
+    tools = Tools(e, tokens, ("remember", "recall", "evaluate_egress", "assess_faithfulness"))
+    denied, bad = {"ok": False, "error": "authorization"}, {"ok": False, "error": "invalid_response"}
+    assert tools.call("forget", {"subject": "s"}, "t1") == denied and Tools(e, tokens).call("recall", {"query": "x"}, "t1") == denied
+    assert tools.call("recall", {"query": "x"}, "t2") == denied and tools.call("recall", {"query": "x"}, None) == denied
+    assert tools.call("recall", {"query": "x", "roles": ["billing"]}, "t1") == bad and tools.call("remember", {"records": [{"content": "x", "subject": "s", "tenant": "b"}]}, "t1") == bad
+    assert tools.call("recall", "not json", "t1") == bad and tools.call("recall", {"nonsense": 1}, "t1") == bad and tools.call("remember", {"records": []}, "t1") == bad
+    assert tools.call("remember", json.dumps({"records": [{"content": "the refund was sent", "subject": "s:1", "epistemic": "model-generated", "confidence": 0.5}]}), "t1")["result"]["written"] == 1
+    got = tools.call("recall", {"query": "refund", "k": 999}, "t1")["result"]["results"]
+    assert [(r["content"], r["review_badge"], r["confidence"], r["signature_ok"]) for r in got] == [("the refund was sent", "unreviewed", 0.5, True)] and set(got[0]["signals"]) == {"dense", "bm25", "rrf", "rerank"}
+    assert tools.call("evaluate_egress", {"request": {"model": {"runtime": "local"}, "spans": [{"span_id": "a", "text": "x"}]}}, "t1")["result"]["decision"] == "local_model_only"
+    told = tools.call("assess_faithfulness", {"claims": [{"claim": "refund was sent", "support": "the refund was sent"}, {"claim": "order 7 arrived", "support": "the refund was sent"}]}, "t1")["result"]
+    assert told["decision"] == "rejected" and [c["label"] for c in told["claims"]] == ["supported", "unsupported"]
+    with pytest.raises(ValueError):
+        Tools(e, tokens, ("shell",))
+
+
+def test_anchors_as_a_stream(spark, tmp_path):
+    schema = "chain_id string, seq long, row_hash string"
+    (tmp_path / "in").mkdir()
+    now = [1000.0]
+    log = AnchorLog(spark, f"file://{tmp_path}/log", b"k", "s1", clock=lambda: now[0])
+
+    def run(*rows):
+        heads(spark, *rows).write.mode("append").json(str(tmp_path / "in"))
+        writer = anchored(spark.readStream.schema(schema).json(str(tmp_path / "in")), log, 3, 60.0)
+        writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return writer.receipts
+
+    assert run((CHAIN, 1, "a"), (CHAIN, 2, "b"), (OTHER, 1, "c")) == [{"ok": True, "append": 2}]
+    # two more rows are too few, and too soon
+    assert run((CHAIN, 3, "a"), (CHAIN, 4, "b")) == [{"ok": True}]
+    assert run((CHAIN, 5, "d")) == [{"ok": True, "append": 1}]
+    now[0] = 2000.0
+    assert run((OTHER, 2, "e")) == [{"ok": True, "append": 1}]
+    assert sorted((r["chain_id"], r["seq"]) for r in log.checked().collect()) == [(CHAIN, 2), (CHAIN, 5), (OTHER, 1), (OTHER, 2)]
