@@ -1,5 +1,7 @@
 """Gates on text that leaves or enters: model egress decisions and claim support."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +96,25 @@ def check_claims(claims: DataFrame) -> DataFrame:
     return out.withColumn("missing_anchors", F.when(quiet, F.array().cast("array<string>")).otherwise(F.col("_m"))).drop("_c", "_s", "_x", "_y", "_m")
 
 
+def claim_labels(claims: Column, support: str = "support") -> Callable[[DataFrame], DataFrame]:
+    """Adds `labels` to rows of one text and many claims on it (an array): the label of each claim, in order, as check_claims gives it for a cited one.
+
+    The text is normalised once for all its claims, and stands in one row.
+    """
+
+    def add(rows: DataFrame) -> DataFrame:
+        text = F.coalesce(support, F.lit(""))
+        out = rows.withColumns({"_s": T.flat(text), "_y": T.claim_tokens(text), "_c": F.transform(claims, lambda c: F.struct(T.flat(c).alias("flat"), T.claim_tokens(c).alias("tokens")))})
+
+        def label(c: Column) -> Column:
+            missing = F.filter(T.flat_anchors(c["flat"]), lambda a: ~F.contains(F.col("_s"), a))
+            return T.label_of(c["flat"], F.col("_s"), missing, T.token_support(c["tokens"], F.col("_y")), F.col("_s") != "")
+
+        return out.withColumn("labels", F.transform("_c", label)).drop("_s", "_y", "_c")
+
+    return add
+
+
 def decide(checked: DataFrame) -> DataFrame:
     """One row for each candidate: accepted, needs_human_review or rejected, by its material claims; accepted without any."""
     has = lambda *labels: F.coalesce(F.bool_or(F.col("material") & F.col("label").isin(*labels)), F.lit(False))

@@ -225,23 +225,20 @@ def contextual_outcome(rows: DataFrame) -> DataFrame:
 def contextual(docs: DataFrame, contexts: Callable[[DataFrame], DataFrame], model: Column, rules: Column, target: int = 200, overlap: int = 20) -> DataFrame:
     """Rows to be indexed of documents (id, text, classification, pii_labels): chunks under a context each, or the whole file.
 
-    `contexts` maps id, ordinal, chunk of the chunks that the model may see (egress of the whole document) to id, ordinal, context; every
-    context is a claim that its document must support. One refusal, empty context or claim that is not accepted sends the whole file
+    `contexts` adds `context` to the chunks (id, ordinal, chunk, ...) of documents whose egress is allowed, and keeps their columns; every
+    context is a claim that its document must support. One refusal, empty context or claim that is not supported sends the whole file
     instead: ordinal 0, no context, index_text its text. Documents without a token give no row. Columns id, mode, ordinal, char_start, char_end, index_text.
     """
     none = F.array().cast("array<string>")
     entry = "array<struct<provider_policy_id:string,provider:string,runtime:string,region:string,retention:string,training_opt_out:boolean,endpoint:string,status:string,allowed_classifications:array<string>,denied_pii_labels:array<string>>>"
     span = F.struct(F.col("id").alias("span_id"), F.col("classification"), F.coalesce("pii_labels", none).alias("pii_labels"), F.lit("").alias("text"))
     asked = docs.select("id", "text", F.array(span).alias("spans")).withColumns({"model": model, "policy": rules, "providers": F.array().cast(entry)})
-    allowed = gates.egress(asked).select("id", "text", gates.generation_allowed(F.col("decision")).alias("egress_ok"))
-    parts = chunks(allowed, target, overlap).join(allowed.select("id", "egress_ok"), "id")
-    told = parts.join(contexts(parts.where("egress_ok").select("id", "ordinal", "chunk")).select("id", "ordinal", F.trim("context").alias("context")), ["id", "ordinal"], "left")
-    claims = told.where(F.coalesce("context", F.lit("")) != "").select("id", "ordinal", F.col("context").alias("claim")).join(allowed.select("id", F.col("text").alias("support")), "id")
-    checked = gates.check_claims(claims.withColumns({"cited": F.lit(True), "material": F.lit(True), "candidate_id": F.struct("id", "ordinal")}))
-    decided = gates.decide(checked).select("candidate_id.id", "candidate_id.ordinal", "decision")
-    rows = told.join(decided, ["id", "ordinal"], "left").withColumn("decision", F.coalesce("decision", F.lit("rejected")))
-    rows = rows.join(contextual_outcome(rows).select("id", "mode"), "id")
-    whole = F.col("mode") == "whole_file"
-    kept = rows.where(~whole | (F.col("ordinal") == 0)).join(docs.select("id", F.col("text").alias("_all")), "id")
-    start, end = F.when(whole, 0).otherwise(F.col("char_start")), F.when(whole, F.length("_all")).otherwise(F.col("char_end"))
-    return kept.select("id", "mode", "ordinal", start.alias("char_start"), end.alias("char_end"), F.when(whole, F.col("_all")).otherwise(index_text(F.col("context"), F.col("chunk"))).alias("index_text"))
+    allowed = gates.egress(asked).where(gates.generation_allowed(F.col("decision"))).select("id", "text")
+    told = contexts(chunks(allowed, target, overlap)).withColumn("context", F.trim("context"))
+    # a document's text meets its contexts in one row, so long documents are not repeated for each chunk
+    by = told.groupBy("id").agg(F.bool_and(F.coalesce("context", F.lit("")) != "").alias("_told"), F.collect_list("context").alias("_contexts")).where("_told")
+    judged = gates.claim_labels(F.col("_contexts"))(by.join(docs.select("id", F.col("text").alias("support")), "id"))
+    fit = judged.where(F.forall("labels", lambda x: x == "supported")).select("id")
+    chunked = told.join(fit, "id", "left_semi").select("id", F.lit("contextual").alias("mode"), "ordinal", "char_start", "char_end", index_text(F.col("context"), F.col("chunk")).alias("index_text"))
+    whole = docs.where(F.col("text").rlike("[A-Za-z0-9]")).join(fit, "id", "left_anti")
+    return chunked.unionByName(whole.select("id", F.lit("whole_file").alias("mode"), F.lit(0).alias("ordinal"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.col("text").alias("index_text")))

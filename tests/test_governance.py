@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.engine import Engine
-from millrace.operators import anchors, audit, consolidate, contracts, index, strict
+from millrace.operators import anchors, audit, consolidate, contracts, gates, index, ingest, strict
 from millrace.operators.policy import Principal
 from millrace.sources import files
 from millrace.sources.anchor_log import AnchorLog, Refused
@@ -294,3 +294,25 @@ def test_anchors_as_a_stream(spark, tmp_path):
     now[0] = 2000.0
     assert run((OTHER, 2, "e")) == [{"ok": True, "append": 1}]
     assert sorted((r["chain_id"], r["seq"]) for r in log.checked().collect()) == [(CHAIN, 2), (CHAIN, 5), (OTHER, 1), (OTHER, 2)]
+
+
+def test_contextual_rows(spark):
+    words = " ".join(f"w{i} alpha{i % 7}" for i in range(60))
+    docs = spark.createDataFrame([("a", words, "internal"), ("b", words, "restricted"), ("c", words, None), ("d", words, "internal"), ("e", "", "internal"), ("f", None, "internal")], "id string, text string, classification string").withColumn("pii_labels", F.lit(None).cast("array<string>"))
+    lst = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    model = F.struct(*(F.lit(v).alias(k) for k, v in (("runtime", "api"), ("provider", "p"), ("region", "r"), ("retention", "zero"), ("training_opt_out", True), ("endpoint", None), ("provider_policy_id", None))))
+    rules = F.struct(F.lit(True).alias("allow_external_models"), lst("p").alias("allowed_providers"), lst("r").alias("allowed_regions"), F.lit(True).alias("require_zero_retention"), F.lit(False).alias("allow_redaction"), lst().alias("redactable_pii_labels"), lst().alias("deny_pii_labels"), lst("restricted").alias("deny_classifications"), lst().alias("human_review_classifications"))
+    # of d the second chunk's context says what the text does not
+    told = lambda parts: parts.withColumn("context", F.when((F.col("id") == "d") & (F.col("ordinal") == 1), "unrelated elephants").when(F.col("id") == "c", F.lit(None)).otherwise("alpha1 alpha2"))
+    rows = ingest.contextual(docs, told, model, rules, 50, 5).orderBy("id", "ordinal").collect()
+    assert [(r["id"], r["mode"], r["ordinal"]) for r in rows] == [("a", "contextual", 0), ("a", "contextual", 1), ("a", "contextual", 2), ("b", "whole_file", 0), ("c", "whole_file", 0), ("d", "whole_file", 0)]
+    spans = ingest.chunk_spans(words, 50, 5)
+    assert [(r["char_start"], r["char_end"], r["index_text"]) for r in rows[:3]] == [(a, b, "alpha1 alpha2\n\n" + words[a:b]) for a, b in spans] and rows[3]["index_text"] == words and rows[3]["char_end"] == len(words)
+
+
+def test_many_claims_on_a_text_are_labelled_as_one_by_one(spark):
+    text = "Order 7 was approved on monday, it may be late. The refund is 5% of $20."
+    claims = ["order 7 approved", "order 7 denied", "the refund is 6%", "refund refund", "", "monday late", "order 7 approved may be late"]
+    many = gates.claim_labels(F.col("claims"))(spark.createDataFrame([(text, claims)], "support string, claims array<string>")).first()["labels"]
+    rows = spark.createDataFrame([(i, c, text, True) for i, c in enumerate(claims)], "i int, claim string, support string, cited boolean")
+    assert many == [r["label"] for r in gates.check_claims(rows).orderBy("i").collect()] and len(set(many)) > 2
