@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .functions import crypto
 from .functions import text as T
 from .functions import values as V
-from .operators import audit, contracts, graph, ingest, policy, retrieval
+from .operators import audit, contracts, graph, ingest, policy, receipts, retrieval
 from .operators.policy import Principal
 from .sources import files
 
@@ -88,8 +88,8 @@ class Change:
         self.entries[name] = rest
         self.append(name, change(rows))
 
-    def commit(self, action: str, who: Principal, target: str, detail: dict, erase: bool = False) -> int:
-        self.append("audit", self.engine.audit_row(self.table("audit"), action, who.id, target, detail, who.tenant))
+    def commit(self, action: str, who: Principal, target: str, detail: dict, erase: bool = False, flat: bool = False) -> int:
+        self.append("audit", self.engine.audit_row(self.table("audit"), action, who.id, target, detail, who.tenant, flat))
         n = self.base + 1
         self.engine.publish(n, self.entries)
         self._own = []
@@ -98,6 +98,11 @@ class Change:
         return n
 
 
+def canonical(value: dict) -> str:
+    """JSON with keys in order, without blanks."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def columns_of(name: str) -> list[str]:
     return [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
 
@@ -189,10 +194,12 @@ class Engine:
 
     # Audit
 
-    def audit_row(self, log: DataFrame, action: str, principal: str, target: str, detail: dict, tenant: str) -> DataFrame:
+    def audit_row(self, log: DataFrame, action: str, principal: str, target: str, detail: dict, tenant: str, flat: bool = False) -> DataFrame:
+        """The row that follows the log; `flat`: the detail's fields stand beside the others."""
         head = log.where(F.col("chain_id") == self.chain_id).agg(F.max("seq").alias("seq"), F.max_by("row_hash", "seq").alias("hash")).first()
         seq, prev = (head["seq"] or 0) + 1, head["hash"] or audit.GENESIS
-        body = json.dumps({"action": action, "detail": detail, "principal": principal, "target": target, "tenant": tenant}, sort_keys=True, separators=(",", ":"))
+        told = {"action": action, "principal": principal, "target": target, "tenant": tenant}
+        body = canonical({**told, **detail} if flat else {**told, "detail": detail})
         now = dt.datetime.now(dt.timezone.utc)
         us = int(now.timestamp()) * 1_000_000 + now.microsecond
         row = hashlib.sha256(f"{prev}{body}{us}".encode()).hexdigest()
@@ -308,6 +315,51 @@ class Engine:
         field = lambda k: F.get_json_object("content", f"$.{k}").alias(k)
         return own.select(told.alias("hash"), field("route_id"), field("schema_version"), told.alias("contract_hash"), F.col("content").alias("document"))
 
+    def issue_receipt(self, draft: str, who: Principal) -> dict:
+        """Records a rotation draft (JSON) in the audit chain and returns its signed receipt; the draft itself is not stored.
+
+        Refused are a draft that breaks a rule or binds a contract that is not stored, production evidence (nothing here attests
+        a run), a broken chain, and a baseline that is neither the lineage's start nor an earlier receipt as the chain records it.
+        """
+        self._may_bind(who)
+        told = contracts.drafts(self.spark.createDataFrame([(draft,)], "document string")).first()
+        if told["error"]:
+            raise ValueError(told["error"])
+        d = json.loads(draft)
+        if d["evidence_mode"] == "production":
+            raise PermissionError("production evidence needs an attested run")
+        pairs = self.spark.createDataFrame([tuple(d[k][f] for f in ("route_id", "schema_version", "contract_hash")) for k in ("from_contract", "to_contract")], "route_id string, schema_version string, contract_hash string")
+        if not contracts.bound(pairs, self.contracts(who)).where("NOT bound").isEmpty():
+            raise ValueError("contract_binding")
+        lineage = "sha256:" + hashlib.sha256(canonical({k: d[k] for k in ("from_route", "to_route")}).encode()).hexdigest()
+        base = d["prior_baseline"] if "receipt_id" in d["prior_baseline"] else {}
+        with self.change() as c:
+            log = c.table("audit").where(F.col("chain_id") == self.chain_id)
+            status = audit.chain_status(log).first()
+            if status is None or not status["ok"]:
+                raise RuntimeError("the audit chain does not hold")
+            field = lambda k: F.get_json_object("body", f"$.{k}")
+            same = log.where((field("action") == receipts.ACTION) & (field("lineage_hash") == lineage))
+            if base:
+                same = log.where((F.col("seq") == base["audit_seq"]) & (field("action") == receipts.ACTION) & (field("tenant") == who.tenant) & (field("target") == base["receipt_id"]) & (field("receipt_hash") == base["receipt_hash"]))
+            if same.isEmpty() == bool(base):
+                raise ValueError("prior_baseline")
+            seq = status["head_seq"] + 1
+            own = {"chain_id": self.chain_id, "audit_seq": seq, "receipt_id": d["receipt_id"], "lineage_hash": lineage, "status": d["evidence_mode"], "signed_by": who.id}
+            own["receipt_hash"] = "sha256:" + hashlib.sha256(canonical({**d, "signed_by": who.id, "audit_seq": seq}).encode()).hexdigest()
+            own |= {"baseline_seq": base.get("audit_seq"), "baseline_id": base.get("receipt_id"), "baseline_hash": base.get("receipt_hash")}
+            row = self.spark.createDataFrame([tuple(own[f] for f in receipts.FIELDS)], ", ".join(f"{f} {'long' if f.endswith('_seq') else 'string'}" for f in receipts.FIELDS))
+            signed = receipts.sealed(row, self._receipt_key()).first().asDict()
+            c.commit(receipts.ACTION, who, d["receipt_id"], {k: own[k] for k in ("receipt_hash", "lineage_hash", "status")}, flat=True)
+        return signed
+
+    def _receipt_key(self) -> bytes:
+        return crypto.derived_key(self.key, "rotation-receipt")
+
+    def verify_receipts(self, held: DataFrame, who: Principal) -> DataFrame:
+        """What receipts.verified says of receipts against the audit chain."""
+        return receipts.verified(held, self.table("audit").where(F.col("chain_id") == self.chain_id), self._receipt_key(), who.tenant)
+
     def import_markdown(self, root: str, who: Principal) -> dict:
         """Records from *.md files under root: fields from frontmatter, else from file names; secrets make a record restricted.
 

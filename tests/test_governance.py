@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.engine import Engine
-from millrace.operators import anchors, audit, consolidate, contracts, gates, index, ingest, strict
+from millrace.operators import anchors, audit, consolidate, contracts, gates, index, ingest, receipts, strict
 from millrace.operators.policy import Principal
 from millrace.sources import files
 from millrace.sources.anchor_log import AnchorLog, Refused
@@ -249,6 +249,30 @@ def test_contracts_are_privileged(spark, tmp_path):
     binding = stored.select("route_id", "schema_version", "contract_hash")
     assert [r["bound"] for r in contracts.bound(binding.unionByName(binding.withColumn("route_id", F.lit("route_x"))), stored).orderBy("bound").collect()] == [False, True]
     assert e.recall("acme batch economy", admin).count() == 0
+    other = {**doc, "route_id": "route_" + "b" * 12}
+    e.store_contracts(spark.createDataFrame([(json.dumps(other),)], "document string"), {"acme": ["m-1"]}, admin)
+    hashes = {r["route_id"]: r["hash"] for r in e.contracts(admin).collect()}
+    bind = lambda d: {"route_id": d["route_id"], "schema_version": "1", "contract_hash": hashes[d["route_id"]]}
+    case = {"case_id": "case_" + "a" * 12, "before": "pass", "after": "pass", "delta": 0, "before_error_category": None, "after_error_category": None, "fallback": {"attempted": False, "fallback_exercised": False}}
+    draft = {
+        "schema_version": "1", "receipt_id": "rot_" + "a" * 12, "evidence_mode": "prototype", "from_route": doc["route_id"], "to_route": other["route_id"], "from_contract": bind(doc), "to_contract": bind(other),
+        "eval_suite": {"eval_suite_id": "suite_" + "a" * 12, "schema_version": "v1", "eval_suite_hash": "sha256:" + "0" * 64}, "run_id": "run_" + "a" * 12, "prior_baseline": {"is_genesis": True}, "ts": "2024-01-01T00:00:00Z", "cases": [case], "summary": {"passed": 1, "degraded": 0, "failed": 0},
+    }
+    with pytest.raises(PermissionError):
+        e.issue_receipt(json.dumps({**draft, "evidence_mode": "production"}), admin)
+    with pytest.raises(ValueError, match="contract_binding"):
+        e.issue_receipt(json.dumps({**draft, "to_contract": {**bind(other), "contract_hash": "sha256:" + "1" * 64}}), admin)
+    one = e.issue_receipt(json.dumps(draft), admin)
+    with pytest.raises(ValueError, match="prior_baseline"):
+        e.issue_receipt(json.dumps(draft), admin)
+    base = {"receipt_id": one["receipt_id"], "receipt_hash": one["receipt_hash"], "audit_seq": one["audit_seq"]}
+    with pytest.raises(ValueError, match="prior_baseline"):
+        e.issue_receipt(json.dumps({**draft, "prior_baseline": {**base, "receipt_hash": "sha256:" + "2" * 64}}), admin)
+    two = e.issue_receipt(json.dumps({**draft, "receipt_id": "rot_" + "b" * 12, "prior_baseline": base}), admin)
+    fields = ", ".join(f"{f} {'long' if f.endswith('_seq') else 'string'}" for f in (*receipts.FIELDS, "signature"))
+    held = spark.createDataFrame([tuple(r[f] for f in (*receipts.FIELDS, "signature")) for r in (one, two, {**two, "status": "production"})], fields)
+    assert sorted((r["receipt_id"], r["signature_valid"], r["ok"]) for r in e.verify_receipts(held, admin).collect()) == [(one["receipt_id"], True, True), (two["receipt_id"], False, False), (two["receipt_id"], True, True)]
+    assert e.verify_audit()["ok"]
     with pytest.raises(PermissionError):
         e.contracts(Principal("x", "tenant:a", ("reviewer",), {}, "restricted"))
     assert e.contracts(Principal("x", "tenant:b", ("continuity-admin",), {}, "restricted")).count() == 0
