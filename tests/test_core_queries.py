@@ -34,3 +34,9 @@ def against_sql(spark, folder, name, documents):
 def test_contextual_ingest_of_odd_documents(spark, tmp_path):
     # texts without a token, and ids whose first eight digits are the same
     against_sql(spark, tmp_path, "i3_contextual_ingest", [(1, "É."), (3, "— …"), (4, "##\n\nñ"), (5, " \n"), (6, None), (7, ""), (8, "Re."), (9, "one two"), (123456786, "a"), (123456787, "b"), (123456790, "c")])
+
+
+def test_contextual_rows_of_odd_documents(spark, tmp_path):
+    # chunks in which no word counts, which are less sure than the rest of their text or deny what it says; no token; long ids
+    texts = ("Re.", "the the of", "You may go. " + "alpha beta " * 300, "denied " + "gamma " * 400 + "approved", "É.", "alpha " * 200 + "of " * 200)
+    against_sql(spark, tmp_path, "i9_contextual_rows", [(4 * i + 2, t) for i, t in enumerate(texts)] + [(1, "one"), (5, "ñ"), (7, None), (123456786, "a"), (123456787, "b"), (123456790, "c")])

@@ -334,6 +334,19 @@ def test_contextual_rows(spark):
     assert [(r["char_start"], r["char_end"], r["index_text"]) for r in rows[:3]] == [(a, b, "alpha1 alpha2\n\n" + words[a:b]) for a, b in spans] and rows[3]["index_text"] == words and rows[3]["char_end"] == len(words)
 
 
+def test_contexts_that_repeat_their_chunk(spark):
+    text = "alpha " * 50 + "of " * 50 + "refund denied"
+    docs = spark.createDataFrame([(i, text, "internal", None) for i in "abcd"], "id string, text string, classification string, pii_labels array<string>")
+    lst = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    model = F.struct(*(F.lit(v).alias(k) for k, v in (("runtime", "local"), ("provider", "p"), ("region", "r"), ("retention", "zero"), ("training_opt_out", True), ("endpoint", None), ("provider_policy_id", None))))
+    rules = F.struct(F.lit(False).alias("allow_external_models"), *(lst().alias(k) for k in ("allowed_providers", "allowed_regions", "redactable_pii_labels", "deny_pii_labels", "deny_classifications", "human_review_classifications")), F.lit(False).alias("require_zero_retention"), F.lit(False).alias("allow_redaction"))
+    # the second chunk has no word that counts; of b the last context denies its text, of c the first repeats another chunk, of d the second is of no such word and repeats none
+    own = F.when((F.col("id") == "b") & (F.col("ordinal") == 2), "refund approved").when((F.col("id") == "c") & (F.col("ordinal") == 0), ("of " * 50).strip()).when((F.col("id") == "d") & (F.col("ordinal") == 1), "of of")
+    told = lambda parts: parts.withColumn("context", own.when((F.col("ordinal") == 0), "alpha alpha").otherwise(F.concat(F.lit(" "), "chunk")))
+    rows = ingest.contextual(docs, told, model, rules, 50, 0).orderBy("id", "ordinal").collect()
+    assert [(r["id"], r["mode"], r["ordinal"]) for r in rows] == [("a", "contextual", 0), ("a", "contextual", 1), ("a", "contextual", 2), ("b", "whole_file", 0), ("c", "whole_file", 0), ("d", "whole_file", 0)]
+
+
 def test_many_claims_on_a_text_are_labelled_as_one_by_one(spark):
     text = "Order 7 was approved on monday, it may be late. The refund is 5% of $20."
     claims = ["order 7 approved", "order 7 denied", "the refund is 6%", "refund refund", "", "monday late", "order 7 approved may be late"]
